@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scriptorium.plans import documents
+
 FLAGSHIP = "document_features"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(documents.QUERIES)
+ORACLE_SQL = dict(documents.ORACLE_SQL)
