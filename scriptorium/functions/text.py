@@ -217,10 +217,10 @@ def ease_label(flesch: Column) -> Column:
     return band(flesch, EASE, "very difficult")
 
 
-def run_cost(words: Column, provider: Column, rates: dict[str, float], usual: float) -> Column:
-    """Words times 1.35 tokens, per thousand at the provider's rate, to five places."""
+def run_cost(words: Column, provider: Column, rates: dict[str, float], usual: float, digits: int = 5) -> Column:
+    """Words times 1.35 tokens, per thousand at the provider's rate."""
     rate = F.coalesce(F.create_map([F.lit(x) for kv in rates.items() for x in kv])[provider], F.lit(usual)) if rates else F.lit(usual)
-    return F.round(F.ceil(words * 1.35) / 1000.0 * rate, 5)
+    return F.round(F.ceil(words * 1.35) / 1000.0 * rate, digits)
 
 
 def confidence(score: Column) -> tuple[Column, Column]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,16 +43,13 @@ def closeness(a: Column, b: Column) -> Column:
 
 
 def top_keywords(tokens: Column, k: int) -> Column:
-    """The k most frequent tokens; ties by length, longer first, then by name. Counts come from one sort."""
-    start = F.array().cast("array<struct<n:int,m:int,token:string>>")
+    """The k most frequent tokens; ties by length, longer first, then by name."""
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s, F.lit(-1))
-        grown = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct((last["n"] - 1).alias("n"), last["m"].alias("m"), last["token"].alias("token"))))
-        return F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["token"] == x), grown).otherwise(F.concat(s, F.array(F.struct(F.lit(-1).alias("n"), (-F.char_length(x)).alias("m"), x.alias("token")))))
+    @F.pandas_udf("array<string>")
+    def top(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: [t for t, _ in heapq.nsmallest(k, Counter(x).items(), key=lambda c: (-c[1], -len(c[0]), c[0]))] if x is not None else [])
 
-    counted = F.aggregate(F.array_sort(tokens), start, step)
-    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: x["token"])
+    return top(tokens)
 
 
 def fidelity(pairs: DataFrame, a: str = "original", b: str = "rewritten") -> DataFrame:
@@ -119,7 +120,6 @@ def nearest(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str,
     matrix product, and keeps k per query there, so that no pairs are shuffled beyond k per query and partition.
     """
     import numpy as np
-    import pandas as pd
 
     found = queries.select(id_col, vector_col).orderBy(id_col).toPandas()
     names = found[id_col].to_numpy()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import documents
+from scriptorium.plans import corpora, documents, events_plans
 
 FLAGSHIP = "document_features"
-QUERIES = dict(documents.QUERIES)
-ORACLE_SQL = dict(documents.ORACLE_SQL)
+QUERIES = documents.QUERIES | corpora.QUERIES | events_plans.QUERIES
+ORACLE_SQL = documents.ORACLE_SQL | corpora.ORACLE_SQL | events_plans.ORACLE_SQL
