@@ -200,7 +200,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = ["k1", "k2", "n"]
     classes = members.filter("n > 0").groupBy(*keys).agg(F.min(F.struct("doc_id", "chunk", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = work.table(classes.select(*keys, F.col("first.doc_id").alias("rep"), "first.chunk", "first.row", "size"), "classes")
-    reps = classes.select("chunk", "row")
+    reps = classes.select("chunk", "row")  # few bytes, much work: dealt out by number, or adaptive execution would join them to a few tasks
 
     def chosen(table: pa.Table) -> tuple[str, Sets, list[int]]:
         uri = table.column("chunk")[0].as_py()
@@ -230,10 +230,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             "tiles": pa.array([x.tolist() for _, x in some], pa.list_(pa.int64())),
         })
 
-    flags = work.table(C.answer(reps.groupBy("chunk").applyInArrow(ask, C.BLOCK_SCHEMA), ["<u8"], C.shared), "flags")
+    flags = work.table(C.answer(reps.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(ask, C.BLOCK_SCHEMA), ["<u8"], C.shared), "flags")
     none = F.lit(None)
     told = reps.select("chunk", "row", none.cast("int").alias("pid"), none.cast("binary").alias("data")).unionByName(flags.select("chunk", none.cast("int").alias("row"), "pid", "data"))
-    sets = work.table(told.groupBy("chunk").applyInArrow(involved, "rep bigint, n bigint, bits binary, shingles binary, tiles array<bigint>"), "sets")
+    sets = work.table(told.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(involved, "rep bigint, n bigint, bits binary, shingles binary, tiles array<bigint>"), "sets")
     work.drop("chunks", "flags", "manifest")
 
     tiles = work.table(sets.select("rep", "n", F.explode("tiles").alias("tile")), "tiles")
