@@ -12,14 +12,14 @@ def total(values: Column) -> Column:
 
 def mean(values: Column) -> Column:
     """0 of an empty array."""
-    return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(F.lit(0.0))
+    return F.when(F.size(values) > 0, F.try_divide(total(values), F.size(values))).otherwise(F.lit(0.0))
 
 
 def deviation(values: Column) -> Column:
     """0 of an empty array. From the sums of values and squares, so that one pass does."""
     squares = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     middle = mean(values)
-    return F.when(F.size(values) > 0, F.sqrt(F.greatest(squares / F.size(values) - middle * middle, F.lit(0.0)))).otherwise(F.lit(0.0))
+    return F.when(F.size(values) > 0, F.sqrt(F.greatest(F.try_divide(squares, F.size(values)) - middle * middle, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
 def count_if(values: Column, test) -> Column:

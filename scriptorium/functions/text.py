@@ -17,7 +17,7 @@ from scriptorium.functions.segment import strip
 
 def ratio(part: Column, whole: Column) -> Column:
     """0 where there is nothing to divide by."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.when(whole > 0, F.try_divide(part, whole)).otherwise(F.lit(0.0))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -192,15 +192,16 @@ def sum_of(values: Column) -> Column:
 
 def readability(n_chars: Column, n_words: Column, n_sentences: Column, n_syllables: Column, n_complex: Column) -> dict[str, Column]:
     """The published formulas, from counts; 0 without words."""
-    wps, spw = n_words / n_sentences, n_syllables / n_words
-    per100 = F.lit(100.0) / n_words
+    d = F.try_divide  # a formula may be evaluated before its guard
+    wps, spw = d(n_words, n_sentences), d(n_syllables, n_words)
+    per100 = d(F.lit(100.0), n_words)
     made = {
         "flesch": 206.835 - 1.015 * wps - 84.6 * spw,
         "flesch_kincaid": 0.39 * wps + 11.8 * spw - 15.59,
         "coleman_liau": 0.0588 * n_chars * per100 - 0.296 * n_sentences * per100 - 15.8,
-        "fog": 0.4 * (wps + 100.0 * n_complex / n_words),
-        "ari": 4.71 * n_chars / n_words + 0.5 * wps - 21.43,
-        "smog": 1.043 * F.sqrt(30.0 * n_complex / n_sentences) + 3.1291,
+        "fog": 0.4 * (wps + d(100.0 * n_complex, n_words)),
+        "ari": d(4.71 * n_chars, n_words) + 0.5 * wps - 21.43,
+        "smog": 1.043 * F.sqrt(d(30.0 * n_complex, n_sentences)) + 3.1291,
         "words_per_sentence": wps,
         "syllables_per_word": spw,
     }

@@ -39,7 +39,7 @@ def extract(text: Column, pattern: str) -> Column:
 
 def closeness(a: Column, b: Column) -> Column:
     """Smaller over larger of two counts; 1 if both are 0."""
-    return F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(F.lit(1.0))
+    return F.when(F.greatest(a, b) > 0, F.try_divide(F.least(a, b), F.greatest(a, b))).otherwise(F.lit(1.0))
 
 
 def top_keywords(tokens: Column, k: int) -> Column:
@@ -66,7 +66,7 @@ def fidelity(pairs: DataFrame, a: str = "original", b: str = "rewritten") -> Dat
     out = out.withColumn("_k", top_keywords(F.col("_ta"), 24))
 
     def kept(x: str, y: str) -> Column:
-        return F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.filter(x, lambda v: F.array_contains(F.col(y), v))) / F.size(x))
+        return F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.filter(x, lambda v: F.array_contains(F.col(y), v))), F.size(x)))
 
     for side in "ab":
         out = out.withColumn(f"_e{side}", F.transform(f"_e{side}", F.lower)).withColumn(f"_n{side}", F.transform(f"_n{side}", F.lower))

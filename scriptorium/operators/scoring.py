@@ -75,26 +75,26 @@ def with_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def dimensions(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A column per dimension, 0 to 100; texts too short for one have 50 there."""
-    parts = with_parts(docs.select(id_col, F.col(text_col).alias("text")))
+    """A column per dimension, 0 to 100; texts too short for one have 50 there. Null counts as empty, here and below."""
+    parts = with_parts(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     words, lengths = F.col("words"), F.col("lengths")
     n, s = F.size(words), F.size("sentences")
     parts = parts.withColumn("most", A.runs(words)["most"]).withColumn("pairs", S.ngrams(words, 2)).withColumn("long_words", F.filter(words, lambda w: F.char_length(w) > 2))
     scored = F.zip_with("sentences", "lengths", lambda x, k: F.struct(x.alias("x"), F.lower(x).alias("low"), k.alias("n")))
     parts = parts.withColumn("sentence_scores", F.transform(scored, lambda r: sentence_score(r["x"], r["low"], r["n"], lexicon)))
     mean, pairs, long_words = A.mean(lengths), F.col("pairs"), F.col("long_words")
-    uniform = F.col("most") / (n / A.n_distinct(words))
+    uniform = F.try_divide(F.col("most"), F.try_divide(n, A.n_distinct(words)))
     risk = lambda test, least, x: F.when(test < least, 50.0).otherwise(X.clamp(x))
     scores = {
         "sentence_avg": F.when(s > 0, A.mean(F.col("sentence_scores"))).otherwise(50.0),
-        "perplexity": risk(n, 5, A.n_distinct(pairs) / F.size(pairs) * 60 + (100 - uniform * 15) * 0.4),
+        "perplexity": risk(n, 5, F.try_divide(A.n_distinct(pairs), F.size(pairs)) * 60 + (100 - uniform * 15) * 0.4),
         "burstiness": risk(s, 3, X.ratio(A.deviation(lengths), mean) * 100 * 2.5),
-        "vocab_diversity": risk(F.size(long_words), 10, A.n_distinct(long_words) / F.size(long_words) * 100),
+        "vocab_diversity": risk(F.size(long_words), 10, F.try_divide(A.n_distinct(long_words), F.size(long_words)) * 100),
         "sentence_length_var": risk(s, 3, X.ratio(F.array_max(lengths) - F.array_min(lengths), mean) * 60),
-        "transition_frequency": risk(n, 10, A.members(words, A.literal(lexicon.transitions)) / n * 1000),
-        "passive_voice": risk(s, 2, F.size(F.filter("sentences", lambda x: x.rlike(PASSIVE))) / s * 100),
+        "transition_frequency": risk(n, 10, F.try_divide(A.members(words, A.literal(lexicon.transitions)), n) * 1000),
+        "passive_voice": risk(s, 2, F.try_divide(F.size(F.filter("sentences", lambda x: x.rlike(PASSIVE))), s) * 100),
         "phrase_density": X.clamp(A.contained(F.col("low"), A.literal(lexicon.phrases)) / F.greatest(s, F.lit(1)) * 20),
-        "start_diversity": F.when((s < 4) | (F.size("starts") == 0), 50.0).otherwise(A.n_distinct(F.col("starts")) / F.size("starts") * 100),
+        "start_diversity": F.when((s < 4) | (F.size("starts") == 0), 50.0).otherwise(F.try_divide(A.n_distinct(F.col("starts")), F.size("starts")) * 100),
         "pronoun_usage": X.clamp(A.members(words, A.literal(lexicon.pronouns)) / F.greatest(n, F.lit(1)) * 500),
         "hedging": X.clamp(A.contained(F.col("low"), A.literal(lexicon.hedges)) * 15.0),
         "quantifiers": X.clamp(A.contained(F.col("low"), A.literal(lexicon.quantifiers)) * 10.0),
@@ -148,7 +148,7 @@ def document_features(docs: DataFrame, lexicon: FeatureLexicon, text_col: str =
     """Segmentation, token, lexical, syntactic and stylistic features and signals; one pass, no shuffle."""
     text = F.col("text")
     parts = (
-        docs.select(id_col, F.col(text_col).alias("text"))
+        docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .withColumn("paragraphs", S.paragraphs(text))
         .withColumn("sentences", S.sentences_linear(text))
         .withColumn("tokens", S.letter_tokens(text))
@@ -206,7 +206,7 @@ def logistic_score(features: DataFrame, weights: tuple[float, ...], bias: float,
 
 def statistical_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Mean of type-token, variation and hapax scores; raw deviation; naturalness."""
-    parts = with_parts(docs.select(id_col, F.col(text_col).alias("text"))).withColumn("once", A.runs(F.col("words"))["once"])
+    parts = with_parts(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))).withColumn("once", A.runs(F.col("words"))["once"])
     n, lengths = F.size("words"), F.col("lengths")
     ttr = X.ratio(A.n_distinct(F.col("words")), n)
     cv = X.ratio(A.deviation(lengths), A.mean(lengths))
@@ -222,7 +222,7 @@ def statistical_score(docs: DataFrame, text_col: str = "text", id_col: str = "do
 
 def readability_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Counts, formulas and label; words are runs of ASCII letters."""
-    parts = docs.select(id_col, F.col(text_col).alias("text")).withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    parts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     parts = parts.withColumn("syllables", F.transform("words", X.syllables)).withColumn("n_sentences", S.sentence_count(F.col("text")))
     counts = parts.select(
         id_col,

@@ -37,27 +37,27 @@ def deduplicated(events: DataFrame, key: str, ts: str = "ts", delay: str = "30 d
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def limited(events: DataFrame, key: str, ts: str, most: int, window_ms: int) -> DataFrame:
-    """A fixed window per key anchored at its first event; state goes when a window has run out."""
+def limited(events: DataFrame, key: str, ts: str, most: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
+    """A fixed window per key anchored at its first event; state goes when the watermark is past the window."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, ends = state.get if state.exists else (0, 0)
         if state.hasTimedOut:
             state.remove()
             return
+        count, ends = state.get if state.exists else (0, 0)
         for part in parts:
             out = []
-            for t in part.sort_values("_ms")["_ms"]:
+            for t in part.sort_values("ms")["ms"]:
                 if t >= ends:
                     count, ends = 0, int(t) + window_ms
                 out.append((k[0], int(t), count < most, max(most - count - 1, 0)))
                 count += count < most
             yield pd.DataFrame(out, columns=["key", "ms", "allowed", "remaining"])
         state.update((count, ends))
-        state.setTimeoutDuration(max(window_ms, 120_000))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ms bigint, allowed boolean, remaining int", "count int, ends bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("_ts")).withColumn("ms", F.unix_millis("_ts")).withWatermark("_ts", delay)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ms bigint, allowed boolean, remaining int", "count int, ends bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def frames(chunks: DataFrame, key: str, text: str) -> DataFrame:
