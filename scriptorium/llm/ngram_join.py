@@ -15,7 +15,7 @@ from scriptorium.llm import chunks as C
 from scriptorium.llm.common import WorkFolder, partitions, salted_lookup
 from scriptorium.llm.components import components
 
-#: Two 64-bit words times this make a set's bitmap.
+#: 64-bit words of the smallest bitmap; a set has the least power of two of them that gives two bits an element.
 BITMAP_WORDS = 16
 #: Members of a tile that a task compares with each other at a time.
 BLOCK = 256
@@ -82,16 +82,26 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(C.mixed(shingles) % np.uint64(len(bits))).astype(np.int64)] = 1
+    n = BITMAP_WORDS * 64
+    while n < 2 * len(shingles):
+        n *= 2
+    bits = np.zeros(n, np.uint8)
+    bits[(C.mixed(shingles) % np.uint64(n)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The set's bitmap of a smaller size."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 class Sets:
     """The n-gram sets of a chunk's documents, as sorted hashes."""
 
-    def __init__(self, uri: str, length: int):
+    def __init__(self, uri: str, length: int, rows: list[int] | None = None):
         table = C.read_chunk(uri)
+        if rows is not None:
+            table = table.take(rows)
         self.ids = table.column("doc_id").to_numpy()
         words = C.Words(pc.ascii_lower(table.column("text")))
         full = words.windows(length, 0)
@@ -132,20 +142,32 @@ def within(n: np.ndarray | int, m: np.ndarray | int, differing: np.ndarray | int
     return 100 * common >= percent * (n + m - common)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then exact intersection."""
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("shingles").alias("set_b"))
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit counts allow to link."""
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            keep = []
             for i in range(batch.num_rows):
-                a, b, n, m, x, y = (batch.column(c)[i].as_py() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
-                differing = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
-                if within(n, m, differing, percent) and linked(*(np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("set_a", "set_b")), percent):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                words = min(len(p), len(q))
+                keep.append(within(n[i], m[i], int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(bound, "a bigint, b bigint")
+
+
+def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection."""
+    one, two = (full.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets], pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(test, "a bigint, b bigint")
 
@@ -154,7 +176,9 @@ def across(table: pa.Table, percent: int) -> pa.Table:
     """Of one block, or two blocks, of a tile: the pairs of different components that sizes and bitmaps allow."""
     n, comp, rep = (table.column(c).to_numpy() for c in ("n", "comp", "rep"))
     mine = table.column("mine").to_numpy(zero_copy_only=False).astype(bool)
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+    maps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+    words = min(map(len, maps))
+    bits = np.stack([folded(x, words) for x in maps])
     found = []
     for i in np.flatnonzero(mine):
         differing = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -216,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.Table.from_batches([C.key_blocks(np.unique(all_signatures(own, rows)[0]), uri, ranges)])
 
     def involved(table: pa.Table) -> pa.Table:
-        _, own, rows = chosen(table)
+        uri, own, rows = chosen(table)
         each, of = all_signatures(own, rows)
         _, back, again = C.unique_keys(each)
         blocks = table.filter(pc.is_valid(table.column("pid")))
@@ -225,21 +249,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mine = [each[a:b][hit[a:b]].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         some = [(r, x) for r, x in zip(rows, mine, strict=True) if len(x)]
         return pa.table({
-            "rep": pa.array([int(own.ids[r]) for r, _ in some], pa.int64()), "n": pa.array([len(own.sets[r]) for r, _ in some], pa.int64()),
-            "bits": pa.array([bitmap(own.sets[r]).tobytes() for r, _ in some], pa.binary()), "shingles": pa.array([own.sets[r].tobytes() for r, _ in some], pa.binary()),
+            "rep": pa.array([int(own.ids[r]) for r, _ in some], pa.int64()), "chunk": pa.array([uri] * len(some), pa.string()), "row": pa.array([r for r, _ in some], pa.int32()),
+            "n": pa.array([len(own.sets[r]) for r, _ in some], pa.int64()), "bits": pa.array([bitmap(own.sets[r]).tobytes() for r, _ in some], pa.binary()),
             "tiles": pa.array([x.tolist() for _, x in some], pa.list_(pa.int64())),
         })
 
     flags = work.table(C.answer(reps.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(ask, C.BLOCK_SCHEMA), ["<u8"], C.shared), "flags")
     none = F.lit(None)
     told = reps.select("chunk", "row", none.cast("int").alias("pid"), none.cast("binary").alias("data")).unionByName(flags.select("chunk", none.cast("int").alias("row"), "pid", "data"))
-    sets = work.table(told.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(involved, "rep bigint, n bigint, bits binary, shingles binary, tiles array<bigint>"), "sets")
-    work.drop("chunks", "flags", "manifest")
+    sets = work.table(told.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(involved, "rep bigint, chunk string, row int, n bigint, bits binary, tiles array<bigint>"), "sets")
+    work.drop("flags", "manifest")
+
+    def fetch(table: pa.Table) -> pa.Table:
+        rows = sorted(set(table.column("row").to_pylist()))
+        own = Sets(table.column("chunk")[0].as_py(), length, rows)
+        return pa.table({"rep": pa.array(own.ids, pa.int64()), "shingles": pa.array([x.tobytes() for x in own.sets], pa.binary())})
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        """Bounds by bitmaps, then fetches the sets of what is left alone, then intersects them."""
+        left = work.table(pairs, f"{name}-pairs")
+        ids = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
+        places = sets.select("rep", "chunk", "row").join(ids, "rep", "left_semi").repartition(tasks, "chunk")
+        full = work.table(places.groupBy("chunk").applyInArrow(fetch, "rep bigint, shingles binary"), f"{name}-sets")
+        links = work.table(verify(left, full, percent), name)
+        work.drop(f"{name}-pairs", f"{name}-sets")
+        return links
 
     tiles = work.table(sets.select("rep", "n", F.explode("tiles").alias("tile")), "tiles")
     least = tiles.groupBy("tile").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     pairs = tiles.join(least, "tile").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
-    links = work.table(verify(pairs, sets, percent), "links")
+    links = links_of(possible(pairs, sets, percent), "links")
     roots = components(links, work, "roots")
     placed = work.table(tiles.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
     open_ = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
@@ -249,13 +288,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     dealt = dealt.join(sets.select("rep", "bits"), "rep")
     more = dealt.groupBy("tile", "i", "j").applyInArrow(lambda t: across(t, percent), "a bigint, b bigint").distinct()
-    links = links.unionByName(work.table(verify(more, sets, percent), "more-links"))
+    links = links.unionByName(links_of(more, "more-links"))
     final = work.table(components(links, work, "final"), "components")
 
     joined = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("size > 1 OR root IS NOT NULL")
     named = work.table(joined.select(*keys, F.coalesce("root", "rep").alias("component")), "named")
     found = salted_lookup(members.select("doc_id", *keys), named, keys, F.col("doc_id"))
     result = work.table(found.select(F.nullif("doc_id", F.lit(int(C.LAST))).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(int(C.LAST))).alias("component_id")), "result")
-    work.drop("members", "classes", "sets", "tiles", "links", "placed", "more-links", "components", "named")
+    work.drop("chunks", "members", "classes", "sets", "tiles", "links", "placed", "more-links", "components", "named")
     return result
 
