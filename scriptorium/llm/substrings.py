@@ -124,15 +124,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = {"doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == C.LAST), "n_words": np.diff(chunk.starts), "n_removed": n_removed.astype(np.int64), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(columns | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
 
+    # Chunks are few bytes here but much work: dealt out by number, or adaptive execution would join them to a few tasks.
     asked = manifest.repartition(tasks).mapInArrow(anchors, C.BLOCK_SCHEMA)
     flags = work.table(C.answer(asked, ["<u8"], C.shared), "flags")
-    asked = flags.groupBy("chunk").applyInArrow(windows, C.BLOCK_SCHEMA)
+    asked = flags.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(windows, C.BLOCK_SCHEMA)
     least = work.table(C.answer(asked, ["<u8", "<u4", "<i8"], least_ids), "least")
     told = (
         flags.withColumn("kind", F.lit(1))
         .unionByName(least.withColumn("kind", F.lit(2)))
         .unionByName(manifest.select(F.lit(-1).alias("pid"), "chunk", F.lit(b"").alias("data"), F.lit(0).alias("kind")))
     )
-    result = work.table(told.groupBy("chunk").applyInArrow(removed, fields), "result")
+    result = work.table(told.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(removed, fields), "result")
     work.drop("chunks", "flags", "least", "manifest")
     return result
