@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import corpora, documents, events_plans
+from scriptorium.plans import corpora, documents, events_plans, profile_plans
 
 FLAGSHIP = "document_features"
-QUERIES = documents.QUERIES | corpora.QUERIES | events_plans.QUERIES
-ORACLE_SQL = documents.ORACLE_SQL | corpora.ORACLE_SQL | events_plans.ORACLE_SQL
+MODULES = (documents, corpora, events_plans, profile_plans)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
