@@ -185,13 +185,13 @@ def _members(values: str, known) -> str:
 
 
 def _clamp(x: str) -> str:
-    return f"least(greatest({x}, 0.0), 100.0)"
+    return f"least(greatest({x}, 0.0::DOUBLE), 100.0::DOUBLE)"
 
 
 def _sentence_score_sql(x: str) -> str:
     low, n = f"lower({x})", f"len({WORDS.format(x)})"
     return (
-        f"{_clamp('''70.0''' + f' - least({_contained(low, LEXICON.cliches)} * 18, 30) - CASE WHEN len(list_filter({q(LEXICON.starters)}, lambda ph: starts_with({low}, ph))) > 0 THEN 15 ELSE 0 END' + f' - least({_contained(low, LEXICON.hedges)} * 8, 10) - least({_contained(low, LEXICON.quantifiers)} * 5, 8)' + f' - CASE WHEN {n} > 60 THEN 10 WHEN {n} > 50 THEN 5 ELSE 0 END')[:-len(', 0.0), 100.0)')]}"
+        f"{_clamp('''70.0''' + f' - least({_contained(low, LEXICON.cliches)} * 18, 30) - CASE WHEN len(list_filter({q(LEXICON.starters)}, lambda ph: starts_with({low}, ph))) > 0 THEN 15 ELSE 0 END' + f' - least({_contained(low, LEXICON.hedges)} * 8, 10) - least({_contained(low, LEXICON.quantifiers)} * 5, 8)' + f' - CASE WHEN {n} > 60 THEN 10 WHEN {n} > 50 THEN 5 ELSE 0 END')[:-len(', 0.0::DOUBLE), 100.0::DOUBLE)')]}"
         rf" + CASE WHEN regexp_matches({x}, '(?i)(^|[^\p{{L}}\p{{N}}_])(we|us|our)($|[^\p{{L}}\p{{N}}_])') THEN 4 ELSE 0 END + CASE WHEN contains({x}, '(') AND contains({x}, ')') THEN 3 ELSE 0 END + CASE WHEN contains({x}, '—') OR contains({x}, ' - ') THEN 2 ELSE 0 END"
         rf" + CASE WHEN regexp_matches({x}, '(?i)^(and|but|so|because|also|or|yet)($|[^\p{{L}}\p{{N}}_])') THEN 3 ELSE 0 END + CASE WHEN {n} BETWEEN 3 AND 7 THEN 5 ELSE 0 END + CASE WHEN ends_with({x}, '?') THEN 3 ELSE 0 END, 0.0), 100.0)"
     )
@@ -217,7 +217,7 @@ round(CASE WHEN len(s) < 2 THEN 50.0 ELSE {_clamp(f"len(list_filter(s, lambda x:
 round({_clamp(_contained('low', LEXICON.phrases) + "::DOUBLE / greatest(len(s), 1) * 20")}, 6) AS phrase_density,
 round(CASE WHEN len(s) < 4 OR len(starts) = 0 THEN 50.0 ELSE len(list_distinct(starts))::DOUBLE / len(starts) * 100 END, 6) AS start_diversity,
 round({_clamp(_members('w', LEXICON.pronouns) + "::DOUBLE / greatest(len(w), 1) * 500")}, 6) AS pronoun_usage,
-round({_clamp(_contained('low', LEXICON.hedges) + " * 15.0")}, 6) AS hedging, round({_clamp(_contained('low', LEXICON.quantifiers) + " * 10.0")}, 6) AS quantifiers,
+round({_clamp(_contained('low', LEXICON.hedges) + " * 15.0::DOUBLE")}, 6) AS hedging, round({_clamp(_contained('low', LEXICON.quantifiers) + " * 10.0::DOUBLE")}, 6) AS quantifiers,
 round(coalesce(list_stddev_pop(lens), 0.0), 1) AS sentence_length_sd FROM d"""
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import segment as S
 from scriptorium.operators import extract
 from scriptorium.operators import profiles as P
+from scriptorium.operators import sentences as N
 from scriptorium.plans import documents as D
-from scriptorium.plans.documents import SENT1, WORDS, B, stripped, table
+from scriptorium.plans.documents import LEXICON, SENT1, SENT5, WORDS, B, _contained, q, spread, stripped, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,3 +166,45 @@ def p15_p17_parsers(spark, sf_dir):
     props = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Reply: "), F.col("props"), F.lit("\n- one\n2) two\nclarity: 7.5 novelty 12")).alias("t"))
     scores = P.review_scores(F.col("t"), ("clarity", "novelty", "rigour"))
     return props.select("event_id", P.first_json(F.col("t")).alias("json"), F.size(P.listed(F.col("t"))).alias("items"), *(v.alias(k) for k, v in scores.items()))
+
+
+_EDGE = r"($|[^\p{L}\p{N}_])"
+_V2 = (
+    f"least(greatest(35.0::DOUBLE - 22.0 * {_contained('lower(part)', LEXICON.phrases)} - 12.0 * len(list_filter({q(LEXICON.starters)}, lambda p: starts_with(lower(part), p))) - CASE WHEN w > 35 THEN 18 ELSE 0 END - CASE WHEN w > 25 THEN 8 ELSE 0 END + CASE WHEN w BETWEEN 2 AND 5 THEN 5 ELSE 0 END"
+    rf" - CASE WHEN regexp_matches(part, '(?i)(^|[^\p{{L}}\p{{N}}_])(utilize|implement|facilitate|leverage|foster|cultivate|empower){_EDGE}') THEN 15 ELSE 0 END - CASE WHEN regexp_matches(part, '(?i)(^|[^\p{{L}}\p{{N}}_])(is|are|was|were|been|being)[ \t\n\r\f]+\w+ed{_EDGE}') THEN 8 ELSE 0 END"
+    f" - 10.0 * {_contained('lower(part)', LEXICON.hedges)} - 6.0 * {_contained('lower(part)', LEXICON.quantifiers)} + 0.5 * {_contained('lower(part)', LEXICON.pronouns)} + 0.5 * len(regexp_extract_all(part, '(?i)[a-z]{{1,15}}''(?:t|s|re|ve|ll|d|m)\\b'))"
+    " + CASE WHEN ends_with(part, '?') THEN 1 ELSE 0 END + CASE WHEN ends_with(part, '!') THEN 1 ELSE 0 END + CASE WHEN contains(part, '—') OR contains(part, ' - ') THEN 1 ELSE 0 END + CASE WHEN contains(part, '(') AND contains(part, ')') THEN 1 ELSE 0 END"
+    r" - CASE WHEN w BETWEEN 10 AND 25 AND regexp_matches(part, '^(?:[\w,.!?]+[ \t\n\r\f]+)*[\w,.!?]+\z') AND regexp_matches(part, '[.!?]\z') THEN 18 ELSE 0 END, 0.0::DOUBLE), 100.0::DOUBLE)"
+)
+_ROWS = f"""SELECT doc_id, pos, part, score, CASE WHEN score >= 55 THEN 'human' WHEN score >= 35 THEN 'maybe' ELSE 'ai' END AS class FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, part, {_V2} AS score
+FROM (SELECT *, len(regexp_split_to_array(part, '{B}+')) AS w FROM (SELECT doc_id, {spread('x')} FROM (SELECT doc_id, {SENT5} AS x FROM documents))))"""
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    return N.sentence_rows(table(spark, sf_dir, "documents"), LEXICON)
+
+
+@query(_ROWS)
+def d13_sentence_classes(spark, sf_dir):
+    return _sentences(spark, sf_dir)
+
+
+@query(
+    f"""WITH o AS (SELECT doc_id, count(*) AS n, avg(score) AS m, var_pop(score) AS v FROM ({_ROWS}) GROUP BY doc_id), g AS (SELECT *, least(15.0::DOUBLE, floor(round(sqrt(CASE WHEN n > 1 THEN v ELSE 400.0 END) * 0.6::DOUBLE, 9) + CASE WHEN n < 5 THEN 6.0 ELSE 2.0 END + 0.5)) AS g FROM o)
+SELECT doc_id, n, round(m, 6) AS score, CAST(greatest(0, floor(round(m - g, 9) + 0.5)) AS BIGINT) AS lower, CAST(least(100, floor(round(m + g, 9) + 0.5)) AS BIGINT) AS upper, CASE WHEN round(m, 9) >= 55 THEN 'human' WHEN round(m, 9) >= 35 THEN 'mixed' ELSE 'ai' END AS verdict FROM g"""
+)
+def d14_intervals(spark, sf_dir):
+    return N.intervals(_sentences(spark, sf_dir))
+
+
+@query(
+    f"""WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score, pos) AS INTEGER) AS a, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS INTEGER) AS b FROM ({_ROWS}))
+SELECT doc_id, pos, score, CASE WHEN a <= 5 THEN a END AS lowest, CASE WHEN b <= 5 THEN b END AS highest FROM r WHERE a <= 5 OR b <= 5"""
+)
+def d15_extremes(spark, sf_dir):
+    return N.extremes(_sentences(spark, sf_dir))
+
+
+@query(f"WITH o AS (SELECT doc_id, count(CASE WHEN class = 'ai' THEN 1 END) AS flagged, count(*) AS n FROM ({_ROWS}) GROUP BY doc_id) SELECT doc_id, flagged, n, round(flagged::DOUBLE / n, 6) AS share, 2 * flagged >= n AS escalate FROM o")
+def d36_flagged(spark, sf_dir):
+    return N.flagged(_sentences(spark, sf_dir))
