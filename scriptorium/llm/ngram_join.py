@@ -17,6 +17,8 @@ from scriptorium.llm.components import components
 
 #: 64-bit words of the smallest bitmap; a set has the least power of two of them that gives two bits an element.
 BITMAP_WORDS = 16
+#: Rounds in which a tile's members are compared with one or two of them, before all that is left is.
+ROUNDS = 3
 #: Members of a tile that a task compares with each other at a time.
 BLOCK = 256
 
@@ -197,9 +199,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     2. A tile is a level (band of sizes) with the content of one bucket of the hash range. Two sets that link
        share a tile at least, see :class:`Bands`. Chunks ask which of their tiles occur twice; only those become
        rows. A class that is in no such tile links with nothing.
-    3. Each member of a tile is compared with the tile's least id: bitmaps bound the overlap, then sorted arrays
-       are intersected. Components of these links already hold nearly all groups of near copies, in as many
-       comparisons as there are members.
+    3. In rounds, each member of a tile is compared with the member of the greatest weight, then with members of the
+       first and last component in it: bitmaps bound the overlap, then sorted arrays are intersected. Components of
+       these links soon hold nearly all groups of near copies, in a few comparisons per member.
     4. What is left are tiles whose members are in different components. They are dealt out in pairs of blocks of
        bounded size, in which all pairs of different components are bounded by bitmaps; those that may link are
        verified. So no link between components is lost, and no tile is ever in one task as a whole.
@@ -275,12 +277,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         work.drop(f"{name}-pairs", f"{name}-sets")
         return links
 
-    tiles = work.table(sets.select("rep", "n", F.explode("tiles").alias("tile")), "tiles")
-    least = tiles.groupBy("tile").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    pairs = tiles.join(least, "tile").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
-    links = links_of(possible(pairs, sets, percent), "links")
-    roots = components(links, work, "roots")
-    placed = work.table(tiles.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
+    # A set's weight is how many others it meets in its tiles. Of near copies of one text, that text itself, or the
+    # copy least changed, has the most; as leader it links with the most others.
+    every = sets.select("rep", F.explode("tiles").alias("tile"))
+    sizes = every.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    weights = work.table(every.join(sizes, "tile").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    tiles = work.table(sets.join(weights, "rep").select("rep", "n", "weight", F.explode("tiles").alias("tile")), "tiles")
+    placed, links = tiles.withColumn("comp", F.col("rep")), None
+    for k in range(ROUNDS):
+        members_of = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("rep", "weight").alias("first"), F.min_by("rep", "comp").alias("one"), F.max_by("rep", "comp").alias("two")).filter("low != high")
+        if k:
+            leaders = members_of.select("tile", F.inline(F.array(F.struct(F.col("one").alias("b"), F.col("low").alias("own")), F.struct(F.col("two").alias("b"), F.col("high").alias("own")))))
+        else:
+            leaders = members_of.select("tile", F.col("first").alias("b"), F.col("first").alias("own"))
+        pairs = placed.join(leaders, "tile").filter("comp != own").select(F.col("rep").alias("a"), "b").distinct()
+        new = links_of(possible(pairs, sets, percent), f"links-{k}")
+        links = new if links is None else links.unionByName(new)
+        roots = components(links, work, f"roots-{k}")
+        placed = work.table(tiles.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", "weight", F.coalesce("root", "rep").alias("comp")), f"placed-{k}")
     open_ = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
     left = placed.join(open_.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "tile").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -295,6 +309,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = work.table(joined.select(*keys, F.coalesce("root", "rep").alias("component")), "named")
     found = salted_lookup(members.select("doc_id", *keys), named, keys, F.col("doc_id"))
     result = work.table(found.select(F.nullif("doc_id", F.lit(int(C.LAST))).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(int(C.LAST))).alias("component_id")), "result")
-    work.drop("chunks", "members", "classes", "sets", "tiles", "links", "placed", "more-links", "components", "named")
+    work.drop("chunks", "members", "classes", "sets", "weights", "tiles", "more-links", "components", "named", *(f"{x}-{k}" for x in ("links", "placed") for k in range(ROUNDS)))
     return result
 
