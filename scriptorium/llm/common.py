@@ -130,12 +130,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_lookup(rows: DataFrame, entries: DataFrame, key: list[str], spread: Column, salts: int = 32) -> DataFrame:
+def salted_lookup(rows: DataFrame, entries: DataFrame, key: list[str], spread: Column, salts: int = 32, used_only: bool = False) -> DataFrame:
     """Left join of ``rows`` with ``entries`` (one per key) in which no key's rows meet in one task.
 
     ``spread`` (a stable column of ``rows``) deals each key's rows over ``salts`` sub-keys, and each entry is
-    repeated once per salt. Both sides are narrow; keep entries to those that some row needs.
+    repeated once per salt: keep entries to those that several rows need. With ``used_only``, for entries that are
+    as many as the rows, an entry is repeated only for the salts that its rows have, so that there never are more
+    than rows.
     """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if used_only:
+        right = left.select(*key, "_salt").distinct().join(entries, key)
+    else:
+        right = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*key, "_salt"], "left").drop("_salt")

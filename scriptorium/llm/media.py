@@ -238,7 +238,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = refs.groupBy("ref").agg(F.min(F.struct("path", "offset", "length")).alias("place")).select("ref", "place.*")
     found = work.table(read_media(places, partitions(spark)), "features")
     work.drop("files")
-    joined = salted_lookup(refs.select("doc_id", "n_bytes", "position", "caption", "ref"), found, ["ref"], F.col("doc_id"))
+    joined = salted_lookup(refs.select("doc_id", "n_bytes", "position", "caption", "ref"), found, ["ref"], F.col("doc_id"), used_only=True)
     whole = F.when(F.col("payload_sha256") == F.col("ref"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("a payload read back differs from its reference")))
     feature = F.concat_ws(" ", F.concat(F.lit("position="), "position"), F.concat(F.lit("caption="), F.to_json(F.struct("caption"))), "stats")
     return joined.select("doc_id", "n_bytes", "payload_bytes", whole.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
