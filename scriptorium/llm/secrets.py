@@ -87,13 +87,9 @@ def rebuilt(layer: Layer, parts: list[tuple[int, int, list[tuple[str, int, int]]
 def url_layer(layer: Layer) -> Layer | None:
     parts = []
     for m in URL.finditer(layer.text) if "%" in layer.text else ():
-        try:
-            decoded = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
         chars, at = [], m.start()
-        for c in decoded:
-            n = 3 * len(c.encode())
+        for c in bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"):
+            n = 3 * len(c.encode(errors="surrogateescape"))
             chars.append((c, at, at + n))
             at += n
         parts.append((*m.span(), chars))
@@ -139,7 +135,7 @@ def unpacked(data: bytes) -> tuple[bytes, bool, bool]:
 
 
 def base64_layers(layer: Layer) -> tuple[list[Layer], int]:
-    """A layer for each run that decodes to readable text, at once or after decompression; how many were too large."""
+    """A layer for each run whose bytes, as they are or decompressed, are readable or hold anything; how many were too large."""
     out, large = [], 0
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
@@ -151,11 +147,8 @@ def base64_layers(layer: Layer) -> tuple[list[Layer], int]:
             continue
         data, packed, over = unpacked(data)
         large += over
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if len(text) < 6 or not text.translate(BLANKS).isprintable():
+        text = data.decode(errors="surrogateescape")  # a byte that isn't UTF-8 is a character of its own
+        if len(text) < 6 or not (readable(text) or worth(text)):
             continue
         if packed:
             s, e = layer.root(*m.span())
@@ -163,7 +156,7 @@ def base64_layers(layer: Layer) -> tuple[list[Layer], int]:
         else:
             starts, ends, at = [], [], 0
             for c in text:
-                n = len(c.encode())
+                n = len(c.encode(errors="surrogateescape"))
                 s, e = layer.root(m.start() + at * 8 // 6, m.start() + -(-(at + n) * 8 // 6))
                 starts.append(s)
                 ends.append(e)
@@ -175,6 +168,15 @@ def base64_layers(layer: Layer) -> tuple[list[Layer], int]:
 BLANKS = str.maketrans("", "", "\t\n\r")
 
 
+def readable(text: str) -> bool:
+    return text.translate(BLANKS).isprintable()
+
+
+def worth(text: str) -> bool:
+    """Whether a scan or a decoder finds anything in the text: else it is no layer, however it was come by."""
+    return bool(base_spans(text) or URL.search(text) or ESCAPES.search(text) or BASE64.search(text))
+
+
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans; all spans, those of decoded layers mapped to the text; number of layers; layers too large.
 

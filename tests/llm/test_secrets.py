@@ -66,6 +66,18 @@ def test_bombs_are_counted_not_unpacked(monkeypatch):
     assert secrets.scan(b64(gzip.compress(b"token=abcdefgh " * 1000)))[3] == 1
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\u00ad", "\0", "\x1b", "\udcff", "\udce9"])
+@pytest.mark.parametrize("wrap", [b64, lambda x: b64(gzip.compress(x)), lambda x: "".join(f"%{c:02X}" for c in x)])
+def test_one_odd_character_or_byte_hides_nothing(odd, wrap):
+    wrapped = wrap(f"été {odd} {SECRET} {odd} fin".encode(errors="surrogateescape"))
+    spans = secrets.scan(f"a {wrapped} b")[1]
+    assert {"assign", "access"} <= {k for k, s, e in spans if 2 <= s < e <= 2 + len(wrapped)}
+
+
+def test_spans_after_a_bad_byte_are_exact():
+    assert ("assign", 3, 69) in secrets.scan("%FF" + "".join(f"%{ord(c):02X}" for c in "password=hunter2secret"))[1]
+
+
 def test_table(spark):
     rows = [(1, SECRET), (2, None), (3, "")]
     found = {r["doc_id"]: r for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
