@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,9 +26,17 @@ LEAST_VALUE = 6
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A layer that unpacks to more bytes isn't scanned, only counted in n_oversize: it guards against bombs.
+#: Runs of base64, also over single line breaks with blanks around them.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++|[A-Za-z0-9+/_-]{16,}+)={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST_RUN = 16
+STANDARD = str.maketrans("-_", "+/")
+PACKED = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bzip2>BZh[1-9])|(?P<xz>\xfd7zXZ\x00)")
+ENGINES = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+#: What unpacks to more bytes is scanned in blocks of so many, each of which repeats the last half of the one before.
 MOST_BYTES = 64 << 20
+#: Bytes that go to a decompressor and come from it at a time: what came of the feeds before one with an error is kept.
+FEED, PIECE = 1 << 12, 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -51,8 +58,8 @@ class Layer:
     """A decoded text; of its character i, root characters from starts[i] up to ends[i] were decoded (None: itself)."""
 
     text: str
-    starts: list[int] | None
-    ends: list[int] | None
+    starts: list[int] | Same | None
+    ends: list[int] | Same | None
     above: frozenset[bytes]
 
     def root(self, start: int, end: int) -> tuple[int, int]:
@@ -71,6 +78,12 @@ def rebuilt(layer: Layer, parts: list[tuple[int, int, list[tuple[str, int, int]]
     starts: list[int] = []
     ends: list[int] = []
     at = 0
+    above = layer.above | {digest(layer.text)}
+    if isinstance(layer.starts, Same):
+        for a, b, chars in parts:
+            text += [layer.text[at:a], *(c for c, _, _ in chars)]
+            at = b
+        return Layer("".join([*text, layer.text[at:]]), layer.starts, layer.ends, above)
     for a, b, chars in [*parts, (len(layer.text), len(layer.text), [])]:
         text.append(layer.text[at:a])
         starts += range(at, a) if layer.starts is None else layer.starts[at:a]
@@ -81,7 +94,7 @@ def rebuilt(layer: Layer, parts: list[tuple[int, int, list[tuple[str, int, int]]
             starts.append(s)
             ends.append(e)
         at = b
-    return Layer("".join(text), starts, ends, layer.above | {digest(layer.text)})
+    return Layer("".join(text), starts, ends, above)
 
 
 def url_layer(layer: Layer) -> Layer | None:
@@ -109,60 +122,117 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return rebuilt(layer, parts)
 
 
-def unpacked(data: bytes) -> tuple[bytes, bool, bool]:
-    """Undoes compression until a fixpoint: the bytes, whether any layer was compressed, whether one was too large."""
-    seen, packed = set(), False
-    while (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
-        seen.add(key)
-        try:
-            if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-                engine = zlib.decompressobj(47)
-                out = engine.decompress(data, MOST_BYTES + 1)
-                if not engine.eof and len(out) <= MOST_BYTES:
+class Members:
+    """What one compressed member after another unpacks to, from a place of the data on; then where the last whole one ends."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.end = data, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        while m := PACKED.match(self.data, self.end):
+            engine, whole = ENGINES[m.lastgroup](), False
+            for start in range(self.end, len(self.data), FEED):
+                feed = self.data[start : start + FEED]
+                stop = start + len(feed)
+                try:
+                    while True:
+                        out = engine.decompress(feed, PIECE)
+                        feed = getattr(engine, "unconsumed_tail", b"")
+                        if out:
+                            yield out
+                        whole = engine.eof
+                        if whole or not feed and len(out) < PIECE:
+                            break
+                except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+                    return
+                if whole:
+                    self.end = stop - len(engine.unused_data)
                     break
-            elif data[:3] == b"BZh":
-                out = bz2.BZ2Decompressor().decompress(data, MOST_BYTES + 1)
-            elif data[:6] == b"\xfd7zXZ\x00":
-                out = lzma.LZMADecompressor().decompress(data, MOST_BYTES + 1)
-            else:
-                break
-        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-            break
-        if len(out) > MOST_BYTES:
-            return b"", True, True
-        data, packed = out, True
-    return data, packed, False
-
-
-def base64_layers(layer: Layer) -> tuple[list[Layer], int]:
-    """A layer for each run whose bytes, as they are or decompressed, are readable or hold anything; how many were too large."""
-    out, large = [], 0
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        data, packed, over = unpacked(data)
-        large += over
-        text = data.decode(errors="surrogateescape")  # a byte that isn't UTF-8 is a character of its own
-        if len(text) < 6 or not (readable(text) or worth(text)):
-            continue
-        if packed:
-            s, e = layer.root(*m.span())
-            starts, ends = [s] * len(text), [e] * len(text)
-        else:
-            starts, ends, at = [], [], 0
-            for c in text:
-                n = len(c.encode(errors="surrogateescape"))
-                s, e = layer.root(m.start() + at * 8 // 6, m.start() + -(-(at + n) * 8 // 6))
-                starts.append(s)
-                ends.append(e)
-                at += n
-        out.append(Layer(text, starts, ends, layer.above | {digest(layer.text)}))
-    return out, large
+            if not whole:
+                return
+
+
+def blocks(pieces: Iterable[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """The pieces joined, as one block or else as blocks of MOST_BYTES that overlap by half; whether a block goes beyond the first."""
+    held, late = bytearray(), False
+    for piece in pieces:
+        held += piece
+        while len(held) > MOST_BYTES:
+            yield bytes(held[:MOST_BYTES]), late
+            del held[: MOST_BYTES // 2]
+            late = True
+    if held:
+        yield bytes(held), late
+
+
+def unpacked(data: bytes, above: frozenset[bytes] = frozenset()) -> Iterator[tuple[bytes, bool, bool]]:
+    """The data, and what each compressed stream anywhere in them unpacks to, and so on.
+
+    With whether it was compressed, and whether it is the second block of an oversize one (so that each counts once).
+    """
+    yield data, bool(above), False
+    key = hashlib.blake2b(data, digest_size=16).digest()
+    if key in above:
+        return
+    at = 0
+    while m := PACKED.search(data, at):
+        members, n = Members(data, m.start()), 0
+        for block, late in blocks(members):
+            n += late
+            for k, (x, _, over) in enumerate(unpacked(block, above | {key})):
+                yield x, True, over or k == 0 and late and n == 1
+        at = max(members.end, m.start() + 1)
+
+
+@dataclass
+class Same:
+    """A map of any length to one place."""
+
+    place: int
+
+    def __getitem__(self, i: int) -> int:
+        return self.place
+
+
+def runs(text: str) -> Iterator[list[int] | range]:
+    """The places of the base64 characters of each run of a line, and of each run over line breaks."""
+    for m in BASE64.finditer(text):
+        lines = [range(*x.span()) for x in LINE.finditer(text, *m.span())]
+        yield from (x for x in lines if len(x) >= LEAST_RUN)
+        if len(lines) > 1 and sum(map(len, lines)) >= LEAST_RUN:
+            yield [i for x in lines for i in x]
+
+
+def base64_layers(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+    """A layer for each run whose bytes, as they are or decompressed, are readable or hold anything; whether it is the
+    second block of an oversize one, then also without a layer.
+
+    A run is decoded from each of its first four characters, as what stands in front may not belong to it.
+    """
+    above = layer.above | {digest(layer.text)}
+    for places in runs(layer.text):
+        run = (layer.text[places.start : places.stop] if isinstance(places, range) else "".join([layer.text[i] for i in places])).translate(STANDARD)
+        for phase in range(4):
+            own = run[phase:]
+            own = own[: len(own) - (len(own) % 4 == 1)]
+            for data, packed, over in unpacked(base64.b64decode(own + "=" * (-len(own) % 4))):
+                text = data.decode(errors="surrogateescape")  # a byte that isn't UTF-8 is a character of its own
+                if len(text) < 6 or not (worth(text) or (packed or not phase) and readable(text)):
+                    if over:
+                        yield None, True
+                    continue
+                if packed:
+                    s, e = layer.root(places[phase], places[-1] + 1)
+                    yield Layer(text, Same(s), Same(e), above), over
+                    continue
+                starts, ends, at = [], [], 0
+                for c in text:
+                    n = len(c.encode(errors="surrogateescape"))
+                    s, e = layer.root(places[phase + at * 8 // 6], places[phase - (-(at + n) * 8 // 6) - 1] + 1)
+                    starts.append(s)
+                    ends.append(e)
+                    at += n
+                yield Layer(text, starts, ends, above), over
 
 
 BLANKS = str.maketrans("", "", "\t\n\r")
@@ -174,32 +244,41 @@ def readable(text: str) -> bool:
 
 def worth(text: str) -> bool:
     """Whether a scan or a decoder finds anything in the text: else it is no layer, however it was come by."""
-    return bool(base_spans(text) or URL.search(text) or ESCAPES.search(text) or BASE64.search(text))
+    return bool(base_spans(text) or URL.search(text) or ESCAPES.search(text) or next(runs(text), None))
+
+
+def unwrapped(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+    yield url_layer(layer), False
+    yield unicode_layer(layer), False
+    yield from base64_layers(layer)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans; all spans, those of decoded layers mapped to the text; number of layers; layers too large.
+    """Base spans; all spans, those of decoded layers mapped to the text; number of layers; those of more than MOST_BYTES.
 
-    A worklist starts with the text; each layer is scanned and unwrapped by each decoder, and what comes out
-    joins the list, until nothing new does. A layer equal to one above it is a cycle and is left out; one that
+    Each layer is scanned and unwrapped by each decoder, and so is what comes out, one at a time, until nothing new
+    does. A layer equal to one above it is a cycle and is left out; one that
     was met before at the same place (by another order of decoders) isn't done twice.
     """
     base = base_spans(text)
     spans = set(base)
-    work, met, layers, large = [Layer(text, None, None, frozenset())], set(), 0, 0
+    work, met, layers, large = [unwrapped(Layer(text, None, None, frozenset()))], set(), 0, 0
     while work:
-        layer = work.pop()
-        if layer.starts is not None and layer.ends is not None:
-            key = digest(layer.text)
-            place = (key, layer.starts[0], layer.ends[-1]) if layer.text else (key, 0, 0)
-            if key in layer.above or place in met:
-                continue
-            met.add(place)
-            layers += 1
-            spans |= {(kind, *layer.root(s, e)) for kind, s, e in base_spans(layer.text)}
-        found, over = base64_layers(layer)
+        layer, over = next(work[-1], (None, None))
+        if over is None:
+            work.pop()
+            continue
         large += over
-        work += [x for x in (url_layer(layer), unicode_layer(layer), *found) if x is not None]
+        if layer is None or layer.starts is None or layer.ends is None:
+            continue
+        key = digest(layer.text)
+        place = (key, layer.starts[0], layer.ends[-1]) if layer.text else (key, 0, 0)
+        if key in layer.above or place in met:
+            continue
+        met.add(place)
+        layers += 1
+        spans |= {(kind, *layer.root(s, e)) for kind, s, e in base_spans(layer.text)}
+        work.append(unwrapped(layer))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(spans, key=order), layers, large
 

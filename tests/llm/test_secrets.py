@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -78,6 +80,43 @@ def test_spans_after_a_bad_byte_are_exact():
     assert ("assign", 3, 69) in secrets.scan("%FF" + "".join(f"%{ord(c):02X}" for c in "password=hunter2secret"))[1]
 
 
+def folded(x, width=76, end="\n"):
+    x = b64(x)
+    return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+
+LONG = "".join(hashlib.sha256(bytes([i])).hexdigest()[:20] + " " for i in range(60))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("pack", [str.encode, lambda x: gzip.compress(x.encode()), lambda x: bz2.compress(x.encode()), lambda x: lzma.compress(x.encode())])
+def test_folded_base64(pack, end):
+    for shift in range(60):  # a secret over each place of a line end
+        wrapped = folded(pack(LONG + "x" * shift + " " + SECRET + " " + LONG), end=end)
+        text = f"-----BEGIN-----\n{wrapped}\n-----END-----"
+        assert {"assign", "access"} <= {k for k, s, e in secrets.scan(text)[1] if s >= text.index(wrapped[:16]) - 16}
+
+
+@pytest.mark.parametrize("front", ["/srv/", "a", "ab", "abc", "key-", "x_y/", "/"])
+@pytest.mark.parametrize("pack", [str.encode, lambda x: gzip.compress(x.encode()), lambda x: zlib.compress(x.encode())])
+def test_what_is_glued_in_front_hides_nothing(front, pack):
+    assert {"assign", "access"} <= {k for k, s, e in secrets.scan(front + b64(pack(SECRET)))[1]}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_all_members_are_unpacked(pack):
+    one, two = SECRET.encode()[:20], SECRET.encode()[20:]
+    for data in (pack(b"nothing here") + pack(SECRET.encode()), pack(one) + pack(two), pack(b"nothing") + b"\0\0 \0" + gzip.compress(SECRET.encode()), pack(LONG.encode() + SECRET.encode() + LONG.encode())[:-9]):
+        assert "assign" in {k for k, s, e in secrets.scan(b64(data))[1]}, data
+
+
+def test_oversize_layers_are_scanned_in_blocks(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 1000)
+    for at in range(0, 5000, 37):
+        _, spans, _, large = secrets.scan(b64(gzip.compress(b"." * at + b" " + SECRET.encode() + b" " + b"." * (6000 - at))))
+        assert {"assign", "access"} <= {k for k, s, e in spans} and large == 1
+
+
 def test_table(spark):
     rows = [(1, SECRET), (2, None), (3, "")]
     found = {r["doc_id"]: r for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
