@@ -15,9 +15,11 @@ from scriptorium.llm import exact_dedup, language, mixing, ngram_join, pieces
 from scriptorium.llm.common import WorkFolder
 from scriptorium.llm.queries import piece_model
 
-#: Documents whose text is less like its language's profile than this are rejected, as are those without letters.
-#: Even short documents of a few words reach twice that.
-LEAST_LIKENESS = 0.08
+#: Documents whose text is less like its language's profile than this are rejected, as are those without letters: four
+#: standard deviations of what unrelated texts have by chance.
+LEAST_LIKENESS = 4 / language.DIMENSIONS**0.5
+#: Texts of fewer distinct trigrams are too short to judge, and stay.
+FEW_TRIGRAMS = 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(docs, "text", "lang", train)
     if not profiles.languages:  # nothing to learn from: no ground to reject anything
         return docs
-    return language.keep_known(docs, profiles, "text", LEAST_LIKENESS)
+    return language.keep_known(docs, profiles, "text", LEAST_LIKENESS, FEW_TRIGRAMS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import slices
 
-#: Length of all vectors.
-DIMENSIONS = 512
+#: Length of all vectors: the likeness of unrelated texts has a standard deviation of 1 / sqrt(DIMENSIONS), here 1/64.
+DIMENSIONS = 4096
 #: Letter ids take so many bits of an n-gram's code; three of them and the document's number fill 64 bits.
 BITS, DOCS = 18, 1000
-#: Distinct n-grams whose vectors are held at a time.
-BLOCK = 8192
+#: Distinct n-grams whose vectors are held at a time; those whose counts, or likenesses to profiles, a task holds.
+BLOCK, HELD = 1024, 1 << 18
 UNDETERMINED = "und"
 
 
@@ -73,8 +73,11 @@ def trigrams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def bundle(texts: list[str], groups: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
     """Per group the sum of its trigrams' vectors."""
+    return bundled(*trigrams(texts, groups), n_groups, dimensions)
+
+
+def bundled(group: np.ndarray, code: np.ndarray, count: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
     out = np.zeros((n_groups, dimensions), np.float32)
-    group, code, count = trigrams(texts, groups)
     own, back, times = np.unique(code, return_inverse=True, return_counts=True)
     place = np.empty(len(own), np.int64)
     place[np.argsort(-times, kind="stable")] = np.arange(len(own))  # frequent ones share a block
@@ -100,16 +103,37 @@ class Profiles:
     languages: list[str]
     vectors: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        docs = bundle(texts, np.arange(len(texts)), len(texts), self.vectors.shape[1])
-        norms = np.linalg.norm(docs, axis=1)
+    def parts(self, codes: np.ndarray) -> np.ndarray:
+        """By trigram (sorted, distinct): its vector, of unit length, times each profile. A task computes them once for each, or anew when it holds too many."""
+        known, rows = self.__dict__.get("held", (np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))))
+        new = np.setdiff1d(codes, known, assume_unique=True)
+        if len(new):
+            if len(known) + len(new) > HELD:
+                known, rows, new = known[:0], rows[:0], codes
+            own = [gram_vectors(new[at : at + BLOCK], self.vectors.shape[1]) @ self.vectors.T / self.vectors.shape[1] ** 0.5 for at in range(0, len(new), BLOCK)]
+            known, rows = np.concatenate([known, new]), np.concatenate([rows, *own])
+            order = np.argsort(known)
+            known, rows = known[order], rows[order]
+            self.__dict__["held"] = known, rows
+        return rows[np.searchsorted(known, codes)]
+
+    def measured(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
+        """Per text: language, likeness to its profile (the text's length is taken from its counts), distinct trigrams."""
+        doc, code, count = trigrams(texts, np.arange(len(texts)))
+        distinct = np.bincount(doc, minlength=len(texts)).tolist()
         if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        cosine = (docs @ self.vectors.T) / np.maximum(norms, 1e-9)[:, None]
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), distinct
+        own, back = np.unique(code, return_inverse=True)
+        parts = self.parts(own)
+        sums = np.stack([np.bincount(doc, count * parts[back, k], len(texts)) for k in range(len(self.languages))], axis=1)
+        cosine = sums / np.maximum(np.sqrt(np.bincount(doc, count.astype(float) ** 2, len(texts))), 1e-9)[:, None]
         has = [any(map(str.isalpha, t)) for t in texts]
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
-        return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], [float(s) if h else 0.0 for s, h in zip(score, has, strict=True)]
+        return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], [float(s) if h else 0.0 for s, h in zip(score, has, strict=True)], distinct
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        return self.measured(texts)[:2]
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
@@ -126,15 +150,29 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, dimensio
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> None:
+            for x, (code, count) in held.items():
+                sums[x] = sums.get(x, 0) + bundled(np.zeros(len(code), np.int64), code, count, 1, dimensions)[0].astype(np.float64)
+            held.clear()
+
         for part in slices(batches, "text"):
             langs = part.column("lang").to_pylist()
             own = sorted(set(langs))
             for at in range(0, len(own), DOCS):
                 some = {x: k for k, x in enumerate(own[at : at + DOCS])}
                 rows = [(t, some[x]) for t, x in zip(part.column("text").to_pylist(), langs, strict=True) if x in some]
-                found = bundle([t for t, _ in rows], np.array([k for _, k in rows]), len(some), dimensions)
+                group, code, count = trigrams([t for t, _ in rows], np.array([k for _, k in rows]))
+                edges = np.searchsorted(group, np.arange(len(some) + 1))
                 for x, k in some.items():
-                    sums[x] = sums.get(x, 0) + found[k].astype(np.float64)
+                    inside = slice(edges[k], edges[k + 1])
+                    had = held.get(x, (code[:0], count[:0]))
+                    codes, back = np.unique(np.concatenate([had[0], code[inside]]), return_inverse=True)
+                    held[x] = codes, np.bincount(back, np.concatenate([had[1], count[inside]]), len(codes))
+                if sum(len(c) for c, _ in held.values()) > HELD:
+                    flush()
+        flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
 
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -174,15 +212,18 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     return rows.mapInArrow(label, T.StructType(fields))
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, text_col: str, least: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a letter and is as like its predicted language as ``least``."""
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str, least: float, few: int = 0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and is as like its predicted language as ``least``.
+
+    A text of fewer than ``few`` distinct trigrams is too short to judge, and kept if it has a letter.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             for at in range(0, part.num_rows, DOCS):
                 own = part.slice(at, DOCS)
-                langs, scores = profiles.predict([t or "" for t in own.column(text_col).to_pylist()])
-                yield own.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                found = profiles.measured([t or "" for t in own.column(text_col).to_pylist()])
+                yield own.filter(pa.array([x != UNDETERMINED and (s >= least or n < few) for x, s, n in zip(*found, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 
 import pytest
@@ -85,3 +86,24 @@ def test_language_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.language_id(spark, docs, DATA).count()
     assert kept >= 0.99 * docs.count()
+
+
+def test_language_stage_keeps_all_labelled_and_short_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clean = spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows = docs.join(clean, "doc_id", "left_semi").select(docs.columns).collect()
+    wanted = {r["doc_id"] for r in rows}
+    short = [(10_000_000 + i, t, "es", "s", len(t)) for i, t in enumerate(["Osrañ.", "Osiebo | armici. |", "Von.", "That it.", "Osrañ. " * 50, "a"])]
+    more = spark.createDataFrame(short, docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), DATA).collect()}
+    assert wanted and wanted | {r[0] for r in short} <= kept
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    scripts = ["абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "كتابمرحبسلامعشقنور"]
+    texts = [" ".join("".join(rng.choices(scripts[i % 4], k=rng.randrange(2, 9))) for _ in range(rng.randrange(12, 60))) for i in range(300)]
+    other = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(other), DATA)
+    assert kept.filter("doc_id >= 10000000").count() == 0
