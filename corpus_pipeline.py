@@ -31,23 +31,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_known(docs, profiles, "text", LEAST_LIKENESS, FEW_TRIGRAMS)
 
 
+def keyed(spark: SparkSession, docs: DataFrame, stage: str) -> DataFrame:
+    """The rows with a number of their own each, _row, written so that it stays: ids may be null and rows may repeat."""
+    return WorkFolder(spark, stage).table(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, last: bool) -> DataFrame:
+    """Of each group of rows (_row, _group) the one with the largest or the least doc_id; one without an id only if all are."""
+    rows = docs.select("_row", "doc_id").join(groups, "_row")
+    without = F.col("doc_id").isNull()
+    best = F.max(F.struct(~without, "doc_id", "_row")) if last else F.min(F.struct(without, "doc_id", "_row"))
+    kept = rows.groupBy("_group").agg(best.alias("_best")).select("_best._row")
+    return docs.join(kept, "_row", "left_semi").drop("_row")
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the row with the largest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Keeps of equal texts one row, with the largest doc_id."""
+    rows = keyed(spark, docs, "exact")
+    found = exact_dedup.exact_dedup(rows, "_row")
+    return one_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group")), last=True).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more) the least doc_id."""
-    found = ngram_join.jaccard_components(docs, length=5, percent=80)
-    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Keeps of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more) one row, with the least doc_id."""
+    rows = keyed(spark, docs, "near")
+    found = ngram_join.jaccard_components(rows, "_row", length=5, percent=80)
+    return one_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), last=False).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources have their target weights."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_copy")
+    """Repeats or leaves out rows so that sources have their target weights."""
+    rows = keyed(spark, docs, "mix")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")  # in the order of ids, those without last
+    mixed = mixing.mix_sources(rows.withColumn("_key", key), "_key").filter("copies > 0")
+    copies = mixed.select("doc_id._row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return rows.join(copies, "_row").select(docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import language, mixing, pieces, queries
+from scriptorium.llm import language, mixing, ngram_join, pieces, queries
 from tests.conftest import DATA
 from tests.test_catalogue import duck, plain  # noqa: F401
 
@@ -107,3 +109,30 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     other = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], docs.schema)
     kept = corpus_pipeline.language_id(spark, docs.unionByName(other), DATA)
     assert kept.filter("doc_id >= 10000000").count() == 0
+
+
+def outcome(rows):
+    return sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows)
+
+
+def test_a_shard_loaded_twice_changes_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert outcome(corpus_pipeline.run(spark, str(tmp_path)).collect()) == outcome(corpus_pipeline.run(spark, DATA).collect())
+
+
+def test_rows_without_ids_are_told_apart(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bare = docs.filter("doc_id % 2 = 0").withColumn("doc_id", F.lit(None).cast("bigint"))
+    bare.union(bare).union(docs.filter("doc_id % 2 = 1")).write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = given.select(lower.alias("t")).distinct().count()
+    assert corpus_pipeline.exact_duplicates(spark, given, DATA).count() == texts
+    components = ngram_join.jaccard_components(docs, length=5, percent=80).select("component_id").distinct().count()
+    empty = docs.filter(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) == 0).count()
+    assert not empty and corpus_pipeline.near_duplicates(spark, given, DATA).count() == components
+    copies = mixing.mix_sources(given).agg(F.sum("copies")).first()[0]
+    assert corpus_pipeline.source_mix(spark, given, DATA).count() == copies
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and max(Counter(r["ids_sha256"] for r in rows).values()) <= 3  # the most copies of a row
