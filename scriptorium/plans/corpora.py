@@ -266,6 +266,13 @@ def j3_aligned_sentences(spark, sf_dir):
     return compare.aligned_sentences(rows.select("doc_id", F.col("original").alias("text")), rows.select("doc_id", F.col("rewritten").alias("text")), "doc_id")
 
 
+@query()
+def j3_all_aligned_sentences(spark, sf_dir):
+    """J3 over all documents; the query above and its SQL take every second one."""
+    rows = pairs(spark, sf_dir)
+    return compare.aligned_sentences(rows.select("doc_id", F.col("original").alias("text")), rows.select("doc_id", F.col("rewritten").alias("text")), "doc_id")
+
+
 @query("WITH n AS (SELECT doc_id, 'new' AS source, lang FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, 'new', NULL FROM documents WHERE doc_id % 7 = 0), o AS (SELECT doc_id, source, lang FROM documents) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(n.lang, o.lang) AS lang FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def j12_merged(spark, sf_dir):
     old = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,3 +42,20 @@ def test_query_matches_its_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_query_without_oracle_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_all_aligned_sentences_match_brute_force(spark, tmp_path):
+    texts = ["One is here. On the way. Two", "A b.  C the d! E", "", "no end the x", "It is. the y. Z", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def parts(t):
+        return [x for x in (y.strip(" \t\n\r\f") for y in re.split(r"(?<=[.!?])[ \t\n\r\f]+(?=[A-Z])", t)) if x]
+
+    want = []
+    for i, t in enumerate(texts):
+        if t is not None:
+            a, b = parts(t), parts(t.replace(" the ", " this ").replace(".", "," if i % 2 else "."))
+            want += [(i, k, a[k] if k < len(a) else None, b[k] if k < len(b) else None) for k in range(max(len(a), len(b)))]
+    found = catalogue.QUERIES["j3_all_aligned_sentences"](spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["pos"], r["before"], r["after"]) for r in found), key=str) == sorted(want, key=str)
+    assert {0, 2, 4} & {r["doc_id"] for r in found}
