@@ -23,10 +23,26 @@ PROTECTED = (
     ("code", r"\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\}"), ("list", r"\\begin\{(?:itemize|enumerate)\}.*?\\end\{(?:itemize|enumerate)\}"),
     ("comment", r"(?m)(?<!\\)%[^\n]*"),
 )
-FACTS = (
-    ("percentage", r"\d+(?:\.\d+)?\s?\\?%"), ("p_value", r"[pP]\s*[<>=]\s*0?\.\d+"), ("sample_size", r"[nN]\s*=\s*\d+"), ("metric", r"(?:accuracy|precision|recall|F1|AUC)\s*(?:of|=|:)\s*\d+(?:\.\d+)?"),
-    ("date", r"\d{4}-\d{2}-\d{2}"), ("number", r"\d+(?:[.,]\d+)*"),
-)
+#: In the order of the results; the last two give a name by its group.
+FACTS = tuple((kind, re.compile(p, flags)) for kind, p, flags in (
+    ("percentage", r"\d+\.?\d*\s*\\?%", 0), ("p_value", r"p\s*[<>=≤≥]\s*(?:\d+\.?\d*|\.\d+)", re.I),
+    ("confidence_interval", r"\d+\.?\d*\s*\\?%?\s*CI\s*[\[(]\s*\d+\.?\d*\s*[,;]\s*\d+\.?\d*\s*[\])]", re.I),
+    ("effect_size", r"(?:Cohen['’]?s?\s+)?d\s*=\s*\d+\.?\d*", re.I), ("correlation", r"r\s*=\s*[−-]?\s*\d+\.?\d*", re.I), ("sample_size", r"[nN]\s*=\s*\d+", 0),
+    ("metric", r"(?:F1(?:-score)?|accuracy|precision|recall|AUC|BLEU|ROUGE|mAP|IoU|RMSE|MAE|MSE|R²|perplexity)\s*(?:of|=|:)?\s*\d+\.?\d*%?", re.I),
+    ("measurement", r"\d+\.?\d*\s*(?:ms|μs|ns|s|min|hours?|days?|MB|GB|TB|KB|GHz|MHz|kHz|Hz|mm|cm|m|km|μm|nm|mg|g|kg|μg|mL|L|μL|°C|°F|K)\b", 0),
+    ("date", r"\d{4}-\d{2}-\d{2}", 0), ("number", r"\d+(?:[.,]\d+)*", 0),
+    ("method", r"(?:use|using|employ|based on|propose|implement|apply|train|fine-tune)\s+([A-Z][A-Za-z0-9-]+(?:\s+[A-Z][A-Za-z0-9-]+)*)", re.I),
+    ("dataset", r"(?:dataset|benchmark|corpus|trained on|evaluated on|tested on)\s+([A-Z][A-Za-z0-9-]+(?:\s+[A-Z][A-Za-z0-9-]+)*)", re.I),
+))
+#: Where none of these is in the lower-case text, the pattern can't match and isn't tried.
+NEEDED = {
+    "percentage": ("%",), "p_value": tuple("<>=≤≥"), "confidence_interval": ("ci",), "effect_size": ("=",), "correlation": ("=",), "sample_size": ("=",), "date": ("-",),
+    "metric": ("f1", "accuracy", "precision", "recall", "auc", "bleu", "rouge", "map", "iou", "rmse", "mae", "mse", "r²", "perplexity"),
+    "method": ("use", "using", "employ", "based on", "propose", "implement", "apply", "train", "fine-tune"), "dataset": ("dataset", "benchmark", "corpus", "trained on", "evaluated on", "tested on"),
+}
+DIGIT = re.compile(r"\d")
+#: A name of a method or dataset has so many characters at least.
+LEAST_NAME = 3
 
 
 def keys(text: Column, pattern: str) -> Column:
@@ -157,17 +173,19 @@ def restore(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def scan_facts(text: str) -> list[tuple[str, str, int, int, str]]:
-    """Typed values with their place and sentence; what a former pattern took isn't taken again, repeats of a value go."""
-    taken, out, seen = [], [], set()
+    """Typed values with their place and sentence, each pattern over the whole text; repeats of a value of a kind go."""
+    out, seen = [], set()
+    low = text.lower().replace("ſ", "s").replace("ı", "i").replace("\u0307", "")  # what a pattern without case takes for these letters
+    digits = DIGIT.search(text)
     for kind, p in FACTS:
-        for m in re.finditer(p, text):
-            if any(a < m.end() and m.start() < b for a, b in taken[-200:]):
-                continue
-            taken.append(m.span())
-            if (m[0], kind) not in seen:
-                seen.add((m[0], kind))
+        if not (digits or p.groups) or kind in NEEDED and not any(x in low for x in NEEDED[kind]):
+            continue
+        for m in p.finditer(text):
+            value, (start, end) = m[p.groups], m.span(p.groups)
+            if (value, kind) not in seen and (not p.groups or len(value) >= LEAST_NAME):
+                seen.add((value, kind))
                 a, b = text.rfind(".", 0, m.start()) + 1, text.find(".", m.end())
-                out.append((kind, m[0], *m.span(), text[a : b + 1 if b >= 0 else len(text)].strip()))
+                out.append((kind, value, start, end, text[a : b + 1 if b >= 0 else len(text)].strip()))
     return out
 
 

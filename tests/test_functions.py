@@ -93,6 +93,21 @@ def test_facts_have_places_and_contexts():
     assert all(text[a:b] == v for _, v, a, b, _ in facts)
 
 
+def test_facts_of_long_texts_are_those_of_short_ones():
+    lines = [f"value {i}.5% here" for i in range(300)]
+    kinds = lambda text: {(k, v) for k, v, *_ in extract.scan_facts(text)}
+    assert kinds("; ".join(lines)) == set().union(*map(kinds, lines))
+
+
+def test_facts_of_each_kind():
+    text = "CI: 95% CI [1.2, 3.4], Cohen's d = 0.8, r = -0.3, N = 150, p ≤ 0.01, BLEU 31.2, RMSE = 0.4, took 3.2ms on 2024-05-01, we use BERT Large; evaluated on SQuAD, seen 7"
+    found = extract.scan_facts(text)
+    assert all(text[a:b] == v for _, v, a, b, _ in found)
+    wanted = {("confidence_interval", "95% CI [1.2, 3.4]"), ("effect_size", "Cohen's d = 0.8"), ("correlation", "r = -0.3"), ("sample_size", "N = 150"), ("p_value", "p ≤ 0.01"), ("metric", "BLEU 31.2"), ("metric", "RMSE = 0.4")}
+    wanted |= {("measurement", "3.2ms"), ("date", "2024-05-01"), ("method", "BERT Large"), ("dataset", "SQuAD"), ("number", "7"), ("percentage", "95%")}
+    assert wanted <= {(k, v) for k, v, *_ in found}
+
+
 def test_edits():
     assert edit.split_long("short one.") == ["short one."]
     long = " ".join(["word"] * 20) + "; " + " ".join(["more"] * 20) + "."
