@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,10 +49,24 @@ def strip_html(html: Column) -> Column:
 
 
 def hash31(text: Column) -> Column:
-    """31-multiplier hash of the UTF-16 units below 65536, wrapped to 32 bits, as eight hex digits."""
-    units = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    folded = F.aggregate(units, F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(4294967296)))
-    return F.lpad(F.lower(F.hex(folded)), 8, "0")
+    """31-multiplier hash of the UTF-16 units, wrapped to 32 bits, as eight hex digits."""
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        powers = np.ones(1, np.uint32)
+
+        def one(t: str | None) -> str | None:
+            nonlocal powers
+            if t is None:
+                return None
+            units = np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32)
+            if len(units) > len(powers):
+                powers = np.cumprod(np.r_[1, np.full(2 * len(units), 31)], dtype=np.uint32)
+            return f"{int((units * powers[: len(units)][::-1]).sum(dtype=np.uint32)):08x}"
+
+        return texts.map(one)
+
+    return fold(text)
 
 
 def fnv1a(text: Column) -> Column:

@@ -469,7 +469,7 @@ def x1_x6_normalized(spark, sf_dir):
 @query()
 def x3_x5_fingerprints(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.fnv1a(text).alias("fnv1a"), X.hash31(F.substring(text, 1, 64)).alias("hash31"), X.trigram_fingerprint(text).alias("fingerprint"), F.md5(X.nfkc(text)).alias("nfkc"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fnv1a(text).alias("fnv1a"), X.hash31(text).alias("hash31"), X.trigram_fingerprint(text).alias("fingerprint"), F.md5(X.nfkc(text)).alias("nfkc"))
 
 
 _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"

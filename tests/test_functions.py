@@ -93,6 +93,19 @@ def test_facts_have_places_and_contexts():
     assert all(text[a:b] == v for _, v, a, b, _ in facts)
 
 
+def test_fingerprints_take_whole_texts(spark, tmp_path):
+    from scriptorium.plans import catalogue
+
+    texts = ["x" * 64 + "a", "x" * 64 + "b", "é𝒳" * 3000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["hash31"] for r in catalogue.QUERIES["x3_x5_fingerprints"](spark, str(tmp_path)).select("doc_id", "hash31").collect()}
+    for i, t in enumerate(texts):
+        h, units = 0, (t or "").encode("utf-16-le")
+        for k in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[k : k + 2], "little")) & 0xFFFFFFFF
+        assert found[i] == (None if t is None else f"{h:08x}")
+
+
 def test_facts_of_long_texts_are_those_of_short_ones():
     lines = [f"value {i}.5% here" for i in range(300)]
     kinds = lambda text: {(k, v) for k, v, *_ in extract.scan_facts(text)}
