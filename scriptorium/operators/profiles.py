@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,10 +144,41 @@ def work_records(works: DataFrame) -> DataFrame:
     )
 
 
+FENCED = re.compile(r"```(?:json)?\s*([\s\S]*?)```", re.IGNORECASE)
+JSON_MARKS = re.compile(r'\\[\s\S]?|["{}]')
+
+
+def refused(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def scan_json(text: str) -> str | None:
+    """The object from the first brace to the one that closes it, of a fenced block if there is one; braces in strings don't count."""
+    fenced = FENCED.search(text)
+    text = (fenced[1] if fenced else "") or text
+    start, depth, inside = text.find("{"), 0, False
+    for m in JSON_MARKS.finditer(text, start) if start >= 0 else ():
+        if m[0] == '"':
+            inside = not inside
+        elif not inside and m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                try:
+                    json.loads(text[start : m.end()], parse_constant=refused)
+                except (ValueError, RecursionError):
+                    return None
+                return text[start : m.end()]
+    return None
+
+
 def first_json(text: Column) -> Column:
-    """The first balanced JSON object in a text that has no nested braces deeper than two; null without one."""
-    found = F.regexp_extract(text, r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
-    return F.when(found != "", found)
+    """The first JSON object in a text, as it stands there; null without one."""
+
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else scan_json(t))
+
+    return scan(text)
 
 
 def listed(text: Column) -> Column:

@@ -54,3 +54,11 @@ def test_claims_keep_unknown_support(spark):
 def test_parsers(spark):
     row = spark.range(1).select(profiles.first_json(F.lit('x {"a": {"b": 1}} y')).alias("j"), profiles.listed(F.lit("- one\n2) two\n\n")).alias("l"), profiles.listed(F.lit('["p", "q"]')).alias("m")).first()
     assert row["j"] == '{"a": {"b": 1}}' and row["l"] == ["one", "two"] and row["m"] == ["p", "q"]
+
+
+def test_first_json_of_any_depth_and_with_braces_in_strings(spark):
+    deep = '{"a": ' * 6 + "1" + "}" * 6
+    cases = {f"x {deep} y": deep, 'r {"a": "}", "b": "\\"{"} {"c": 1}': '{"a": "}", "b": "\\"{"}', "see {x}\n```json\n{\"k\": 2}\n```": '{"k": 2}', "{not json} {}": None, "{": None, "none": None}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    found = {r["t"]: r["j"] for r in rows.select("t", profiles.first_json(F.col("t")).alias("j")).collect()}
+    assert found == cases
