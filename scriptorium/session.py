@@ -25,11 +25,19 @@ def create(master: str = "local[*]", shuffle_partitions: int = 8, **conf: object
     return prepare(builder.getOrCreate())
 
 
+#: Rows of documents that go to a Python worker at a time, where the session has Spark's own default.
+BATCH_ROWS, USUAL_ROWS = "1000", "10000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this machine import the package, whatever the driver's working directory.
 
-    Elsewhere the package has to be installed or sent along (``--py-files``).
+    Elsewhere the package has to be installed or sent along (``--py-files``). Batches for Python are made smaller, as
+    rows are whole documents.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == USUAL_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     env = spark.sparkContext.environment
     known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if ROOT not in known:
