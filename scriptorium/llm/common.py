@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,59 +14,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.work import WorkFolder, shared_root
+
+__all__ = ["BlobReader", "BlobWriter", "WorkFolder", "ascii_lower", "free_name", "give_back", "lean", "partitions", "relax", "salted_lookup", "shared_root", "slices"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Only where neither is set (tests on a local master) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and (had := context._jsc.sc().getCheckpointDir()).isDefined():
-        found = had.get()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="scriptorium-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class WorkFolder:
-    """A folder of one operator's run below the shared root; parts are dropped as soon as they have served."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.fs().mkdirs(self.hadoop())
-
-    def hadoop(self, part: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}" if part else self.path)
-
-    def fs(self):
-        return self.hadoop().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def folder(self, part: str) -> str:
-        """The URI of a sub-folder for files that executors write, see :func:`write_blob`."""
-        self.fs().mkdirs(self.hadoop(part))
-        return f"{self.path}/{part}"
-
-    def table(self, df: DataFrame, part: str) -> DataFrame:
-        """Writes a table and reads it back: cuts the lineage, survives lost executors."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{part}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{part}")
-
-    def drop(self, *parts: str) -> None:
-        for part in parts:
-            self.fs().delete(self.hadoop(part), True)
+SLICE_BYTES = 1 << 20
 
 
 class BlobWriter:
@@ -78,7 +36,7 @@ class BlobWriter:
         self.stream, self.size = system.open_output_stream(path), 0
 
     def write(self, data: bytes) -> int:
-        """Appends, and tells where the data start."""
+        """Appends (bytes or a buffer), and tells where the data start."""
         self.stream.write(data)
         self.size += len(data)
         return self.size - len(data)
@@ -121,6 +79,56 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start)
 
 
+@lru_cache(maxsize=1)
+def trimmer() -> Callable[[int], int] | None:
+    """The C library's function that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Python workers outlive tasks: what a task has freed goes back to the system, so that the next tasks find it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := trimmer():
+        trim(0)
+
+
+#: Groups of a task between which memory is given back.
+GROUPS = 16
+_groups = 0
+
+
+def relax() -> None:
+    """At the end of a group: gives memory back now and then, as that takes time itself."""
+    global _groups
+    _groups += 1
+    if _groups % GROUPS == 0:
+        pa.default_memory_pool().release_unused()
+        if trim := trimmer():
+            trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives memory back at its end."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it, whatever its case."""
+    had = {c.lower() for c in df.columns}
+    while name.lower() in had:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Where all characters are ASCII, lower() does just that and is faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BlobReader, BlobWriter, WorkFolder, partitions, salted_lookup, slices
+from scriptorium.llm.common import BlobReader, BlobWriter, WorkFolder, lean, partitions, salted_lookup, slices
 
 #: Payloads are padded to a multiple of this; it is also an image's width, in pixels of one byte.
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: A file of media files is closed when it has so many bytes.
+FILE_BYTES = 64 << 20
 #: So many digests a task remembers, so as not to store a payload twice; repeats beyond that only cost space.
 KNOWN = 100_000
 SEQUENCE = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
@@ -135,7 +137,7 @@ def parse_sequences(pages: DataFrame, html_col: str = "html", into: str = "seque
 
     rest = [c for c in pages.columns if c != html_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col)
-    return pages.mapInArrow(parse, f"{fields}, {into} {SEQUENCE}")
+    return pages.mapInArrow(lean(parse), f"{fields}, {into} {SEQUENCE}")
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -155,17 +157,22 @@ def page_of(text: str, digest: str) -> str:
     return f'<article><p>{e(first)}</p><figure><img src="urn:sha256:{digest}"><figcaption>{e(caption_of(text))}</figcaption></figure><p>{e(rest)}</p></article>'
 
 
-def store_payloads(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_bytes, html, and where the media file is that holds the payload: path, offset, length.
+REFS = {"doc_id": None, "n_bytes": pa.int64(), "position": pa.int32(), "caption": pa.string(), "ref": pa.string(), "path": pa.string(), "offset": pa.int64(), "length": pa.int64()}
 
-    Media files are put one after another into files below ``folder``; a task stores a payload once.
+
+def store_references(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """A row per media reference of each document's page: doc_id, n_bytes, position, caption, ref (the digest), and where the media file is.
+
+    Media files are put one after another into files below ``folder``; a task stores a payload once. Pages are made,
+    parsed and let go one by one, so that a task holds a slice of texts and the narrow rows of it.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, int, int]] = {}
+        writer = None
         for part in slices(batches, "text"):
-            writer, rows = None, []
-            for text in (t or "" for t in part.column("text").to_pylist()):
+            places, rows = [], []
+            for i, text in enumerate(t or "" for t in part.column("text").to_pylist()):
                 payload, n = payload_of(text)
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in known:
@@ -174,14 +181,19 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str, text_col: str) ->
                     writer = writer or BlobWriter(folder, ".media")
                     image = to_png(payload)
                     known[digest] = writer.uri, writer.write(image), len(image)
-                rows.append((n, page_of(text, digest), *known[digest]))
-            if writer:
+                for item in sequence(page_of(text, digest)):
+                    if item["ref"] is not None:
+                        places.append(i)
+                        rows.append((n, item["position"], item["caption"], item["ref"].rpartition(":")[2], *known[digest]))
+            if writer and writer.size >= FILE_BYTES:
                 writer.close()
-            types = {"n_bytes": pa.int64(), "html": pa.string(), "path": pa.string(), "offset": pa.int64(), "length": pa.int64()}
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values()))], ["doc_id", *types])
+                writer = None
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(places, pa.int64())), *(pa.array([r[i] for r in rows], t) for i, t in enumerate([*REFS.values()][1:]))], list(REFS))
+        if writer:
+            writer.close()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(store, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes bigint, html string, path string, offset bigint, length bigint")
+    return rows.mapInArrow(lean(store), f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes bigint, position int, caption string, ref string, path string, offset bigint, length bigint")
 
 
 FOUND = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "stats": pa.string()}
@@ -215,7 +227,7 @@ def read_media(media: DataFrame, n_tasks: int) -> DataFrame:
             reader.close()
 
     ordered = media.repartition(n_tasks, "path").sortWithinPartitions("path", "offset")
-    return ordered.mapInArrow(read, "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, stats string")
+    return ordered.mapInArrow(lean(read), "ref string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, stats string")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,13 +244,14 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     work = WorkFolder(spark, "media")
-    pages = store_payloads(docs, work.folder("files"), id_col, text_col)
-    items = parse_sequences(pages).withColumn("item", F.explode(F.filter("sequence", lambda x: x["ref"].isNotNull())))
-    refs = work.table(items.select("doc_id", "n_bytes", "item.position", "item.caption", F.substring_index("item.ref", ":", -1).alias("ref"), "path", "offset", "length"), "refs")
+    refs = work.table(store_references(docs, work.folder("files"), id_col, text_col), "refs")
     places = refs.groupBy("ref").agg(F.min(F.struct("path", "offset", "length")).alias("place")).select("ref", "place.*")
     found = work.table(read_media(places, partitions(spark)), "features")
     work.drop("files")
     joined = salted_lookup(refs.select("doc_id", "n_bytes", "position", "caption", "ref"), found, ["ref"], F.col("doc_id"), used_only=True)
     whole = F.when(F.col("payload_sha256") == F.col("ref"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("a payload read back differs from its reference")))
     feature = F.concat_ws(" ", F.concat(F.lit("position="), "position"), F.concat(F.lit("caption="), F.to_json(F.struct("caption"))), "stats")
-    return joined.select("doc_id", "n_bytes", "payload_bytes", whole.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    result = joined.select("doc_id", "n_bytes", "payload_bytes", whole.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    result = work.table(result, "result")
+    work.drop("refs", "features")
+    return result

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import lean, slices
 from scriptorium.llm.language import remainder
 
 #: At most so many labelled rows, the first by hash of their id, are used to fit the model.
@@ -178,7 +178,7 @@ def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(compute, f"doc_id {dict(docs.dtypes)[id_col]}, x array<double>")
+    return rows.mapInArrow(lean(compute), f"doc_id {dict(docs.dtypes)[id_col]}, x array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_ROWS) -> AdditiveModel:
@@ -205,7 +205,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(compute, f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+    return rows.mapInArrow(lean(compute), f"doc_id {dict(docs.dtypes)[id_col]}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:

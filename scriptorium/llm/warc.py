@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import BlobReader, BlobWriter, WorkFolder, partitions, salted_lookup, slices
+from scriptorium.llm.common import BlobReader, BlobWriter, WorkFolder, lean, partitions, salted_lookup, slices
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed when its records take so many bytes; a reading task gets ranges of about BLOCK_BYTES.
@@ -215,7 +215,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         if writer:
             yield done()
 
-    return pages.select("page_id", "url", "html", "revisit", "refers_to").mapInArrow(write, "path string, records bigint")
+    return pages.select("page_id", "url", "html", "revisit", "refers_to").mapInArrow(lean(write), "path string, records bigint")
 
 
 def locate(packages: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def locate(packages: DataFrame) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["path", "start", "lengths"])
 
-    return packages.select("path").mapInArrow(find, "path string, start bigint, lengths array<bigint>")
+    return packages.select("path").mapInArrow(lean(find), "path string, start bigint, lengths array<bigint>")
 
 
 def read_records(ranges: DataFrame, with_html: bool = False) -> DataFrame:
@@ -251,7 +251,7 @@ def read_records(ranges: DataFrame, with_html: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(names.values())], list(names))
 
     kinds = {pa.string(): "string", pa.int64(): "bigint"}
-    return ranges.mapInArrow(read, ", ".join(f"{k} {kinds[t]}" for k, t in names.items()))
+    return ranges.mapInArrow(lean(read), ", ".join(f"{k} {kinds[t]}" for k, t in names.items()))
 
 
 def revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = LEAST_REVISIT) -> DataFrame:
