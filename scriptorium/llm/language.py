@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import lean, slices
 
 #: Length of all vectors: the likeness of unrelated texts has a standard deviation of 1 / sqrt(DIMENSIONS), here 1/64.
 DIMENSIONS = 4096
@@ -21,6 +21,8 @@ BITS, DOCS = 18, 1000
 #: Distinct n-grams whose vectors are held at a time; those whose counts, or likenesses to profiles, a task holds.
 BLOCK, HELD = 1024, 1 << 18
 UNDETERMINED = "und"
+#: What bounds the vectors that the driver collects and tasks get: 32 MB.
+MOST_LANGUAGES = 1000
 
 
 @lru_cache(maxsize=1)
@@ -53,16 +55,17 @@ def gram_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def trigrams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per (group, trigram): group, code, count; sorted by group. Runs of what aren't letters count as one blank.
+    """Per (group, trigram): group, code, count; sorted by group, then code.
 
-    A group is a document or all documents of a language; trigrams never span two documents.
+    Each text counts as if a blank stood at both its ends, and runs of what aren't letters as one blank, so that a
+    text's trigrams are the same wherever it stands among others. A group is a document or all documents of a language.
     """
-    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join([f"\n{t}\n" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ids = letters()[0][points]
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
     blank = ids == 0
     keep = ~blank
-    keep[1:] |= ~blank[:-1]
+    keep[1:] |= ~blank[:-1] | (doc[1:] != doc[:-1])
     keep[:1] = True
     ids, doc = ids[keep].astype(np.uint64), doc[keep]
     inner = doc[2:] == doc[:-2]
@@ -72,12 +75,13 @@ def trigrams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def bundle(texts: list[str], groups: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
-    """Per group the sum of its trigrams' vectors."""
+    """Per group the sum of its trigrams' vectors; exact."""
     return bundled(*trigrams(texts, groups), n_groups, dimensions)
 
 
 def bundled(group: np.ndarray, code: np.ndarray, count: np.ndarray, n_groups: int, dimensions: int) -> np.ndarray:
-    out = np.zeros((n_groups, dimensions), np.float32)
+    """Whole numbers: exact in any order of the rows, in 32-bit floats as long as a group has few enough trigrams in a block."""
+    out = np.zeros((n_groups, dimensions), np.float64)
     own, back, times = np.unique(code, return_inverse=True, return_counts=True)
     place = np.empty(len(own), np.int64)
     place[np.argsort(-times, kind="stable")] = np.arange(len(own))  # frequent ones share a block
@@ -87,30 +91,42 @@ def bundled(group: np.ndarray, code: np.ndarray, count: np.ndarray, n_groups: in
     for start in range(0, len(own), BLOCK):
         vectors = gram_vectors(names[start : start + BLOCK], dimensions)
         inside = (back >= start) & (back < start + BLOCK) if len(own) > BLOCK else np.ones(len(back), bool)
-        g, b, c = group[inside], back[inside] - start, count[inside].astype(np.float32)
+        g, b, c = group[inside], back[inside] - start, count[inside]
         edges = np.searchsorted(g, np.arange(n_groups + 1))
         for k in range(n_groups):
             lo, hi = edges[k], edges[k + 1]
             if hi > lo:
-                out[k] += c[lo:hi] @ vectors[b[lo:hi]]
+                kind = np.float32 if c[lo:hi].sum() < 1 << 24 else np.float64
+                out[k] += c[lo:hi].astype(kind) @ vectors[b[lo:hi]].astype(kind, copy=False)
     return out
 
 
+def scale(dimensions: int) -> float:
+    """Prototypes are whole numbers of this part of 1: products with vectors of -1 and 1 stay below 2^24, exact in 32-bit floats."""
+    return 2.0 ** (23 - (dimensions - 1).bit_length() // 2 - (dimensions - 1).bit_length() % 2)
+
+
 @dataclass
 class Profiles:
-    """Prototypes of the languages, rows of unit length."""
+    """Prototypes of the languages: rows of unit length, as whole numbers of 1 / scale(dimensions)."""
 
     languages: list[str]
     vectors: np.ndarray
 
+    @classmethod
+    def of(cls, sums: dict[str, np.ndarray], dimensions: int) -> Profiles:
+        names = sorted(sums)
+        rows = [np.round(sums[x] / max(np.linalg.norm(sums[x]), 1e-9) * scale(dimensions)) for x in names]
+        return cls(names, np.array(rows, np.float32).reshape(len(names), dimensions))
+
     def parts(self, codes: np.ndarray) -> np.ndarray:
-        """By trigram (sorted, distinct): its vector, of unit length, times each profile. A task computes them once for each, or anew when it holds too many."""
+        """By trigram (sorted, distinct): its vector times each profile, whole numbers. A task computes them once for each, or anew when it holds too many."""
         known, rows = self.__dict__.get("held", (np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))))
         new = np.setdiff1d(codes, known, assume_unique=True)
         if len(new):
             if len(known) + len(new) > HELD:
                 known, rows, new = known[:0], rows[:0], codes
-            own = [gram_vectors(new[at : at + BLOCK], self.vectors.shape[1]) @ self.vectors.T / self.vectors.shape[1] ** 0.5 for at in range(0, len(new), BLOCK)]
+            own = [(gram_vectors(new[at : at + BLOCK], self.vectors.shape[1]) @ self.vectors.T).astype(np.float64) for at in range(0, len(new), BLOCK)]
             known, rows = np.concatenate([known, new]), np.concatenate([rows, *own])
             order = np.argsort(known)
             known, rows = known[order], rows[order]
@@ -118,7 +134,10 @@ class Profiles:
         return rows[np.searchsorted(known, codes)]
 
     def measured(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
-        """Per text: language, likeness to its profile (the text's length is taken from its counts), distinct trigrams."""
+        """Per text: language, likeness to its profile (the text's length is taken from its counts), distinct trigrams.
+
+        All sums are of whole numbers, so that equal texts have equal likenesses in whatever batch they are.
+        """
         doc, code, count = trigrams(texts, np.arange(len(texts)))
         distinct = np.bincount(doc, minlength=len(texts)).tolist()
         if not self.languages:
@@ -126,7 +145,8 @@ class Profiles:
         own, back = np.unique(code, return_inverse=True)
         parts = self.parts(own)
         sums = np.stack([np.bincount(doc, count * parts[back, k], len(texts)) for k in range(len(self.languages))], axis=1)
-        cosine = sums / np.maximum(np.sqrt(np.bincount(doc, count.astype(float) ** 2, len(texts))), 1e-9)[:, None]
+        one = scale(self.vectors.shape[1]) * self.vectors.shape[1] ** 0.5
+        cosine = sums / one / np.maximum(np.sqrt(np.bincount(doc, count.astype(float) ** 2, len(texts))), 1e-9)[:, None]
         has = [any(map(str.isalpha, t)) for t in texts]
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
@@ -141,11 +161,11 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, dimensions: int = DIMENSIONS) -> Profiles:
+def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, dimensions: int = DIMENSIONS, most: int = MOST_LANGUAGES) -> Profiles:
     """Bundles, over all rows where ``train`` holds, each language's trigrams.
 
     Each task sends one partial vector per language, of whole numbers, so that sums don't depend on the order;
-    what reaches the driver is one vector per language.
+    what reaches the driver, and then the tasks, is one vector per language. More than ``most`` labels are an error.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +174,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, dimensio
 
         def flush() -> None:
             for x, (code, count) in held.items():
-                sums[x] = sums.get(x, 0) + bundled(np.zeros(len(code), np.int64), code, count, 1, dimensions)[0].astype(np.float64)
+                sums[x] = sums.get(x, 0) + bundled(np.zeros(len(code), np.int64), code, count, 1, dimensions)[0]
             held.clear()
 
         for part in slices(batches, "text"):
@@ -177,18 +197,18 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, train: Column, dimensio
 
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = (
-        rows.mapInArrow(partial, "lang string, vector array<double>")
+        rows.mapInArrow(lean(partial), "lang string, vector array<double>")
         .select("lang", F.posexplode("vector"))
         .groupBy("lang", "pos")
         .agg(F.sum("col").alias("value"))
         .groupBy("lang")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("vector"))  # as many as there are dimensions
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("vector"))  # as many as there are dimensions
+        .limit(most + 1)
         .collect()
     )
-    names = sorted(r["lang"] for r in sums)
-    by = {r["lang"]: np.array([x["value"] for x in r["vector"]]) for r in sums}
-    vectors = np.array([by[x] / max(np.linalg.norm(by[x]), 1e-9) for x in names]).reshape(len(names), dimensions)
-    return Profiles(names, vectors.astype(np.float32))
+    if len(sums) > most:
+        raise ValueError(f"more than {most} languages: is {lang_col} the right column?")
+    return Profiles.of({r["lang"]: np.array(r["vector"]) for r in sums}, dimensions)
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -209,7 +229,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                 langs, scores = profiles.predict([t or "" for t in own.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(own.column(c) for c in keep)], ["doc_id", "lang_pred", "score", *keep])
 
-    return rows.mapInArrow(label, T.StructType(fields))
+    return rows.mapInArrow(lean(label), T.StructType(fields))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str, least: float, few: int = 0) -> DataFrame:
@@ -225,7 +245,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, text_col: str, least: float,
                 found = profiles.measured([t or "" for t in own.column(text_col).to_pylist()])
                 yield own.filter(pa.array([x != UNDETERMINED and (s >= least or n < few) for x, s, n in zip(*found, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(lean(choose), docs.schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
