@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import chunks as C
-from scriptorium.llm.common import WorkFolder, partitions
+from scriptorium.llm.common import WorkFolder, lean, partitions, relax
 
 WINDOW = 13
 #: Positions i with i mod PERIOD in COVER. For any two positions i and j some shift d < PERIOD has both i + d and
 #: j + d among them, so that two equal windows share an anchor of WINDOW - PERIOD + 1 words at the same place.
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of anchor keys per byte of text, where words and blanks take three bytes or more on average.
+KEY_SHARE = 8 * len(COVER) / PERIOD / 3
 
 
 class Chunk:
@@ -46,14 +48,8 @@ class Chunk:
     def window_keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """96 bits of each distinct window's hash (as two columns), the least id of the chunk that has it, each start's place among them."""
         a, b = (self.words.windows(WINDOW, lane)[starts] for lane in (0, 1))
-        b = (b >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((self.ids[self.doc[starts]], b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        back = np.empty(len(a), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return a[new], b[new], self.ids[self.doc[starts]][order][new], back
+        back, own = least_ids(a, (b >> np.uint64(32)).astype(np.uint32), self.ids[self.doc[starts]])
+        return *own, back
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -61,15 +57,15 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
 
 
-def least_ids(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each entry the least id of all that have its key."""
+def least_ids(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """For C.answer(): each key's least id."""
     order = np.lexsort((ids, b, a))
     x, y = a[order], b[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    out = np.empty_like(ids)
-    out[order] = ids[order][new][np.cumsum(new) - 1]
-    return out
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return back, (x[new], y[new], ids[order][new])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -80,24 +76,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     then, for the windows around such anchors alone, for the least id that has the window, compared by 96 bits of
     hash. Both questions are key exchanges, see :mod:`chunks`. Documents stay where they are.
 
-    Ids are whole numbers; a null id stands behind all others, and rows that repeat an id never remove each
+    Ids are whole numbers below 2^63 - 1; a null id stands behind all others, and rows that repeat an id never remove each
     other's words. Null text has no words. Texts of less than 13 words are kept. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
     """
     work = WorkFolder(docs.sparkSession, "substrings")
-    ranges, tasks = C.n_ranges(docs), partitions(docs.sparkSession)
-    manifest = work.table(C.write_chunks(docs, work.folder("chunks"), id_col, text_col), "manifest").select("chunk")
+    tasks = partitions(docs.sparkSession)
+    written = work.table(C.write_chunks(docs, work.folder("chunks"), id_col, text_col), "manifest")
+    manifest, deal = written.select("chunk"), C.exchange(written, KEY_SHARE)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("chunk").to_pylist():
-                yield C.key_blocks(Chunk(uri).anchor_keys, uri, ranges)
+                yield C.key_blocks(Chunk(uri).anchor_keys, uri, deal.ranges)
 
     def windows(table: pa.Table) -> pa.Table:
         uri = table.column("chunk")[0].as_py()
         chunk = Chunk(uri)
         a, b, ids, _ = chunk.window_keys(chunk.candidates(C.replies(table, "?")))
-        return pa.Table.from_batches([C.key_blocks(a, uri, ranges, b, ids)])
+        out = pa.Table.from_batches([C.key_blocks(a, uri, deal.ranges, b, ids)])
+        relax()
+        return out
 
     fields = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
 
@@ -122,13 +121,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if with_text:
                 kept.append(data.decode())
         columns = {"doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == C.LAST), "n_words": np.diff(chunk.starts), "n_removed": n_removed.astype(np.int64), "kept_sha256": pa.array(sha, pa.string())}
+        relax()
         return pa.table(columns | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
 
     # Chunks are few bytes here but much work: dealt out by number, or adaptive execution would join them to a few tasks.
-    asked = manifest.repartition(tasks).mapInArrow(anchors, C.BLOCK_SCHEMA)
-    flags = work.table(C.answer(asked, ["<u8"], C.shared), "flags")
+    asked = manifest.repartition(tasks).mapInArrow(lean(anchors), C.BLOCK_SCHEMA)
+    flags = work.table(C.answer(asked, ["<u8"], C.repeated, work, deal.salts), "flags")
     asked = flags.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(windows, C.BLOCK_SCHEMA)
-    least = work.table(C.answer(asked, ["<u8", "<u4", "<i8"], least_ids), "least")
+    least = work.table(C.answer(asked, ["<u8", "<u4", "<i8"], least_ids, work, deal.salts), "least")
+    work.release()
     told = (
         flags.withColumn("kind", F.lit(1))
         .unionByName(least.withColumn("kind", F.lit(2)))
