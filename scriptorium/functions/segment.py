@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[ \t\n\r\f]"
-ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc", "fig", "eq", "al", "e.g", "i.e", "cf", "vol", "no", "pp")
+#: Abbreviations of T3, T4 and T6.
+UNIFIED_SHORT = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "etc", "vs", "i.e", "e.g", "Inc", "Ltd", "Co", "Corp", "Rev", "Gen", "Sen", "Rep", "Pres", "Hon", "al")
+PAPERS_SHORT = ("mr", "mrs", "ms", "dr", "prof", "fig", "eq", "al", "etc", "e.g", "i.e", "vs", "no", "st", "jr", "sr")
+MODEL_SHORT = ("Mr", "Mrs", "Dr", "Prof", "Inc", "Ltd", "etc", "e.g", "i.e", "vs", "al")
+
+
+#: Where a word of ASCII letters, digits and underscores starts and ends; the usual boundary takes other letters for parts of words, too.
+STARTS, ENDS = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def strip(c: Column) -> Column:
@@ -53,53 +61,34 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.size(stripped_parts(F.split(text, r"[.!?]+"))), F.lit(1))
 
 
-def scan_sentences(text: str, abbreviations: frozenset[str], boundary: str, guard: bool, quotes: bool) -> list[str]:
-    """One pass over the characters, for the variants that look back for abbreviations.
+def either(words: Sequence[str]) -> str:
+    """A pattern for one of the words as they are."""
+    return "|".join(w.replace(".", r"\.") for w in words)
 
-    ``boundary``: what must follow the mark, besides the end; empty for anything. ``guard``: no end inside
-    letters-mark-letters, as in identifiers. ``quotes``: a closing quote behind the mark belongs to the sentence.
-    """
-    out, start, i, n = [], 0, 0, len(text)
-    while i < n:
-        if text[i] in ".!?":
-            after = i + 1
-            inside = guard and 0 < i < n - 1 and text[i - 1].isalnum() and text[after].isalnum()
-            words = text[max(start, i - 12) : i].split()
-            short = text[i] == "." and bool(words) and words[-1].lower().lstrip("([\"'") in abbreviations
-            if quotes and after < n and text[after] in "\"'”’":
-                after += 1
-            if not inside and not short and (after >= n or not boundary or text[after] in boundary):
-                if part := text[start:after].strip():
-                    out.append(part)
-                start = after
-                i = after
-                continue
-        i += 1
-    if tail := text[start:].strip():
-        out.append(tail)
-    return out
 
+def sentences_quoted(text: Column, short: Sequence[str], guard: bool) -> Column:
+    """Ends at every . ! ? but the stop of an abbreviation, which may end a longer word; a quote behind the mark belongs to the sentence.
+
+    ``guard``: no end at a stop between two ASCII letters or digits, as identifiers have it.
+    """
+    known = either(short)
+    inside = r"(?<![A-Za-z0-9]\.(?=[A-Za-z0-9]))" if guard else ""
+    return stripped_parts(F.split(text, rf"""(?<=[.!?])(?<!(?:{known})\.){inside}(?!["'])|(?<=[.!?]["'])(?<!(?:{known})\.["'])"""))
 
-def _scanner(boundary: str, guard: bool, quotes: bool) -> Callable[..., Callable[[Column], Column]]:
-    def make(abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Callable[[Column], Column]:
-        known = frozenset(abbreviations)
 
-        @F.pandas_udf("array<string>")
-        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield texts.map(lambda t: None if t is None else scan_sentences(t, known, boundary, guard, quotes))
+def sentences_unified(text: Column) -> Column:
+    """Abbreviations, identifiers stay whole, a closing quote is absorbed."""
+    return sentences_quoted(text, UNIFIED_SHORT, True)
 
-        return split
 
-    return make
+def sentences_papers(text: Column) -> Column:
+    """T4: the mark must be followed by the end, a blank, a quote or a closing bracket, and the word before be no abbreviation."""
+    return stripped_parts(F.split(text, rf"""(?i)(?<=[.!?])(?<!(?:\A|[ \t\n\r\f()\[\]"])(?:{either(PAPERS_SHORT)})[.!?]{{1,9}})(?=\z|[ \t\n\r\f"')\]])"""))
 
 
-#: Abbreviations, identifiers stay whole, a closing quote is absorbed.
-sentences_unified = _scanner("", True, True)
-#: T4: the mark must be followed by the end, a blank, a quote or a closing bracket.
-sentences_papers = _scanner(" \t\n\r\"')]", False, False)
-#: Abbreviations only.
-sentences_model = _scanner("", False, False)
+def sentences_model(text: Column) -> Column:
+    """Abbreviations, a closing quote is absorbed."""
+    return sentences_quoted(text, MODEL_SHORT, False)
 
 
 def paragraphs(text: Column, rule: str = "lines") -> Column:
@@ -163,21 +152,75 @@ def packs(lengths: Column, most: int) -> Column:
 
 
 def budget_chunks(text: str, most: int) -> list[str]:
-    """Chunks of ``most`` words at most; past half of a chunk it ends at the last sentence end instead."""
-    found, out, at = text.split(), [], 0
-    while at < len(found):
-        end = min(at + most, len(found))
-        if end < len(found):
-            back = next((k for k in range(end, at + most // 2, -1) if found[k - 1][-1] in ".!?"), None)
-            end = back or end
-        out.append(" ".join(found[at:end]))
-        at = end
-    return out
-
+    """Chunks of ``most`` words; a chunk whose last . ! ? is past half of its characters ends there instead."""
+    words, out, at = re.split(r"\s+", text), [], 0
+    if len(words) <= most:
+        return [text]
+    while len(words) - at >= most:
+        part = words[at : at + most]
+        last = next((k for k in range(most - 1, -1, -1) if part[k].rstrip(".!?") != part[k] or any(m in part[k] for m in ".!?")), None)
+        end = -1 if last is None else sum(map(len, part[:last])) + last + max(part[last].rfind(m) for m in ".!?")
+        whole = " ".join(part)
+        if end > len(whole) * 0.5:
+            out.append(whole[: end + 1])
+            rest = whole[end + 1 : end + 1 + len(part[last])].split(" ")[0]  # what stands behind the mark in its word
+            at += last if rest else last + 1
+            if rest:
+                words[at] = rest
+        else:
+            out.append(whole)
+            at += most
+    return out + [" ".join(words[at:])] if at < len(words) else out
+
+
+def paragraph_chunks(text: str, most: int = 500) -> list[str]:
+    """Paragraphs packed in order up to ``most`` words; a larger one counts by lines, and a larger line is cut into runs of words."""
+    paragraphs = [p for p in (x.strip() for x in text.split("\n\n")) if p]
+    parts = [x for p in paragraphs for x in ([p] if len(p.split()) <= most else [y for y in (line.strip() for line in p.split("\n")) if y])]
+    out, held, used = [], [], 0
+
+    def close() -> None:
+        nonlocal held, used
+        if held:
+            out.append("\n".join(held))
+        held, used = [], 0
+
+    for part in parts:
+        words = part.split()
+        if len(words) > most:
+            close()
+            out += [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+            continue
+        if used + len(words) > most:
+            close()
+        held.append(part)
+        used += len(words)
+    close()
+    return out or [text]
+
+
+SENTENCE_GAP = re.compile(r"(?<=[.!?。！？])\s+")
+
+
+def sentence_chunks(text: str, most: int = 4500) -> list[str]:
+    """Sentences packed in order, with a blank between them, up to ``most`` characters; a longer one stands alone."""
+    out, held = [], ""
+    for part in SENTENCE_GAP.split(text):
+        if len(held) + len(part) + 1 > most:
+            out += [held] if held else []
+            held = part
+        else:
+            held = f"{held} {part}".strip()
+    return (out + [held] if held else out) or [text]
+
+
+def chunked(text: Column, cut: Callable[[str, int], list[str]], most: int) -> Column:
+    """The chunks of each text by one of the functions above."""
 
-def word_chunks(text: Column, most: int = 2500) -> Column:
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else budget_chunks(t, most))
+        return texts.map(lambda t: None if t is None else cut(t, most))
 
     return split(text)
+
+

@@ -69,20 +69,29 @@ def hash31(text: Column) -> Column:
     return fold(text)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over characters."""
+    """32-bit FNV-1a over characters; the texts of a batch advance together, character by character."""
 
     @F.pandas_udf("bigint")
     def fold(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> int | None:
-            if t is None:
-                return None
-            h = 2166136261
-            for c in t:
-                h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-            return h
-
-        return texts.map(one)
+        points = [code_points(t) for t in texts if t is not None]
+        sizes = np.array([len(p) for p in points], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.concatenate([np.zeros(0, np.uint32), *(points[i] for i in order)])
+        lengths = sizes[order]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
+        state = np.full(len(points), 2166136261, np.uint32)
+        live = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than i
+        for i, n in enumerate(live.tolist()):
+            state[:n] = (state[:n] ^ flat[starts[:n] + i]) * np.uint32(16777619)
+        out = np.empty(len(points), np.int64)
+        out[order] = state
+        found = iter(out.tolist())
+        return pd.Series([None if t is None else next(found) for t in texts], dtype="Int64")
 
     return fold(text)
 
@@ -95,15 +104,11 @@ def trigram_fingerprint(text: Column, size: int = 64) -> Column:
         def one(t: str | None) -> list[float] | None:
             if t is None:
                 return None
-            out = [0.0] * size
-            low = t.lower()
-            for i in range(len(low) - 2):
-                h = 0
-                for c in low[i : i + 3]:
-                    h = (h * 31 + ord(c)) & 0xFFFFFFFF
-                out[h % size] += 1
-            norm = sum(x * x for x in out) ** 0.5
-            return [x / norm for x in out] if norm else out
+            c = code_points(t.lower())
+            h = (c[:-2] * np.uint32(31) + c[1:-1]) * np.uint32(31) + c[2:] if len(c) > 2 else c[:0]
+            out = np.bincount((h % np.uint32(size)).astype(np.int64), minlength=size).astype(float)
+            norm = np.sqrt((out * out).sum())
+            return (out / norm if norm else out).tolist()
 
         return texts.map(one)
 
@@ -193,11 +198,15 @@ def verdict(score: Column) -> Column:
     return band(score, VERDICTS, "ai")
 
 
+#: Silent endings, and groups of vowels.
+SILENT, VOWELS = "(?:[^laeiouy]es|ed|[^laeiouy]e)$", "[aeiouy]{1,2}"
+
+
 def syllables(word: Column) -> Column:
     """Groups of vowels of a lower-case word, without a silent ending; one at least."""
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    core = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    groups = F.regexp_count(core, F.lit("[aeiouy]{1,2}"))
+    core = F.regexp_replace(F.regexp_replace(letters, SILENT, ""), "^y", "")
+    groups = F.regexp_count(core, F.lit(VOWELS))
     return F.when(F.char_length(letters) <= 3, F.lit(1)).otherwise(F.greatest(groups, F.lit(1)))
 
 
@@ -224,6 +233,33 @@ def readability(n_chars: Column, n_words: Column, n_sentences: Column, n_syllabl
     return out | {"reading_minutes": F.ceil(n_words / 225.0).cast("bigint")}
 
 
+def dale_chall(words: Column, n_sentences: Column, easy: Column) -> Column:
+    """The published formula, from the share of words that aren't among the easy ones (an open list, a parameter); 0 without words."""
+    n = F.size(words)
+    hard = F.try_divide(100.0 * F.size(F.filter(words, lambda w: ~F.array_contains(easy, w))), n)
+    score = 0.1579 * hard + 0.0496 * F.try_divide(n, n_sentences)
+    return F.when(n > 0, F.round(score + F.when(hard > 5, 3.6365).otherwise(0.0), 10)).otherwise(F.lit(0.0))
+
+
+def stage_range(text: str) -> list[int]:
+    """``2-5`` or ``1,3-4`` as whole numbers in their order."""
+    out: list[int] = []
+    for part in filter(None, (x.strip() for x in text.split(","))):
+        low, _, high = part.partition("-")
+        out += range(int(low), int(high or low) + 1)
+    return sorted(set(out))
+
+
+def stamped(ts: Column) -> dict[str, Column]:
+    """A time as a date, as a stamp for file names, and in ISO form; UTC."""
+    return {"date": F.date_format(ts, "yyyy-MM-dd"), "stamp": F.date_format(ts, "yyyyMMdd-HHmmss"), "iso": F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")}
+
+
+def mapped_value(key: Column, table: dict[str, str], usual: str) -> Column:
+    """The value of a small table, or the usual one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(usual)) if table else F.lit(usual)
+
+
 #: Lower bounds of Flesch reading ease.
 EASE = ((90, "very easy"), (80, "easy"), (70, "fairly easy"), (60, "standard"), (50, "fairly difficult"), (30, "difficult"))
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+from pyarrow import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,16 +17,19 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
+from scriptorium.operators import measures as M
+from scriptorium.work import WorkFolder
 
 #: Stop words, negations and patterns of protected spans.
 STOPWORDS = (
-    "a an and are as at be but by for from has have in into is it its of on or that the their this to was were will with you your we our they them i me"
-).split()
-NEGATIONS = ("not", "never", "none", "cannot", "without", "nor", "neither")
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "this", "to",
+    "was", "were", "will", "with", "you", "your", "we", "our", "they", "them", "i", "me",
+)
+NEGATIONS = ("no", "not", "never", "none", "without", "cannot", "cant", "wont", "isnt", "arent", "wasnt", "werent", "dont", "doesnt", "didnt")
 PROTECTED = {
     "urls": r"(?i)https?://[^\s)\]}>\"']+",
     "emails": r"(?i)[A-Z0-9][A-Z0-9._%-]{0,30}@[A-Z0-9][A-Z0-9.-]{0,30}\.[A-Z]{2,10}",
-    "code": r"`[^`]+`",
+    "code": r"```[\s\S]*?```|`[^`]+`",
     "markdown": r"#{1,6}\s+\S+|\*\*[^*]{1,200}\*\*|\[[^\]]{1,200}\]\([^)]{1,200}\)",
     "tokens": r"\b(?:sk-[A-Za-z0-9_-]{8,}|[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[A-Fa-f0-9]{32,})\b",
 }
@@ -66,7 +73,7 @@ def fidelity(pairs: DataFrame, a: str = "original", b: str = "rewritten") -> Dat
     out = out.withColumn("_k", top_keywords(F.col("_ta"), 24))
 
     def kept(x: str, y: str) -> Column:
-        return F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.filter(x, lambda v: F.array_contains(F.col(y), v))), F.size(x)))
+        return M.recalled(F.col(x), F.col(y))
 
     for side in "ab":
         out = out.withColumn(f"_e{side}", F.transform(f"_e{side}", F.lower)).withColumn(f"_n{side}", F.transform(f"_n{side}", F.lower))
@@ -89,12 +96,29 @@ def fidelity(pairs: DataFrame, a: str = "original", b: str = "rewritten") -> Dat
     return out.select(*pairs.columns, *parts, "score", verdict.alias("verdict"), warnings.alias("warnings"))
 
 
+def measured_retention(a: str, b: str) -> tuple[float, float, float]:
+    """Jaccard similarity of two texts' words and of their bigrams, and the closeness of their numbers of words."""
+    x, y = M.WORD.findall(a.lower()), M.WORD.findall(b.lower())
+
+    def alike(p: set, q: set) -> float:
+        common = len(p & q)
+        return common / (len(p) + len(q) - common) if p or q else 1.0
+
+    return alike(set(x), set(y)), alike(set(M.grams(x, 2)), set(M.grams(y, 2))), min(len(x), len(y)) / max(len(x), len(y)) if x or y else 1.0
+
+
 def retention(pairs: DataFrame, a: str = "original", b: str = "rewritten", least: float = 0.5) -> DataFrame:
     """Token, bigram and length retention; falls back to the original, with reasons joined by +, if any is too low."""
-    out = pairs.withColumn("_x", S.words(F.coalesce(F.col(a), F.lit("")))).withColumn("_y", S.words(F.coalesce(F.col(b), F.lit(""))))
-    out = out.withColumn("tokens", F.round(X.jaccard(F.col("_x"), F.col("_y")), 9)).withColumn("bigrams", F.round(X.jaccard(S.ngrams(F.col("_x"), 2), S.ngrams(F.col("_y"), 2)), 9)).withColumn("length", F.round(closeness(F.size("_x"), F.size("_y")), 9))
-    reasons = F.concat_ws("+", F.array_compact(F.array(*[F.when(F.col(c) < least, F.lit(c)) for c in ("tokens", "bigrams", "length")])))
-    return out.select(*pairs.columns, "tokens", "bigrams", "length", reasons.alias("reasons"), F.when(reasons == "", F.col(b)).otherwise(F.col(a)).alias("chosen"))
+    names = ("tokens", "bigrams", "length")
+    out = M.mapped(pairs, names, (), measured_retention, F.col(a), F.col(b)).select(*pairs.columns, *(F.round(f"_m.{c}", 9).alias(c) for c in names))
+    reasons = F.concat_ws("+", F.array_compact(F.array(*[F.when(F.col(c) < least, F.lit(c)) for c in names])))
+    return out.select(*pairs.columns, *names, reasons.alias("reasons"), F.when(reasons == "", F.col(b)).otherwise(F.col(a)).alias("chosen"))
+
+
+def semantic(pairs: DataFrame, first: Column, second: Column, least: float = 0.85) -> DataFrame:
+    """0.6 of one similarity and 0.4 of the other, and whether that is ``least`` or more. Models that give them are the caller's."""
+    like = F.round(0.6 * first + 0.4 * second, 9)
+    return pairs.withColumn("similarity", like).withColumn("passed", F.col("similarity") >= least)
 
 
 def aligned_sentences(left: DataFrame, right: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -113,33 +137,52 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in columns))
 
 
-def nearest(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str, k: int, block: int = 1024) -> DataFrame:
-    """The k items most like each query by cosine, ties by id: an exact scan by blocks of queries.
+def unit_rows(vectors) -> np.ndarray:
+    """Vectors as rows of length 1."""
+    out = np.array([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if len(out) else out
 
-    Queries are a bounded set, stated by the caller; each block of them meets each partition of items once as a
-    matrix product, and keeps k per query there, so that no pairs are shuffled beyond k per query and partition.
-    """
-    import numpy as np
 
-    found = queries.select(id_col, vector_col).orderBy(id_col).toPandas()
-    names = found[id_col].to_numpy()
-    matrix = np.array(found[vector_col].tolist(), np.float64).reshape(len(found), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+def best_of(like: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest, ties by id: all that reach the k-th greatest are sorted, no others."""
+    some = np.arange(len(like)) if len(like) <= k else np.flatnonzero(like >= np.partition(like, len(like) - k)[len(like) - k])
+    return some[np.lexsort((ids[some], -like[some]))[:k]]
+
+
+def nearest(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str, k: int, block: int = 1024, least: float | None = None) -> DataFrame:
+    """The k items most like each query by cosine (at least ``least`` if given), ties by id: an exact scan by blocks of queries.
+
+    Queries are written to the shared folder, and tasks read them block by block: each block meets each partition of
+    items as a matrix product, and leaves k items per query there, so that no pairs are shuffled beyond those.
+    """
+    spark = items.sparkSession
+    folder = WorkFolder(spark, "nearest")
+    folder.table(queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")), "queries")
+    path = f"{folder.path}/queries"
 
     def scan(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
+        system, root = pafs.FileSystem.from_uri(path)
         for part in batches:
-            own = np.array(part[vector_col].tolist(), np.float64).reshape(len(part), -1)
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-            ids = part[id_col].to_numpy()
-            for start in range(0, len(names), block):
-                like = np.round(matrix[start : start + block] @ own.T, 9)
-                for q, row in enumerate(like, start):
-                    few = np.lexsort((ids, -row))[: k + 1]
-                    best[q] = sorted([*best.get(q, []), *((-row[i], int(ids[i])) for i in few if ids[i] != names[q])])[:k]
-        rows = [(int(names[q]), i, -s) for q, x in best.items() for s, i in x]
-        yield pd.DataFrame(rows, columns=["query", "item", "similarity"]).astype({"query": "int64", "item": "int64", "similarity": "float64"})
+            own, ids = unit_rows(part[vector_col].tolist()), part[id_col].to_numpy(np.int64)
+            for asked in dataset.dataset(root, filesystem=system, format="parquet").to_batches(batch_size=block):
+                names = asked.column("id").to_numpy()
+                rows = []
+                for q, row in zip(names.tolist(), np.round(unit_rows(asked.column("v").to_pylist()) @ own.T, 9), strict=True) if asked.num_rows and len(own) else ():
+                    row[ids == q] = -2.0
+                    rows += [(q, int(ids[i]), float(row[i])) for i in best_of(row, ids, k) if row[i] > -2 and (least is None or row[i] >= least)]
+                yield pd.DataFrame(rows, columns=["query", "item", "similarity"]).astype({"query": "int64", "item": "int64", "similarity": "float64"})
 
     pairs = items.select(id_col, vector_col).mapInPandas(scan, "query bigint, item bigint, similarity double")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "item"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def cached_answers(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str, options: Sequence[str], now: Column, least: float = 0.95) -> DataFrame:
+    """Of the unexpired entries with the query's options, the most alike one, if it is ``least`` or more; ties by id.
+
+    ``entries`` has an ``expires`` column. Options are an equi-join key; pairs within a key are compared as they meet.
+    """
+    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"), *options)
+    e = entries.filter(F.col("expires") > now).select(F.col(id_col).alias("entry"), F.col(vector_col).alias("_e"), *options)
+    pairs = q.join(e, list(options)).withColumn("similarity", F.round(X.cosine(F.col("_q"), F.col("_e")), 9)).filter((F.col("similarity") >= least) & (F.col("query") != F.col("entry")))
+    return pairs.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("entry").alias("entry"))).alias("_b")).select("query", "_b.entry", (-F.col("_b.s")).alias("similarity"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.operators.ranking import ranked
 
 
 def gates(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -29,6 +30,23 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def needs_work(scores: DataFrame, dimensions: Sequence[str], id_col: str = "doc_id", most: float = 80.0, least: float = 60.0) -> DataFrame:
+    """whether a text's composite score is under ``most`` and one of the dimensions under ``least``."""
+    from scriptorium.operators.scoring import composite_score
+
+    score = composite_score()
+    low = F.exists(F.array(*[F.col(c) for c in dimensions]), lambda x: x < least)
+    return scores.select(id_col, ((score >= 0) & (score < most) & low).alias("needs_work"))
+
+
+def top_values(rows: DataFrame, kinds: dict[str, Column], k: int) -> DataFrame:
+    """A2: of each kind the k most frequent values, ties by value. Rows are summed per value first, from one scan."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("kind"), value.alias("value")) for name, value in kinds.items()])
+    counts = rows.select(F.inline(pairs)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Sequence[str]) -> DataFrame:
     """Per key the values of the first row by ``order``, and how many others there were.
 
@@ -72,17 +90,10 @@ def split_of(key: Column, seed: str, train: int = 70, validation: int = 15) -> C
 
 
 def positional_split(rows: DataFrame, order: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """M3: by position in the order, for tables so small that a hash leaves a part empty.
-
-    A rank over all rows is taken from range partitions and their counts, not from one window.
-    """
-    parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    sizes = parts.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_start"))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
-    placed = parts.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(starts), "_p")  # as many rows as partitions
-    share = (F.col("_before") + F.col("_id") - F.col("_start")) / F.col("_all")
-    return placed.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test")).drop("_p", "_n", "_start", "_before", "_all", "_id")
+    """M3: by position in the order, for tables so small that a hash leaves a part empty."""
+    placed = ranked(rows, [F.col(order)], "_rank", "_all")
+    share = F.col("_rank") / F.col("_all")
+    return placed.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test")).drop("_rank", "_all")
 
 
 def confusion(rows: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -100,12 +111,12 @@ def confusion(rows: DataFrame, label: str = "label", prediction: str = "predicti
 def auroc(rows: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
     """Area under the ROC curve with tied scores taken together; 0.5 if one label is missing.
 
-    Rows are summed per distinct score first. The running sum is over those scores; quantise scores if there
-    are as many as rows.
+    Rows are summed per distinct score first; the running sum over scores is taken from range partitions and their
+    sums, so that no task sees all of them.
     """
     scores = rows.groupBy(F.col(probability).alias("p")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    before = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)
-    area = scores.withColumn("above", F.coalesce(F.sum("pos").over(before), F.lit(0))).agg(F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2)).alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    placed = ranked(scores, [F.desc("p")], "_rank", total="pos", running="above")
+    area = placed.agg(F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2)).alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return area.select(F.round(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("area") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(0.5)), 9).alias("auroc"))
 
 
@@ -115,6 +126,18 @@ def calibration(rows: DataFrame, bins: int = 10, label: str = "label", probabili
     return own.agg(F.round(F.coalesce(F.sum(F.col("n") * F.abs(F.col("p") - F.col("right"))) / F.sum("n"), F.lit(0.0)), 9).alias("ece"))
 
 
+def taken_records(records: DataFrame, seen: DataFrame, checks: dict[str, Column], key: str, order: Sequence[Column], most: int) -> DataFrame:
+    """Of records not seen before, each key once, those that pass all checks, the first ``most`` in the order: a downloader's own limit."""
+    new = records.join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    return gates(new, checks).filter("passed").drop("failures", "passed").orderBy(*order).limit(most)
+
+
+def looked_up(rows: DataFrame, works: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows with what a table of works knows of their key; of several works the least counts, unknown ones stay with nulls."""
+    known = works.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_w"))
+    return rows.join(known, key, "left").select(*rows.columns, *(F.col(f"_w.{c}").alias(c) for c in columns), F.col("_w").isNotNull().alias("found"))
+
+
 def quality_gate(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
     """M8: whether each metric reaches its minimum, and all do."""
     return metrics.select(*(F.col(k) for k in least), *((F.col(k) >= v).alias(f"{k}_ok") for k, v in least.items()), F.forall(F.array(*[F.col(k) >= v for k, v in least.items()]), lambda x: x).alias("passed"))
@@ -129,11 +152,6 @@ def validate_pairs(rows: DataFrame, labels: Sequence[str], pair: str = "pair_id"
     return one.crossJoin(leaks).crossJoin(own)  # one row each
 
 
-def every_kth(rows: DataFrame, order: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rows k, 2k, ... of each group's order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(order))).filter(F.col("_n") % max(k, 1) == 0).drop("_n")
-
-
 def domain_scores(docs: DataFrame, keywords: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Best and second domain by share of its keywords that occur; ties by name.
 
@@ -148,13 +166,28 @@ def domain_scores(docs: DataFrame, keywords: DataFrame, text_col: str = "text",
     return best.select(id_col, F.col("best")[0]["domain"].alias("domain"), F.round(-F.col("best")[0]["rank"], 6).alias("confidence"), F.get("best", F.lit(1))["domain"].alias("second"), F.round(-F.get("best", F.lit(1))["rank"], 6).alias("second_confidence"))
 
 
-def lexicon_hits(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per document and phrase that occurs, with its count, category and severity.
+#: F1, O2: severities from the gravest on.
+SEVERITIES = ("must_fix", "should_fix", "cosmetic")
 
-    ``lexicon`` (pattern, category, severity) is a rule table; it becomes one literal map.
-    """
-    rules = [(r["pattern"], r["category"], r["severity"]) for r in lexicon.collect()]  # some hundred rows
-    low = F.lower(F.col(text_col))
+
+def hits_of(low: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """of the rules (pattern, category, severity) that occur in a lower-case text: pattern, category, severity, n."""
+    if not rules:
+        return F.array().cast("array<struct<pattern:string,category:string,severity:string,n:bigint>>")
     entries = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(c).alias("category"), F.lit(s).alias("severity")) for p, c, s in rules])
-    hits = F.transform(F.filter(entries, lambda e: F.contains(F.col("_low"), e["pattern"])), lambda e: F.struct(e["pattern"].alias("pattern"), e["category"].alias("category"), e["severity"].alias("severity"), F.floor((F.char_length("_low") - F.char_length(F.replace(F.col("_low"), e["pattern"], F.lit("")))) / F.char_length(e["pattern"])).cast("bigint").alias("n")))
-    return docs.select(id_col, low.alias("_low")).select(id_col, F.inline(hits))
+    n = lambda p: F.floor((F.char_length(low) - F.char_length(F.replace(low, p, F.lit("")))) / F.char_length(p)).cast("bigint")
+    return F.transform(F.filter(entries, lambda e: F.contains(low, e["pattern"])), lambda e: F.struct(e["pattern"].alias("pattern"), e["category"].alias("category"), e["severity"].alias("severity"), n(e["pattern"]).alias("n")))
+
+
+def lexicon_hits(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: str | None = None) -> DataFrame:
+    """A row per document and phrase that occurs, with its count, category and severity, and its place in the
+    document's order by severity, then count. ``least`` leaves out what is less grave.
+
+    ``lexicon`` (pattern, category, severity) is a rule table; it becomes one literal.
+    """
+    known = SEVERITIES[: SEVERITIES.index(least) + 1] if least else None
+    rules = [(r["pattern"], r["category"], r["severity"]) for r in lexicon.collect() if known is None or r["severity"] in known]  # some hundred rows
+    grave = F.create_map(*[F.lit(x) for kv in ((s, i) for i, s in enumerate(SEVERITIES)) for x in kv])
+    rows = docs.select(id_col, F.lower(F.col(text_col)).alias("_low")).select(id_col, hits_of(F.col("_low"), rules).alias("_h"))
+    keyed = F.transform("_h", lambda h: F.struct(F.coalesce(F.element_at(grave, h["severity"]), F.lit(len(SEVERITIES))).alias("g"), (-h["n"]).alias("m"), h["pattern"].alias("p"), h.alias("h")))
+    return rows.select(id_col, F.posexplode(F.array_sort(keyed)).alias("place", "_x")).select(id_col, "_x.h.*", F.col("place"))

@@ -9,20 +9,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.segment import strip
+
 CITE = r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"
 REF = r"\\(?:ref|eqref|autoref|cref|Cref|pageref)\{([^}]*)\}"
 LABEL = r"\\label\{([^}]*)\}"
 BIB_ENTRY = r"\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}"
 HEADING = r"\\((?:sub){0,2})section\*?\{([^}]*)\}"
-#: Section kinds by the first of these that a title contains.
-SECTION_KINDS = (("abstract", "abstract"), ("introduction", "introduction"), ("related work", "related_work"), ("background", "background"), ("method", "methodology"), ("approach", "methodology"), ("experiment", "experiments"), ("result", "results"), ("discussion", "discussion"), ("limitation", "limitations"), ("conclusion", "conclusion"), ("acknowledg", "acknowledgments"))
-#: What is kept as it is: environments, display and inline formulas.
+#: A section's kind by the first of these that its title contains.
+SECTION_KINDS = (
+    ("abstract", "abstract"), ("introduction", "introduction"), ("related work", "related_work"), ("literature review", "literature_review"), ("literature", "literature_review"), ("background", "related_work"),
+    ("prior work", "related_work"), ("methodology", "methodology"), ("method", "methodology"), ("methods", "methodology"), ("proposed method", "methodology"), ("approach", "methodology"), ("system design", "methodology"),
+    ("experimental setup", "experiments"), ("experiments", "experiments"), ("experiment", "experiments"), ("evaluation", "experiments"), ("results", "results"), ("result", "results"), ("findings", "results"),
+    ("discussion", "discussion"), ("analysis", "discussion"), ("conclusion", "conclusion"), ("conclusions", "conclusion"), ("concluding remarks", "conclusion"), ("summary", "conclusion"), ("future work", "conclusion"),
+    ("acknowledgment", "acknowledgments"), ("acknowledgments", "acknowledgments"), ("acknowledgements", "acknowledgments"), ("appendix", "appendix"),
+)
+NUMBERING = r"(?i)^[0-9ivx]+\.\s*"
+#: The order of sections, those that structure checks and final checks want, the role and rank of a section's text.
+EXPECTED_ORDER = ("abstract", "introduction", "related_work", "literature_review", "methodology", "experiments", "results", "discussion", "conclusion", "acknowledgments", "appendix")
+NEEDED_SECTIONS = ("abstract", "introduction", "conclusion")
+REQUIRED_SECTIONS = ("abstract", "introduction", "methodology", "results", "discussion", "conclusion")
+ROLES = {"abstract": "summary", "introduction": "claim", "related_work": "evidence", "literature_review": "evidence", "methodology": "evidence", "experiments": "evidence", "results": "analysis", "discussion": "analysis", "conclusion": "summary"}
+RANKS = {"abstract": 5, "introduction": 5, "methodology": 4, "results": 5, "discussion": 5, "conclusion": 4, "related_work": 3, "literature_review": 3}
+#: What is kept as it is, in the order in which a region's kind is chosen.
 PROTECTED = (
-    ("figure", r"\\begin\{figure\*?\}.*?\\end\{figure\*?\}"), ("table", r"\\begin\{table\*?\}.*?\\end\{table\*?\}"),
-    ("equation", r"\\begin\{(?:equation|align|gather)\*?\}.*?\\end\{(?:equation|align|gather)\*?\}|\$\$.*?\$\$|\\\[.*?\\\]"),
-    ("code", r"\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\}"), ("list", r"\\begin\{(?:itemize|enumerate)\}.*?\\end\{(?:itemize|enumerate)\}"),
-    ("comment", r"(?m)(?<!\\)%[^\n]*"),
+    ("equation", r"\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|displaymath|flalign\*?|split)\}.*?\\end\{\1\}"), ("equation", r"\\\[.*?\\\]"), ("equation", r"\$\$.*?\$\$"),
+    ("inline_math", r"(?<!\$)\$(?!\$)(?:[^$\\]|\\.)+?\$(?!\$)"), ("table", r"\\begin\{(table\*?|tabular\*?|longtable|tabularx)\}.*?\\end\{\1\}"), ("figure", r"\\begin\{(figure\*?)\}.*?\\end\{\1\}"),
+    ("environment", r"\\begin\{(algorithm\*?|algorithmic|lstlisting|verbatim|minted|tikzpicture|pgfpicture)\}.*?\\end\{\1\}"), ("comment", r"(?m)^[ \t]*%.*?$"),
+)
+#: P11's regions of markup, and P12's of Markdown, in their order.
+MARKUP_REGIONS = (
+    r"\\begin\{(?:equation|align|gather|multline|eqnarray)\*?\}.*?\\end\{(?:equation|align|gather|multline|eqnarray)\*?\}", r"\\\[.*?\\\]", r"\$\$.*?\$\$", r"\$[^\$\n]+?\$", r"\\cite[tp]?\{[^}]+\}",
+    r"\\(?:ref|label|eqref|autoref)\{[^}]+\}", r"\\begin\{(?:figure|table|algorithm|lstlisting|verbatim)\*?\}.*?\\end\{(?:figure|table|algorithm|lstlisting|verbatim)\*?\}", r"\\(?:textbf|textit|emph|texttt|textrm|text)\{[^}]+\}",
+)
+MARKDOWN_REGIONS = (
+    r"(?m)^>[^\n]*$", r"```.*?```", r"`[^`\n]+`", r"!\[[^\]]*\]\([^)]+\)", r"\[[^\]]+\]\([^)]+\)", r"""https?://[^\s<>)\]"']+?(?=[.,!?;:]?(?:[\s<>)\]"']|\Z))""", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    r"(?<![a-zA-Z0-9_])@[a-zA-Z0-9_]+", r"(?<![a-zA-Z0-9_])#[a-zA-Z][a-zA-Z0-9_]*",
 )
+#: The forms of placeholders of P10, P11 and P12.
+PLACEHOLDER, MARKUP_PLACEHOLDER, MARKDOWN_PLACEHOLDER = "⟦PROTECTED_{}⟧", "__P_{}__", "__PROTECT_{}__"
 #: In the order of the results; the last two give a name by its group.
 FACTS = tuple((kind, re.compile(p, flags)) for kind, p, flags in (
     ("percentage", r"\d+\.?\d*\s*\\?%", 0), ("p_value", r"p\s*[<>=≤≥]\s*(?:\d+\.?\d*|\.\d+)", re.I),
@@ -69,28 +94,50 @@ def plain(text: Column) -> Column:
     return F.trim(text)
 
 
+def comparable(text: Column) -> Column:
+    """Text of markup for comparison: formulas, tables, figures, citations and references are their names in brackets, other commands go."""
+    closed = lambda names: rf"(?s)\\begin\{{({names})\}}.*?\\end\{{({names})\}}"
+    steps = (
+        (closed(r"equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|displaymath"), "[EQUATION]"), (r"(?s)\\\[.*?\\\]", "[EQUATION]"), (r"(?s)\$\$.*?\$\$", "[EQUATION]"), (r"\$[^$\n]+\$", "[MATH]"),
+        (closed(r"table\*?|tabular\*?|longtable"), "[TABLE]"), (closed(r"figure\*?"), "[FIGURE]"), (r"\\(?:cite|citep|citet|citeauthor|citeyear|autocite|parencite|textcite)\*?\{[^}]+\}", "[CITATION]"),
+        (r"\\(?:ref|eqref|pageref|autoref|cref|Cref|nameref)\{[^}]+\}", "[REF]"), (r"\\label\{[^}]+\}", ""), (r"\\(?:textbf|textit|emph|underline|textsc|textrm|textsf|texttt|textup)\{([^}]*)\}", "$1"),
+        (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", ""), (r"[{}]", ""), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "),
+    )
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return strip(text)
+
+
 def section_kind(title: Column) -> Column:
     """P6"""
+    low = F.regexp_replace(F.lower(F.trim(title)), NUMBERING, "")
     out = F.when(F.lit(False), "")
     for part, kind in SECTION_KINDS:
-        out = out.when(F.contains(F.lower(title), F.lit(part)), kind)
-    return out.otherwise("other")
+        out = out.when(F.contains(low, F.lit(part)), kind)
+    return out.otherwise("unknown")
+
 
+def scan_sections(text: str) -> list[tuple[int, str, int, int, int, int, int]]:
+    """P5: position, title, level, start, end, and where the content starts and ends: the abstract's environment, then headed parts of the body.
 
-def scan_sections(text: str) -> list[tuple[int, str, int, int, int]]:
-    """P5: position, title, level, start and end of each headed part; it ends where the next begins."""
-    found = [(m.start(), m[2], 1 + m[1].count("sub")) for m in re.finditer(HEADING, text)]
-    stop = text.find("\\begin{thebibliography}")
-    stop = stop if stop >= 0 else text.find("\\end{document}")
-    stop = stop if stop >= 0 else len(text)
-    ends = [*(x[0] for x in found[1:]), max(stop, found[-1][0]) if found else 0]
-    return [(i, title, level, start, end) for i, ((start, title, level), end) in enumerate(zip(found, ends, strict=True))]
+    A part ends where the next begins, the last at the bibliography or the body's end. Without any, the body is one part.
+    """
+    begin, end = text.find("\\begin{document}"), text.find("\\end{document}")
+    begin, end = (begin + 16 if begin >= 0 else 0), (end if end >= 0 else len(text))
+    found = []
+    if m := re.search(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", text[begin:end], re.DOTALL):
+        found.append(("Abstract", 1, begin + m.start(), begin + m.end(), begin + m.start(1), begin + m.end(1)))
+    heads = [(begin + m.start(), begin + m.end(), m[2].strip(), 1 + m[1].count("sub")) for m in re.finditer(HEADING, text[begin:end])]
+    bib = text.find("\\begin{thebibliography}")
+    stops = [*(h[0] for h in heads[1:]), bib if bib >= 0 else end]
+    found += [(title, level, a, stop, b, stop) for (a, b, title, level), stop in zip(heads, stops, strict=False)]
+    return [(i, *x) for i, x in enumerate(found or [("", 1, begin, end, begin, end)])]
 
 
 def sections(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """A row per section."""
 
-    @F.pandas_udf("array<struct<position: int, title: string, level: int, start: int, end: int>>")
+    @F.pandas_udf("array<struct<position: int, title: string, level: int, start: int, end: int, content_start: int, content_end: int>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: [] if t is None else scan_sections(t))
@@ -98,24 +145,31 @@ def sections(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(id_col, F.inline(scan(text_col))).withColumn("kind", section_kind(F.col("title")))
 
 
-def scan_blocks(text: str) -> list[tuple[int, str, int, int]]:
-    """Protected regions, the longest first where several start, without overlaps; the gaps are text. They tile the source."""
-    regions = sorted(((m.start(), m.end(), kind) for kind, p in PROTECTED for m in re.finditer(p, text, re.DOTALL)), key=lambda r: (r[0], -r[1]))
-    out, at = [], 0
+def scan_blocks(text: str, at: int = 0, stop: int | None = None) -> list[tuple[int, str, int, int]]:
+    """Protected regions, the longest first where several start, without overlaps; the gaps are text. They tile the source, or its part from ``at`` to ``stop``."""
+    part = text[at:stop]
+    regions = sorted(((m.start(), m.end(), kind) for kind, p in PROTECTED for m in re.finditer(p, part, re.DOTALL)), key=lambda r: (r[0], -r[1]))
+    out, done = [], 0
     for start, end, kind in regions:
-        if start < at or end == start:
+        if start < done or end == start:
             continue
-        if start > at:
-            out.append(("text", at, start))
-        out.append((kind, start, end))
-        at = end
-    if at < len(text):
-        out.append(("text", at, len(text)))
+        if start > done:
+            out.append(("text", at + done, at + start))
+        out.append((kind, at + start, at + end))
+        done = end
+    if done < len(part):
+        out.append(("text", at + done, at + len(part)))
     return [(i, *x) for i, x in enumerate(out)]
 
 
+def complexity(source: Column) -> Column:
+    """By the number of words."""
+    n = F.size(F.filter(F.split(source, r"\s+"), lambda x: x != ""))
+    return F.when(n > 80, "high").when(n > 30, "medium").otherwise("low")
+
+
 def blocks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """A row per block with its source, and for text its role's priority by length."""
+    """A row per block with its source."""
 
     @F.pandas_udf("array<struct<position: int, kind: string, start: int, end: int>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,8 +178,22 @@ def blocks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     rows = docs.select(id_col, text_col, F.inline(scan(text_col)))
     source = F.substr(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
-    n = F.size(F.filter(F.split(source, r"\s+"), lambda x: x != ""))
-    return rows.withColumn("source", source).withColumn("complexity", F.when(n > 80, "high").when(n > 30, "medium").otherwise("low")).drop(text_col)
+    return rows.withColumn("source", source).withColumn("complexity", complexity(F.col("source"))).drop(text_col)
+
+
+def tagged_blocks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """A row per block of each section's content, with the section's kind, and for text its role, rank and complexity."""
+
+    @F.pandas_udf("array<struct<section: int, title: string, position: int, block: string, start: int, end: int>>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [] if t is None else [(i, title, *b) for i, title, _, _, _, a, z in scan_sections(t) for b in scan_blocks(t, a, z)])
+
+    rows = docs.select(id_col, text_col, F.inline(scan(text_col))).withColumn("kind", section_kind(F.col("title")))
+    source = F.substr(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
+    text = F.col("block") == "text"
+    named = lambda table, usual: F.when(text, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("kind")), F.lit(usual)))
+    return rows.select(id_col, "section", "kind", "position", "block", "start", "end", named(ROLES, "analysis").alias("role"), named(RANKS, 3).alias("rank"), F.when(text, complexity(source)).alias("complexity"))
 
 
 def rebuilt(block_rows: DataFrame, id_col: str, rewritten: str | None = None) -> DataFrame:
@@ -135,41 +203,47 @@ def rebuilt(block_rows: DataFrame, id_col: str, rewritten: str | None = None) ->
     return block_rows.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("text"))
 
 
-def masked(text: str, patterns: Sequence[str]) -> tuple[str, list[str]]:
+def masked(text: str, patterns: Sequence[str], form: str = PLACEHOLDER) -> tuple[str, list[str]]:
     """Protected spans by numbered placeholders, patterns in order; and what they stand for."""
     kept: list[str] = []
 
     def hide(m: re.Match) -> str:
         kept.append(m[0])
-        return f"⟦PROTECTED_{len(kept) - 1}⟧"
+        return form.format(len(kept) - 1)
 
     for p in patterns:
         text = re.sub(p, hide, text, flags=re.DOTALL)
     return text, kept
 
 
-def unmasked(text: str, kept: Sequence[str]) -> str:
-    for i in range(len(kept) - 1, -1, -1):
-        text = text.replace(f"⟦PROTECTED_{i}⟧", kept[i])
-    return text
+def unmasked(text: str, kept: Sequence[str], form: str = PLACEHOLDER) -> str:
+    """Puts spans back, also those inside of others; linear in the text. A placeholder without a span stays."""
+    mark = re.compile(re.escape(form).replace(r"\{\}", r"(\d+)"))
+
+    def back(m: re.Match) -> str:
+        return mark.sub(back, kept[int(m[1])]) if int(m[1]) < len(kept) else m[0]
+
+    return mark.sub(back, text)
 
 
-def protect(docs: DataFrame, patterns: Sequence[str], text_col: str, id_col: str) -> DataFrame:
+def protect(docs: DataFrame, patterns: Sequence[str], text_col: str, id_col: str, form: str = PLACEHOLDER) -> DataFrame:
     """Masked text and kept spans."""
 
     @F.pandas_udf("struct<masked: string, kept: array<string>>")
     def hide(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([masked(t or "", patterns) for t in texts], columns=["masked", "kept"])
+        return pd.DataFrame([masked(t or "", patterns, form) for t in texts], columns=["masked", "kept"])
 
     return docs.select(id_col, hide(text_col).alias("_m")).select(id_col, "_m.masked", "_m.kept")
 
 
-def restore(rows: DataFrame, id_col: str) -> DataFrame:
-    """Undoes :func:`protect`, the last placeholder first."""
-    order = F.reverse(F.sequence(F.lit(0), F.size("kept") - 1))
-    indexes = F.when(F.size("kept") > 0, order).otherwise(F.array().cast("array<int>"))
-    text = F.aggregate(indexes, F.col("masked"), lambda t, i: F.replace(t, F.concat(F.lit("⟦PROTECTED_"), i.cast("string"), F.lit("⟧")), F.get("kept", i)))
-    return rows.select(id_col, text.alias("text"))
+def restore(rows: DataFrame, id_col: str, form: str = PLACEHOLDER) -> DataFrame:
+    """Undoes :func:`protect`."""
+
+    @F.pandas_udf("string")
+    def show(texts: pd.Series, kept: pd.Series) -> pd.Series:
+        return pd.Series([unmasked(t, list(k), form) for t, k in zip(texts, kept, strict=True)], dtype=object)
+
+    return rows.select(id_col, show("masked", "kept").alias("text"))
 
 
 def scan_facts(text: str) -> list[tuple[str, str, int, int, str]]:
@@ -199,13 +273,17 @@ def facts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(id_col, F.inline(scan(text_col)))
 
 
-NUMERIC_CLAIMS = {"percentages": r"\d+(?:\.\d+)?%", "decimals": r"\d+\.\d+", "integers": r"\b\d+\b", "ranges": r"\d+\s?-\s?\d+", "years": r"\b(?:19|20)\d{2}\b"}
+#: Patterns of numeric claims.
+NUMERIC_CLAIMS = {
+    "percentages": r"\d+\.?\d*\s*%", "p_values": r"(?i)p\s*[<>=≤≥]\s*\d+\.?\d*", "confidence_intervals": r"(?i)\d+\.?\d*\s*%?\s*(?:CI|confidence interval)", "decimals": r"(?<![\p{L}\p{N}_])\d+\.\d+(?![\p{L}\p{N}_])",
+    "effect_sizes": r"(?i)(?:Cohen['’]?s?\s+)?d\s*=\s*\d+\.?\d*", "correlations": r"(?i)r\s*=\s*[−-]?\d+\.?\d*", "sample_sizes": r"[Nn]\s*=\s*\d+",
+}
 
 
 def numeric_claims(text: Column) -> dict[str, Column]:
-    """Counts by kind and in total."""
-    counts = {k: F.regexp_count(text, F.lit(p)) for k, p in NUMERIC_CLAIMS.items()}
-    return counts | {"total": sum(counts.values(), F.lit(0))}
+    """The lists of claims by kind, and their number in total."""
+    lists = {k: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in NUMERIC_CLAIMS.items()}
+    return lists | {"total": sum((F.size(x) for x in lists.values()), F.lit(0))}
 
 
 def integrity(pairs: DataFrame, a: str, b: str) -> DataFrame:

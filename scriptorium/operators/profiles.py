@@ -23,16 +23,6 @@ ACCEPTANCE = ((8.0, 0.75), (7.0, 0.50), (6.0, 0.30), (5.0, 0.15))
 Fingerprint = tuple[str, str, float, float]
 
 
-def voice_profiles(docs: DataFrame, by: str, text_col: str = "text", least: int = 3) -> DataFrame:
-    """Means over a profile's samples of sentence length and its deviation, distinct share, commas and questions; profiles of ``least`` samples or more."""
-    text = F.col("text")
-    parts = docs.select(by, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("w", S.words(text)).withColumn("l", F.transform(S.sentences_before_capital(text), lambda x: F.size(S.words(x))))
-    n = F.size("w")
-    own = parts.select(by, A.mean(F.col("l")).alias("length"), A.deviation(F.col("l")).alias("spread"), X.ratio(A.n_distinct(F.col("w")), n).alias("variety"), X.ratio(1000.0 * F.regexp_count(text, F.lit(",")), n).alias("commas"), X.ratio(1000.0 * F.regexp_count(text, F.lit(r"\?")), n).alias("questions"))
-    names = ("length", "spread", "variety", "commas", "questions")
-    return own.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), *[F.round(F.avg(c), 6).alias(c) for c in names]).filter(F.col("samples") >= least)
-
-
 def profile_differences(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Of two one-row profiles, a row per feature with both values and their distance."""
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a.{c}").cast("double").alias("first"), F.col(f"b.{c}").cast("double").alias("second"), F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).cast("double").alias("distance")) for c in columns])
@@ -70,16 +60,45 @@ def attribution(features: DataFrame, fingerprints: Sequence[Fingerprint], id_col
 
 
 def ensemble(scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Weighted score of the columns of ENSEMBLE (0 to 100), rounded half up, and verdict."""
+    """Weighted score of the columns of ENSEMBLE (0 to 100), rounded half up, and verdict."""
     score = F.floor(F.round(sum((F.col(k) * w for k, w in ENSEMBLE.items()), F.lit(0.0)), 9) + 0.5)
     return scores.select(id_col, score.cast("bigint").alias("score"), X.verdict(score).alias("verdict"))
 
 
-def slop_score(text: Column, words: Sequence[str]) -> Column:
-    """100 less 15 for each listed word per hundred words."""
-    n = F.size(S.blank_words(text))
-    hits = F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b"))
-    return X.clamp(100.0 - 15.0 * X.ratio(hits * 100.0, n))
+def radar(scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row per part of the ensemble: axis, value from 0 to 100, and its weight."""
+    rows = F.array(*[F.struct(F.lit(k).alias("axis"), F.least(F.greatest(F.col(k).cast("double"), F.lit(0.0)), F.lit(100.0)).alias("value"), F.lit(w).alias("weight")) for k, w in ENSEMBLE.items()])
+    return scores.select(id_col, F.inline(rows))
+
+
+def detector_mean(scores: Sequence[Column]) -> Column:
+    """The mean of the detectors that have a score; null without any."""
+    known = F.array_compact(F.array(*[c.cast("double") for c in scores]))
+    return F.when(F.size(known) > 0, F.try_divide(X.sum_of(known), F.size(known)))
+
+
+def local_probability(score: Column) -> Column:
+    """What stands in for an external detector: the complement of the local score."""
+    return F.round(1 - score / 100, 4)
+
+
+def slop_score(text: Column, words: Sequence[str]) -> dict[str, Column]:
+    """listed words, how many there are per thousand words, and 100 less 15 for each of those; all words count, whatever their severity."""
+    n = F.size(F.split(text, r"[ \t\n\r\f]+"))
+    hits = F.regexp_count(F.lower(text), F.lit(rf"{S.STARTS}(?:{'|'.join(re.escape(w) for w in words)}){S.ENDS}"))
+    density = X.ratio(hits * 1000.0, n)
+    return {"n": hits.cast("bigint"), "density": F.round(density, 2), "slop": F.floor(X.clamp(100.0 - 15.0 * density) + 0.5).cast("bigint")}
+
+
+def slop_hits(docs: DataFrame, rules: Sequence[tuple[str, str, str]], text_col: str, id_col: str) -> DataFrame:
+    """a row per listed word (word, replacement, severity) and place in the lower-case text."""
+    known = [(w, by, severity, re.compile(rf"\b{re.escape(w)}\b", re.ASCII)) for w, by, severity in rules]
+
+    @F.pandas_udf("array<struct<word: string, replacement: string, severity: string, position: int>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [(w, by, severity, m.start()) for w, by, severity, p in known for m in p.finditer(t.lower())])
+
+    return docs.select(id_col, F.inline(scan(text_col)))
 
 
 def balance(sections: DataFrame, by: str, length: str) -> DataFrame:
@@ -128,6 +147,16 @@ def verified_ratio(claim_rows: DataFrame, known: DataFrame, by: str, key: str =
     return keys.groupBy(by).agg(F.count(F.lit(1)).alias("cited"), F.count("_known").alias("verified"), F.round(F.count("_known") / F.count(F.lit(1)), 6).alias("ratio"))
 
 
+BIB_ITEM = r"\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}\s*([^\\]*)"
+
+
+def bibliography(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Key and title of each entry of a bibliography: what stands behind the key up to the next command."""
+    entries = F.regexp_extract_all(text_col, F.lit(BIB_ITEM), F.lit(0))
+    rows = docs.select(id_col, F.explode(entries).alias("_e"))
+    return rows.select(id_col, F.regexp_extract("_e", BIB_ITEM, 1).alias("cite_key"), F.trim(F.regexp_extract("_e", BIB_ITEM, 2)).alias("title"))
+
+
 def inverted_index_text(index: Column) -> Column:
     """The text of a map from token to its positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("t")))))

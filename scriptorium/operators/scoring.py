@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
+from scriptorium.operators import measures as M
 
 HUMAN, RISK = "human_positive", "ai_risk"
 #: Name, weight and polarity of the score's dimensions. The weights add up to 1.06.
@@ -33,6 +37,11 @@ class Lexicon:
     transitions: tuple[str, ...] = ()
     phrases: tuple[str, ...] = ()
     pronouns: tuple[str, ...] = field(default=PRONOUNS)
+    indicators: tuple[str, ...] = ()
+    arabic_phrases: tuple[str, ...] = ()
+    arabic_starters: tuple[str, ...] = ()
+    arabic_transitions: tuple[str, ...] = ()
+    arabic_indicators: tuple[str, ...] = ()
 
 
 def sentence_score(sentence: Column, low: Column, n: Column, lexicon: Lexicon) -> Column:
@@ -74,32 +83,53 @@ def with_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def dimensions(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A column per dimension, 0 to 100; texts too short for one have 50 there. Null counts as empty, here and below."""
-    parts = with_parts(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    words, lengths = F.col("words"), F.col("lengths")
-    n, s = F.size(words), F.size("sentences")
-    parts = parts.withColumn("most", A.runs(words)["most"]).withColumn("pairs", S.ngrams(words, 2)).withColumn("long_words", F.filter(words, lambda w: F.char_length(w) > 2))
-    scored = F.zip_with("sentences", "lengths", lambda x, k: F.struct(x.alias("x"), F.lower(x).alias("low"), k.alias("n")))
-    parts = parts.withColumn("sentence_scores", F.transform(scored, lambda r: sentence_score(r["x"], r["low"], r["n"], lexicon)))
-    mean, pairs, long_words = A.mean(lengths), F.col("pairs"), F.col("long_words")
-    uniform = F.try_divide(F.col("most"), F.try_divide(n, A.n_distinct(words)))
-    risk = lambda test, least, x: F.when(test < least, 50.0).otherwise(X.clamp(x))
+OWN_GROUP, OPENING, PASSIVE_SENTENCE = (re.compile(p, re.IGNORECASE) for p in (r"\b(?:we|us|our)\b", r"^(?:and|but|so|because|also|or|yet)\b", r"\b(?:is|are|was|were|been|being)[ \t\n\r\f]+[A-Za-z0-9_]+(?:ed|en)\b"))
+
+
+def measured_sentence(x: str, low: str, n: int, lexicon: Lexicon) -> float:
+    """D1 of one sentence, see :func:`sentence_score`."""
+    has = lambda phrases: sum(p in low for p in phrases)
+    score = (
+        70.0 - min(has(lexicon.cliches) * 18, 30) - 15 * low.startswith(lexicon.starters or ("\0",)) - min(has(lexicon.hedges) * 8, 10) - min(has(lexicon.quantifiers) * 5, 8) - (10 if n > 60 else 5 if n > 50 else 0)
+        + 4 * bool(OWN_GROUP.search(x)) + 3 * ("(" in x and ")" in x) + 2 * ("—" in x or " - " in x) + 3 * bool(OPENING.search(x)) + 5 * (3 <= n <= 7) + 3 * x.endswith("?")
+    )
+    return min(max(score, 0.0), 100.0)
+
+
+def measured_dimensions(text: str, lexicon: Lexicon) -> tuple:
+    """One document's DIMENSIONS in their order, and the deviation of its sentence lengths."""
+    clamp = lambda x: min(max(x, 0.0), 100.0)
+    low, sentences = text.lower(), M.sentences_before_capital(text)
+    lows = [x.lower() for x in sentences]
+    each = [M.WORD.findall(x) for x in lows]
+    words = M.WORD.findall(low)
+    counts, lengths, n, s = Counter(words), [len(w) for w in each], len(words), len(sentences)
+    middle, sd, pairs, starts = M.mean(lengths), M.deviation(lengths), M.grams(words, 2), [w[0] for w in each if w]
+    long_words = [(t, c) for t, c in counts.items() if len(t) > 2]
+    n_long = sum(c for _, c in long_words)
+    found = lambda phrases: sum(p in low for p in phrases)
     scores = {
-        "sentence_avg": F.when(s > 0, A.mean(F.col("sentence_scores"))).otherwise(50.0),
-        "perplexity": risk(n, 5, F.try_divide(A.n_distinct(pairs), F.size(pairs)) * 60 + (100 - uniform * 15) * 0.4),
-        "burstiness": risk(s, 3, X.ratio(A.deviation(lengths), mean) * 100 * 2.5),
-        "vocab_diversity": risk(F.size(long_words), 10, F.try_divide(A.n_distinct(long_words), F.size(long_words)) * 100),
-        "sentence_length_var": risk(s, 3, X.ratio(F.array_max(lengths) - F.array_min(lengths), mean) * 60),
-        "transition_frequency": risk(n, 10, F.try_divide(A.members(words, A.literal(lexicon.transitions)), n) * 1000),
-        "passive_voice": risk(s, 2, F.try_divide(F.size(F.filter("sentences", lambda x: x.rlike(PASSIVE))), s) * 100),
-        "phrase_density": X.clamp(A.contained(F.col("low"), A.literal(lexicon.phrases)) / F.greatest(s, F.lit(1)) * 20),
-        "start_diversity": F.when((s < 4) | (F.size("starts") == 0), 50.0).otherwise(F.try_divide(A.n_distinct(F.col("starts")), F.size("starts")) * 100),
-        "pronoun_usage": X.clamp(A.members(words, A.literal(lexicon.pronouns)) / F.greatest(n, F.lit(1)) * 500),
-        "hedging": X.clamp(A.contained(F.col("low"), A.literal(lexicon.hedges)) * 15.0),
-        "quantifiers": X.clamp(A.contained(F.col("low"), A.literal(lexicon.quantifiers)) * 10.0),
+        "sentence_avg": M.mean([measured_sentence(*x, lexicon) for x in zip(sentences, lows, lengths, strict=True)]) if s else 50.0,
+        "perplexity": clamp(len(set(pairs)) / len(pairs) * 60 + (100 - max(counts.values()) / (n / len(counts)) * 15) * 0.4) if n >= 5 else 50.0,
+        "burstiness": clamp(M.ratio(sd, middle) * 100 * 2.5) if s >= 3 else 50.0,
+        "vocab_diversity": clamp(len(long_words) / n_long * 100) if n_long >= 10 else 50.0,
+        "sentence_length_var": clamp(M.ratio(max(lengths) - min(lengths), middle) * 60) if s >= 3 else 50.0,
+        "transition_frequency": clamp(M.members(counts, lexicon.transitions) / n * 1000) if n >= 10 else 50.0,
+        "passive_voice": clamp(sum(bool(PASSIVE_SENTENCE.search(x)) for x in sentences) / s * 100) if s >= 2 else 50.0,
+        "phrase_density": clamp(found(lexicon.phrases) / max(s, 1) * 20),
+        "start_diversity": len(set(starts)) / len(starts) * 100 if s >= 4 and starts else 50.0,
+        "pronoun_usage": clamp(M.members(counts, lexicon.pronouns) / max(n, 1) * 500),
+        "hedging": clamp(found(lexicon.hedges) * 15.0),
+        "quantifiers": clamp(found(lexicon.quantifiers) * 10.0),
     }
-    return parts.select(id_col, *(F.round(scores[name], 6).alias(name) for name, _, _ in DIMENSIONS), F.round(A.deviation(lengths), 1).alias("sentence_length_sd"))
+    return *(scores[name] for name, _, _ in DIMENSIONS), sd
+
+
+def dimensions(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A column per dimension, 0 to 100; texts too short for one have 50 there. One Arrow map; null counts as empty, here and below."""
+    names = [name for name, _, _ in DIMENSIONS]
+    rows = M.mapped(docs.select(id_col, text_col), [*names, "sentence_length_sd"], (), lambda t: measured_dimensions(t, lexicon), F.col(text_col))
+    return rows.select(id_col, *(F.round(f"_m.{c}", 6).alias(c) for c in names), F.round("_m.sentence_length_sd", 1).alias("sentence_length_sd"))
 
 
 def dimension_rows(scores: DataFrame, id_col: str = "doc_id", threshold: float = 60.0) -> DataFrame:
@@ -109,13 +139,18 @@ def dimension_rows(scores: DataFrame, id_col: str = "doc_id", threshold: float =
     return scores.select(id_col, F.inline(rows)).withColumn("contribution", F.round(share, 6)).withColumn("needs_improvement", share < threshold)
 
 
+def composite_score() -> Column:
+    """The weighted sum of the dimensions' human contributions."""
+    return sum((F.when(F.lit(p == RISK), 100 - F.col(name)).otherwise(F.col(name)) * w for name, w, p in DIMENSIONS), F.lit(0.0))
+
+
 def composite(scores: DataFrame, id_col: str = "doc_id", normalized: bool = False) -> DataFrame:
     """Weighted sum of human contributions, grade and risk.
 
     ``normalized`` divides by the weights' sum; without it scores reach 106, as they always did.
     """
     whole = sum(w for _, w, _ in DIMENSIONS) if normalized else 1.0
-    score = sum((F.when(F.lit(p == RISK), 100 - F.col(name)).otherwise(F.col(name)) * w for name, w, p in DIMENSIONS), F.lit(0.0)) / whole
+    score = composite_score() / whole
     density, burst = F.col("phrase_density"), F.col("burstiness")
     return scores.withColumn("_score", score).select(
         id_col,
@@ -128,69 +163,61 @@ def composite(scores: DataFrame, id_col: str = "doc_id", normalized: bool = Fals
 
 @dataclass(frozen=True)
 class FeatureLexicon:
-    stopwords: tuple[str, ...] = ()
-    hedges: tuple[str, ...] = ()
-    transitions: tuple[str, ...] = ()
-    first_person: tuple[str, ...] = ("i", "we", "our", "us", "my", "me")
+    """The word lists that features count. The values are fixed ones."""
+
+    stopwords: tuple[str, ...] = (
+        "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i", "in", "is", "it",
+        "its", "of", "on", "or", "that", "the", "their", "there", "they", "this", "to", "was", "we", "were", "which", "with", "you", "your",
+    )
+    hedges: tuple[str, ...] = ("may", "might", "could", "possibly", "perhaps", "suggests", "appears", "likely", "arguably")
+    transitions: tuple[str, ...] = ("however", "therefore", "moreover", "furthermore", "thus", "consequently", "additionally", "meanwhile")
+    first_person: tuple[str, ...] = ("i", "me", "my", "mine", "we", "us", "our", "ours")
     second_person: tuple[str, ...] = ("you", "your", "yours")
-    clause_markers: tuple[str, ...] = ()
+    clause_markers: tuple[str, ...] = ("because", "although", "while", "whereas", "which", "that", "who", "whom", "whose", "if", "when")
     template_leads: tuple[str, ...] = ()
     transition_leads: tuple[str, ...] = ()
 
 
-def repetition(tokens: Column, n: int) -> Column:
-    """Share of n-grams that repeat an earlier one."""
-    grams = S.ngrams(tokens, n)
-    return X.ratio(F.size(grams) - A.n_distinct(grams), F.size(grams))
+#: Whole numbers, and the other features in their order.
+COUNTS = ("n_paragraphs", "n_sentences", "n_tokens", "n_distinct")
+FEATURES = (
+    "type_token_ratio", "avg_token_length", "long_token_ratio", "lexical_density", "hapax_ratio", "avg_sentence_tokens", "sentence_sd", "coefficient_of_variation", "avg_paragraph_sentences", "punctuation_density", "passive_ratio",
+    "clause_marker_ratio", "first_person_ratio", "second_person_ratio", "hedging_ratio", "transition_ratio", "question_ratio", "exclamation_ratio", "lead_diversity", "template_lead_ratio", "transition_lead_ratio", "trigram_repetition", "contraction_ratio", "stopword_ratio",
+)
+#: Marks, passives and contractions that features count.
+MARKS = r"""[.,;:!?()\[\]{}"“”'‘’\-]"""
+BE_FORM = r"(?i)\b(?:is|are|was|were|be|been|being)[ \t\n\r\f]+[A-Za-z0-9_]+(?:ed|en)\b"
+PUNCTUATION, PASSIVES, SHORTENED = re.compile(MARKS), re.compile(BE_FORM, re.ASCII), regex.compile(r"(?i)\p{L}+['’](?:t|s|re|ve|ll|d|m)(?![\p{L}\p{N}_])")
+
+
+def measured_features(text: str, lexicon: FeatureLexicon) -> tuple:
+    """One document's COUNTS and FEATURES."""
+    low = text.lower()
+    paragraphs, sentences = M.paragraphs(text), M.sentences_papers(text)
+    each = [M.TOKEN.findall(x.lower()) for x in sentences]
+    tokens = M.TOKEN.findall(low)
+    counts, lengths, n, s = Counter(tokens), [len(t) for t in each], len(tokens), len(sentences)
+    some, middle, sd = max(s, 1), M.mean(lengths), M.deviation(lengths)
+    leads, trigrams = [" ".join(t[:2]) for t in each if t], M.grams(tokens, 3)
+    starts = [x.lower() for x in sentences]
+    share = lambda known: M.ratio(M.members(counts, known), n)
+    led = lambda phrases: sum(x.startswith(tuple(phrases)) for x in starts) / some
+    return (
+        len(paragraphs), s, n, len(counts),
+        M.ratio(len(counts), n), M.ratio(sum(len(t) * c for t, c in counts.items()), n), M.ratio(sum(c for t, c in counts.items() if len(t) >= 7), n), M.ratio(n - M.members(counts, lexicon.stopwords), n),
+        M.ratio(sum(c == 1 for c in counts.values()), len(counts)), middle, sd, sd / (middle or 1.0),
+        M.mean([len(M.sentences_papers(p)) for p in paragraphs] if len(paragraphs) > 1 else [s] * len(paragraphs)), len(PUNCTUATION.findall(text)) / max(len(text), 1), len(PASSIVES.findall(text)) / some,
+        share(lexicon.clause_markers), share(lexicon.first_person), share(lexicon.second_person), share(lexicon.hedges), share(lexicon.transitions),
+        sum(x.endswith("?") for x in sentences) / some, sum(x.endswith("!") for x in sentences) / some, M.ratio(len(set(leads)), s), led(lexicon.template_leads), led(lexicon.transition_leads),
+        M.ratio(len(trigrams) - len(set(trigrams)), len(trigrams)), len(SHORTENED.findall(text)) / some,
+        M.ratio(M.members(counts, lexicon.stopwords), n),
+    )
 
 
 def document_features(docs: DataFrame, lexicon: FeatureLexicon, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Segmentation, token, lexical, syntactic and stylistic features and signals; one pass, no shuffle."""
-    text = F.col("text")
-    parts = (
-        docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .withColumn("paragraphs", S.paragraphs(text))
-        .withColumn("sentences", S.sentences_linear(text))
-        .withColumn("tokens", S.letter_tokens(text))
-        .withColumn("sentence_tokens", F.transform("sentences", S.letter_tokens))
-        .withColumn("lengths", F.transform("sentence_tokens", lambda t: F.size(t)))
-        .withColumn("once", A.runs(F.col("tokens"))["once"])
-    )
-    tokens, n, s = F.col("tokens"), F.size("tokens"), F.size("sentences")
-    some = F.greatest(s, F.lit(1))
-    content = n - A.members(tokens, A.literal(lexicon.stopwords))
-    mean, sd = A.mean(F.col("lengths")), A.deviation(F.col("lengths"))
-    leads = F.filter(F.transform("sentence_tokens", lambda t: F.array_join(F.slice(t, 1, 2), " ")), lambda x: x != "")
-
-    def led(phrases: tuple[str, ...]) -> Column:
-        return F.size(F.filter("sentences", lambda x: F.exists(A.literal(phrases), lambda p: F.startswith(F.lower(x), p))))
-
-    made = {
-        "type_token_ratio": X.ratio(A.n_distinct(tokens), n),
-        "avg_token_length": A.mean(F.transform(tokens, lambda t: F.char_length(t))),
-        "long_token_ratio": X.ratio(A.count_if(tokens, lambda t: F.char_length(t) >= 7), n),
-        "lexical_density": X.ratio(content, n),
-        "hapax_ratio": X.ratio(F.col("once"), A.n_distinct(tokens)),
-        "avg_sentence_tokens": mean,
-        "sentence_sd": sd,
-        "coefficient_of_variation": sd / F.when(mean == 0, F.lit(1.0)).otherwise(mean),
-        "avg_paragraph_sentences": A.mean(F.transform("paragraphs", lambda p: F.size(S.sentences_linear(p)))),
-        "punctuation_density": F.regexp_count(text, F.lit(r"[.,;:!?]")) / F.greatest(F.char_length(text), F.lit(1)),
-        "passive_ratio": F.regexp_count(text, F.lit(PASSIVE)) / some,
-        "clause_marker_ratio": X.ratio(A.members(tokens, A.literal(lexicon.clause_markers)), n),
-        "first_person_ratio": X.ratio(A.members(tokens, A.literal(lexicon.first_person)), n),
-        "second_person_ratio": X.ratio(A.members(tokens, A.literal(lexicon.second_person)), n),
-        "hedging_ratio": X.ratio(A.members(tokens, A.literal(lexicon.hedges)), n),
-        "transition_ratio": X.ratio(A.members(tokens, A.literal(lexicon.transitions)), n),
-        "question_ratio": F.size(F.filter("sentences", lambda x: F.endswith(x, F.lit("?")))) / some,
-        "exclamation_ratio": F.size(F.filter("sentences", lambda x: F.endswith(x, F.lit("!")))) / some,
-        "lead_diversity": X.ratio(A.n_distinct(leads), s),
-        "template_lead_ratio": led(lexicon.template_leads) / some,
-        "transition_lead_ratio": led(lexicon.transition_leads) / some,
-        "trigram_repetition": repetition(tokens, 3),
-    }
-    counts = {"n_paragraphs": F.size("paragraphs"), "n_sentences": s, "n_tokens": n, "n_distinct": A.n_distinct(tokens)}
-    return parts.select(id_col, *(c.cast("bigint").alias(k) for k, c in counts.items()), *(F.round(c, 6).alias(k) for k, c in made.items()))
+    """Segmentation, token, lexical, syntactic and stylistic features and signals; one Arrow map, no shuffle. Null counts as empty."""
+    rows = M.mapped(docs.select(id_col, text_col), FEATURES, COUNTS, lambda t: measured_features(t, lexicon), F.col(text_col))
+    return rows.select(id_col, *(F.col(f"_m.{c}") for c in COUNTS), *(F.round(f"_m.{c}", 6).alias(c) for c in FEATURES))
 
 
 #: The features of the vector, in order.

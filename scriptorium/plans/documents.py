@@ -19,12 +19,13 @@ ORACLE_SQL: dict[str, str] = {}
 LEXICON = scoring.Lexicon(
     cliches=("edth", "thent"), starters=("the ", "and "), hedges=("ion the", "er the"), quantifiers=("ing of", "ed to"),
     transitions=("and", "to", "und", "que", "et"), phrases=("and the", "of the", "de la", "in der", "rights reserved"), pronouns=("he", "it", "you", "der", "le"),
+    indicators=("thi", "ich ", "los ", "und"), arabic_phrases=("في النهاية",), arabic_starters=("علاوة",), arabic_transitions=("لكن", "ثم"), arabic_indicators=("أنا",),
 )
 FEATURE_LEXICON = scoring.FeatureLexicon(
     stopwords=("the", "of", "and", "to", "in", "is", "der", "die", "de", "la"), hedges=("is", "be", "est"), transitions=("and", "und", "et"), first_person=("he", "it"), second_person=("on", "to"),
     clause_markers=("that", "which", "que"), template_leads=("the ", "of "), transition_leads=("and ", "und "),
 )
-HITS = (("the", "article", "low"), ("and the", "phrase", "medium"), ("of the", "phrase", "medium"), ("license", "legal", "high"), ("all rights reserved", "legal", "high"), ("idiot", "toxic", "high"), ("de la", "phrase", "low"))
+HITS = (("the", "article", "cosmetic"), ("and the", "phrase", "should_fix"), ("of the", "phrase", "should_fix"), ("license", "legal", "must_fix"), ("all rights reserved", "legal", "must_fix"), ("idiot", "toxic", "must_fix"), ("de la", "phrase", "cosmetic"))
 
 B = r"[ \t\n\r\f]"
 
@@ -62,6 +63,25 @@ def split_at(text: str, pattern: str, by: str) -> str:
 
 SENT1 = stripped(split_at("text", rf"([.!?]){B}+([A-Z])", r"'\1' || chr(1) || '\2'"))
 SENT5 = stripped(split_at("text", r"([.!?])([ \t\n\r\f\"'')\]])", r"'\1' || chr(1) || '\2'"))
+
+
+def _quoted_sql(text: str, short, guard: bool) -> str:
+    """Stops that end no sentence become chr(3) while the text is cut."""
+    held = rf"regexp_replace({text}, '({S.either(short)})\.', '\1' || chr(3), 'g')"
+    for _ in range(2 if guard else 0):
+        held = rf"regexp_replace({held}, '([A-Za-z0-9])\.([A-Za-z0-9])', '\1' || chr(3) || '\2', 'g')"
+    parts = rf"string_split(regexp_replace({held}, '([.!?][\"'']?)', '\1' || chr(1), 'g'), chr(1))"
+    return stripped(f"list_transform({parts}, lambda s: replace(s, chr(3), '.'))")
+
+
+def sent4(text: str) -> str:
+    """Sentences of T4: chr(2) behind an abbreviation's marks while the text is cut."""
+    held = rf"regexp_replace({text}, '(?i)(^|[ \t\n\r\f()\[\]\"])({S.either(S.PAPERS_SHORT)})([.!?]{{1,9}})', '\1\2\3' || chr(2), 'g')"
+    parts = split_at(held, r"([.!?])([ \t\n\r\f\"'')\]])", r"'\1' || chr(1) || '\2'")
+    return stripped(f"list_transform({parts}, lambda s: replace(s, chr(2), ''))")
+
+
+SENT3, SENT4, SENT6 = _quoted_sql("text", S.UNIFIED_SHORT, True), sent4("text"), _quoted_sql("text", S.MODEL_SHORT, False)
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 TOKENS = r"regexp_extract_all(lower({}), '\p{{L}}+(?:[''’-]\p{{L}}+)?')"
 
@@ -93,14 +113,14 @@ def t2_sentences_at_blank(spark, sf_dir):
     return _exploded(spark, sf_dir, S.sentences_at_blank)
 
 
-@query()
+@query(_sentence_sql(SENT3))
 def t3_sentences_unified(spark, sf_dir):
-    return _exploded(spark, sf_dir, S.sentences_unified())
+    return _exploded(spark, sf_dir, S.sentences_unified)
 
 
-@query()
+@query(_sentence_sql(SENT4))
 def t4_sentences_papers(spark, sf_dir):
-    return _exploded(spark, sf_dir, S.sentences_papers())
+    return _exploded(spark, sf_dir, S.sentences_papers)
 
 
 @query(_sentence_sql(SENT5))
@@ -108,9 +128,9 @@ def t5_sentences_linear(spark, sf_dir):
     return _exploded(spark, sf_dir, S.sentences_linear)
 
 
-@query()
+@query(_sentence_sql(SENT6))
 def t6_sentences_model(spark, sf_dir):
-    return _exploded(spark, sf_dir, S.sentences_model())
+    return _exploded(spark, sf_dir, S.sentences_model)
 
 
 @query(_sentence_sql(rf"CASE WHEN len(regexp_extract_all(text, '[^.!?]*[.!?]+{B}*')) > 0 THEN regexp_extract_all(text, '[^.!?]*[.!?]+{B}*') ELSE [text] END"))
@@ -165,10 +185,22 @@ def t16_ngrams(spark, sf_dir):
 
 
 @query()
-def t17_t20_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", S.word_chunks(F.col("text"), 250).alias("chunks"), S.paragraphs(F.col("text")).alias("p"), S.sentences_linear(F.col("text")).alias("s"))
-    docs = docs.withColumn("paragraph_pack", S.packs(F.transform("p", lambda x: F.size(S.blank_words(x))), 500)).withColumn("sentence_pack", S.packs(F.transform("s", lambda x: F.char_length(x)), 4500))
-    return docs.select("doc_id", F.size("chunks").alias("n_chunks"), (F.coalesce(F.array_max("paragraph_pack"), F.lit(-1)) + 1).alias("n_paragraph_packs"), (F.coalesce(F.array_max("sentence_pack"), F.lit(-1)) + 1).alias("n_sentence_packs"))
+def t17_t19_chunks(spark, sf_dir):
+    """The chunks of each text by words, paragraphs and sentences: a row each."""
+    cuts = (("words", S.budget_chunks, 250), ("paragraphs", S.paragraph_chunks, 100), ("sentences", S.sentence_chunks, 900))
+    docs = table(spark, sf_dir, "documents")
+    parts = [docs.select("doc_id", F.lit(name).alias("rule"), F.posexplode(S.chunked(F.col("text"), cut, most)).alias("pos", "chunk")) for name, cut, most in cuts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PACK = "list_reduce(list_transform(l, lambda n: {'k': 0, 'used': n}), lambda a, b: CASE WHEN a.used > 0 AND a.used + b.used > 120 THEN {'k': a.k + 1, 'used': b.used} ELSE {'k': a.k, 'used': a.used + b.used} END)"
+
+
+@query(f"WITH d AS (SELECT doc_id, list_transform({SENT5}, lambda x: CAST(len(list_filter(regexp_split_to_array(x, '{B}+'), lambda w: w <> '')) AS BIGINT)) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) > 0 THEN ({_PACK}).k + 1 ELSE 0 END AS packs FROM d")
+def t20_packs(spark, sf_dir):
+    """Sentences packed in order up to 120 words: how many packs."""
+    lengths = F.transform(S.sentences_linear(F.col("text")), lambda x: F.size(S.blank_words(x)))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.array_max(S.packs(lengths, 120)), F.lit(-1)) + 1).cast("bigint").alias("packs"))
 
 
 # Scores and features
@@ -261,7 +293,7 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b}) ELSE 0.0 END"
 
 
-_FEATURES = f"""WITH p AS (SELECT doc_id, text, {stripped("regexp_split_to_array(text, '\n{2,}')")} AS ps, {SENT5} AS s, {_T('text')} AS t FROM documents),
+_FEATURES = f"""WITH p AS (SELECT doc_id, text, {stripped("regexp_split_to_array(text, '\n{2,}')")} AS ps, {SENT4} AS s, {_T('text')} AS t FROM documents),
 l AS (SELECT *, list_transform(s, lambda x: len({_T('x')})) AS lens, list_filter(list_transform(s, lambda x: array_to_string({_T('x')}[1:2], ' ')), lambda x: x <> '') AS leads,
       list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' ')) AS g FROM p),
 f AS (SELECT doc_id, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS once FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(t) AS x FROM p) GROUP BY doc_id, x) GROUP BY doc_id),
@@ -270,20 +302,25 @@ SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_paragraphs, CAST(k AS BIGINT) AS n_s
 round({_ratio("len(list_distinct(t))", "n")}, 6) AS type_token_ratio, round(coalesce(list_avg(list_transform(t, lambda x: length(x))), 0.0), 6) AS avg_token_length,
 round({_ratio("len(list_filter(t, lambda x: length(x) >= 7))", "n")}, 6) AS long_token_ratio, round({_ratio("n - " + _members("t", _L.stopwords), "n")}, 6) AS lexical_density,
 round({_ratio("once", "len(list_distinct(t))")}, 6) AS hapax_ratio, round(mean, 6) AS avg_sentence_tokens, round(sd, 6) AS sentence_sd, round(sd / CASE WHEN mean = 0 THEN 1.0 ELSE mean END, 6) AS coefficient_of_variation,
-round(coalesce(list_avg(list_transform(ps, lambda x: len({SENT5.replace('text', 'x')}))), 0.0), 6) AS avg_paragraph_sentences,
-round(len(regexp_extract_all(text, '[.,;:!?]'))::DOUBLE / greatest(length(text), 1), 6) AS punctuation_density, round(len(regexp_extract_all(text, '{_PASSIVE}'))::DOUBLE / some1, 6) AS passive_ratio,
+round(coalesce(list_avg(list_transform(ps, lambda x: len({sent4('x')}))), 0.0), 6) AS avg_paragraph_sentences,
+round(len(regexp_extract_all(text, '{scoring.MARKS.replace("'", "''")}'))::DOUBLE / greatest(length(text), 1), 6) AS punctuation_density, round(len(regexp_extract_all(text, '{scoring.BE_FORM}'))::DOUBLE / some1, 6) AS passive_ratio,
 {", ".join(f"round({_ratio(_members('t', v), 'n')}, 6) AS {k}" for k, v in (("clause_marker_ratio", _L.clause_markers), ("first_person_ratio", _L.first_person), ("second_person_ratio", _L.second_person), ("hedging_ratio", _L.hedges), ("transition_ratio", _L.transitions)))},
 round(len(list_filter(s, lambda x: ends_with(x, '?')))::DOUBLE / some1, 6) AS question_ratio, round(len(list_filter(s, lambda x: ends_with(x, '!')))::DOUBLE / some1, 6) AS exclamation_ratio,
 round({_ratio("len(list_distinct(leads))", "k")}, 6) AS lead_diversity,
 round(len(list_filter(s, lambda x: {" OR ".join(f"starts_with(lower(x), '{p}')" for p in _L.template_leads)}))::DOUBLE / some1, 6) AS template_lead_ratio,
 round(len(list_filter(s, lambda x: {" OR ".join(f"starts_with(lower(x), '{p}')" for p in _L.transition_leads)}))::DOUBLE / some1, 6) AS transition_lead_ratio,
-round({_ratio("len(g) - len(list_distinct(g))", "len(g)")}, 6) AS trigram_repetition FROM d"""
+round({_ratio("len(g) - len(list_distinct(g))", "len(g)")}, 6) AS trigram_repetition,
+round(len(regexp_extract_all(text, '(?i)\\p{{L}}+[''’](?:t|s|re|ve|ll|d|m)($|[^\\p{{L}}\\p{{N}}_])'))::DOUBLE / some1, 6) AS contraction_ratio, round({_ratio(_members("t", _L.stopwords), "n")}, 6) AS stopword_ratio FROM d"""
 
 
 @query(_FEATURES)
 def document_features(spark, sf_dir):
     """D17, D18"""
-    return scoring.document_features(table(spark, sf_dir, "documents"), FEATURE_LEXICON)
+    return features_of(table(spark, sf_dir, "documents"))
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    return scoring.document_features(docs, FEATURE_LEXICON)
 
 
 MODEL_WEIGHTS = (1.5, -2.0, 0.05, 0.8, -3.0, -0.7, -0.4, -4.0, -2.5, -0.3, 6.0)
@@ -292,13 +329,13 @@ _Z = "0.0::DOUBLE + " + " + ".join(f"CAST({c} AS DOUBLE) * CAST({w} AS DOUBLE)"
 LOGISTIC_SQL = f"WITH x AS ({_FEATURES}) SELECT doc_id, round(1 / (1 + exp(-({_Z}))), 9) AS probability, CAST(1 / (1 + exp(-({_Z}))) >= 0.5 AS INTEGER) AS prediction FROM x"
 
 
-def logistic(spark, sf_dir):
-    return scoring.logistic_score(document_features(spark, sf_dir), MODEL_WEIGHTS, MODEL_BIAS)
+def logistic_of(docs: DataFrame) -> DataFrame:
+    return scoring.logistic_score(features_of(docs), MODEL_WEIGHTS, MODEL_BIAS)
 
 
 @query(LOGISTIC_SQL)
 def d19_m7_logistic(spark, sf_dir):
-    return logistic(spark, sf_dir)
+    return logistic_of(table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -328,8 +365,9 @@ def x15_x18_readability(spark, sf_dir):
 
 
 @query(
-    "WITH l(pattern, category, severity) AS (VALUES " + ", ".join(str(x) for x in HITS) + ") "
-    "SELECT doc_id, pattern, category, severity, CAST((length(lower(text)) - length(replace(lower(text), pattern, ''))) // length(pattern) AS BIGINT) AS n FROM documents, l WHERE contains(lower(text), pattern)"
+    "WITH l(pattern, category, severity) AS (VALUES " + ", ".join(str(x) for x in HITS) + "), "
+    "h AS (SELECT doc_id, pattern, category, severity, CAST((length(lower(text)) - length(replace(lower(text), pattern, ''))) // length(pattern) AS BIGINT) AS n FROM documents, l WHERE contains(lower(text), pattern)) "
+    "SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'must_fix' THEN 0 WHEN 'should_fix' THEN 1 ELSE 2 END, n DESC, pattern) - 1 AS INTEGER) AS place FROM h"
 )
 def f1_lexicon_hits(spark, sf_dir):
     return corpus.lexicon_hits(table(spark, sf_dir, "documents"), spark.createDataFrame(HITS, "pattern string, category string, severity string"))
@@ -359,9 +397,21 @@ def e1_facts(spark, sf_dir):
     return extract.facts(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {k}" for k, p in extract.NUMERIC_CLAIMS.items()) + ", CAST(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in extract.NUMERIC_CLAIMS.values()) + " AS BIGINT) AS total FROM documents")
+def claims_sql(text: str) -> dict[str, str]:
+    """RE2 has no look-around: tokens with letters are taken whole, so that what is left of numbers with a stop stands alone."""
+    found = {k: f"regexp_extract_all({text}, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in extract.NUMERIC_CLAIMS.items()}
+    tokens = rf"regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]*[\p{{L}}_][\p{{L}}\p{{N}}_]*|[0-9]+\.[0-9]+[\p{{L}}\p{{N}}_]*|[\p{{N}}]+')"
+    return found | {"decimals": rf"list_filter({tokens}, lambda x: regexp_matches(x, '^[0-9]+\.[0-9]+$'))"}
+
+
+_NUMBERS = "text || ' p < 0.05, r = -0.31 (n = 40), 95% CI, d = 0.8 and 12.5%; x.1.5 a2.5 1.2.3'"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_NUMBERS} AS text FROM documents) SELECT doc_id, " + ", ".join(f"array_to_string({x}, '|') AS {k}" for k, x in claims_sql("text").items()) + ", CAST(" + " + ".join(f"len({x})" for x in claims_sql("text").values()) + " AS BIGINT) AS total FROM d")
 def e3_numeric_claims(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.cast("bigint").alias(k) for k, c in extract.numeric_claims(F.col("text")).items()))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" p < 0.05, r = -0.31 (n = 40), 95% CI, d = 0.8 and 12.5%; x.1.5 a2.5 1.2.3")).alias("text"))
+    found = extract.numeric_claims(F.col("text"))
+    return rows.select("doc_id", *(F.array_join(found[k], "|").alias(k) for k in extract.NUMERIC_CLAIMS), found["total"].cast("bigint").alias("total"))
 
 
 DOMAINS = {"english": ("the ", "and ", "of "), "german": ("der ", "und ", "sch"), "french": ("eau", "que ", "é"), "spanish": ("ción", "ñ", "que ")}
@@ -374,16 +424,21 @@ def e12_domains(spark, sf_dir):
     return corpus.domain_scores(table(spark, sf_dir, "documents"), spark.createDataFrame(words, "domain string, keyword string"))
 
 
-MARKUP_SQL = r"""SELECT doc_id, '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || '\section{Introduction ' || lang || '}' || chr(10) || regexp_replace(text, '[\\{}$%]', '', 'g') || ' \cite{' || source || ', a' || (doc_id % 7) || '} see \ref{fig:' || (doc_id % 5)
-|| '} with $x_' || (doc_id % 3) || ' < 1$.' || chr(10) || '\begin{equation}a=b\end{equation}' || chr(10) || '\section*{Results}' || chr(10) || 'We got 92.5\% \cite{' || source || '}.' || chr(10) || '\begin{thebibliography}{9}\bibitem{' || source || '} T.\end{thebibliography}' || chr(10) || '\end{document}' AS source FROM documents"""
+#: Titles of a manuscript's second section, of several kinds and numberings.
+TITLES = ("Results", "3. Methods used", "Literature survey", "Prior Work", "IV. System Design", "Evaluation", "Findings", "Data analysis", "Summary", "Acknowledgements", "Appendix A", "Other")
+MARKUP_SQL = r"""SELECT doc_id, '\documentclass{article}' || chr(10) || '\begin{document}' || chr(10) || '\begin{abstract}We show it.\end{abstract}' || chr(10) || '\section{Introduction ' || lang || '}' || chr(10) || regexp_replace(text, '[\\{}$%]', '', 'g') || ' \cite{' || source || ', a' || (doc_id % 7) || '} see \ref{fig:' || (doc_id % 5)
+|| '} with $x_' || (doc_id % 3) || ' < 1$.' || chr(10) || '\begin{equation}a=b\end{equation}' || chr(10) || '\section*{' || (TITLES)[doc_id % 12 + 1] || '}' || chr(10) || 'We got 92.5\% \cite{' || source || '}.' || chr(10) || '\begin{thebibliography}{9}\bibitem{' || source || '} T.\end{thebibliography}' || chr(10) || '\end{document}' AS source, lang,
+(TITLES)[doc_id % 12 + 1] AS title FROM documents""".replace("TITLES", q(TITLES))
 
 
 def markup(spark, sf_dir) -> DataFrame:
     """A manuscript made of each document, for the markup operators."""
     d = lambda n: (F.col("doc_id") % n).cast("string")
+    title = F.get(A.literal(TITLES), (F.col("doc_id") % len(TITLES)).cast("int"))
     text = F.concat(
-        F.lit("\\documentclass{article}\n\\begin{document}\n\\section{Introduction "), "lang", F.lit("}\n"), F.regexp_replace("text", r"[\\{}$%]", ""), F.lit(" \\cite{"), "source", F.lit(", a"), d(7), F.lit("} see \\ref{fig:"), d(5),
-        F.lit("} with $x_"), d(3), F.lit(" < 1$.\n\\begin{equation}a=b\\end{equation}\n\\section*{Results}\nWe got 92.5\\% \\cite{"), "source", F.lit("}.\n\\begin{thebibliography}{9}\\bibitem{"), "source", F.lit("} T.\\end{thebibliography}\n\\end{document}"),
+        F.lit("\\documentclass{article}\n\\begin{document}\n\\begin{abstract}We show it.\\end{abstract}\n\\section{Introduction "), "lang", F.lit("}\n"), F.regexp_replace("text", r"[\\{}$%]", ""), F.lit(" \\cite{"), "source", F.lit(", a"), d(7),
+        F.lit("} see \\ref{fig:"), d(5), F.lit("} with $x_"), d(3), F.lit(" < 1$.\n\\begin{equation}a=b\\end{equation}\n\\section*{"), title, F.lit("}\nWe got 92.5\\% \\cite{"), "source", F.lit("}.\n\\begin{thebibliography}{9}\\bibitem{"), "source",
+        F.lit("} T.\\end{thebibliography}\n\\end{document}"),
     )
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("source"))
 
@@ -403,16 +458,48 @@ def p1_p4_markup(spark, sf_dir):
     )
 
 
-@query()
+def kind_sql(title: str) -> str:
+    low = rf"regexp_replace(lower(trim({title})), '{extract.NUMBERING}', '')"
+    return "CASE " + " ".join(f"WHEN contains({low}, '{part}') THEN '{kind}'" for part, kind in extract.SECTION_KINDS) + " ELSE 'unknown' END"
+
+
+#: Sections and blocks of the manuscripts, whose make is known, from the places of their commands.
+_SECTION_ROWS = rf"""WITH m AS ({MARKUP_SQL}), p AS (SELECT doc_id, source, lang, title, strpos(source, '\begin{{abstract}}') - 1 AS a, strpos(source, '\end{{abstract}}') - 1 AS b, strpos(source, '\section{{') - 1 AS c, strpos(source, '\section*{{') - 1 AS d, strpos(source, '\begin{{thebibliography}}') - 1 AS e FROM m),
+r AS (SELECT doc_id, source, 0 AS position, 'Abstract' AS title, a AS s, b + 14 AS t, a + 16 AS x, b AS y FROM p UNION ALL SELECT doc_id, source, 1, 'Introduction ' || lang, c, d, c + 23 + length(lang), d FROM p UNION ALL SELECT doc_id, source, 2, title, d, e, d + 11 + length(title), e FROM p)
+SELECT doc_id, source, position, title, s, t, x, y, {kind_sql('title')} AS kind FROM r"""
+_WORDS_OF = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
+_COMPLEXITY = f"CASE WHEN {_WORDS_OF.format('part')} > 80 THEN 'high' WHEN {_WORDS_OF.format('part')} > 30 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"SELECT doc_id, CAST(position AS INTEGER) AS position, title, 1 AS level, CAST(s AS INTEGER) AS start, CAST(t AS INTEGER) AS \"end\", CAST(x AS INTEGER) AS content_start, CAST(y AS INTEGER) AS content_end, kind FROM ({_SECTION_ROWS})")
 def p5_p6_sections(spark, sf_dir):
     return extract.sections(markup(spark, sf_dir), "source", "doc_id")
 
 
-@query()
+def _blocks_sql(rows: str) -> str:
+    """Of rows with source and the places x and y: their blocks, cut at the one formula in the line and the one equation."""
+    return rf"""SELECT *, substr(source, start + 1, stop - start) AS part FROM (SELECT *, unnest(bs, recursive := true) FROM (SELECT *, list_filter([{{'n': 0, 'block': 'text', 'start': x, 'stop': f}}, {{'n': 1, 'block': 'inline_math', 'start': f, 'stop': f + 9}}, {{'n': 2, 'block': 'text', 'start': f + 9, 'stop': g}},
+    {{'n': 3, 'block': 'equation', 'start': g, 'stop': g + 33}}, {{'n': 4, 'block': 'text', 'start': g + 33, 'stop': y}}], lambda b: f BETWEEN x AND y OR b.n = 0) AS bs0 FROM (SELECT *, strpos(source, '$x_') - 1 AS f, strpos(source, '\begin{{equation}}') - 1 AS g FROM ({rows}))),
+    LATERAL (SELECT list_transform(bs0, lambda b: {{'n': b.n, 'block': b.block, 'start': b.start, 'stop': CASE WHEN f BETWEEN x AND y THEN b.stop ELSE y END}}) AS bs))"""
+
+
+@query(f"SELECT doc_id, CAST(n AS INTEGER) AS position, block AS kind, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS \"end\", part AS source, {_COMPLEXITY} AS complexity FROM ({_blocks_sql(f'SELECT doc_id, source, 0 AS x, length(source) AS y FROM ({MARKUP_SQL})')})")
 def p7_p13_blocks(spark, sf_dir):
     return extract.blocks(markup(spark, sf_dir).withColumnRenamed("source", "text"), "text", "doc_id")
 
 
+def _named_sql(names: dict, usual: str) -> str:
+    return "CASE WHEN block <> 'text' THEN NULL " + " ".join(f"WHEN kind = '{k}' THEN {v!r}" for k, v in names.items()) + f" ELSE {usual} END"
+
+
+@query(
+    f"SELECT doc_id, CAST(position AS INTEGER) AS section, kind, CAST(n AS INTEGER) AS position, block, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS \"end\", {_named_sql(extract.ROLES, repr('analysis'))} AS role, {_named_sql(extract.RANKS, '3')} AS rank, "
+    f"CASE WHEN block = 'text' THEN {_COMPLEXITY} END AS complexity FROM ({_blocks_sql(_SECTION_ROWS)})"
+)
+def p13_tagged_blocks(spark, sf_dir):
+    return extract.tagged_blocks(markup(spark, sf_dir), "source", "doc_id")
+
+
 @query(f"SELECT doc_id, source AS text FROM ({MARKUP_SQL})")
 def p14_rebuilt(spark, sf_dir):
     """Parsing into blocks and joining them again gives the source."""
@@ -425,11 +512,55 @@ def p10_p12_protected(spark, sf_dir):
     return extract.restore(extract.protect(table(spark, sf_dir, "documents"), list(compare.PROTECTED.values()), "text", "doc_id"), "doc_id")
 
 
-@query()
+@query(f"SELECT doc_id, source AS text, CAST(4 AS INTEGER) AS n FROM ({MARKUP_SQL})")
+def p11_markup_regions(spark, sf_dir):
+    """Masking and restoring regions of markup gives the source: two formulas, a citation without blanks in its name's end, a reference."""
+    kept = extract.protect(markup(spark, sf_dir), extract.MARKUP_REGIONS, "source", "doc_id", extract.MARKUP_PLACEHOLDER)
+    known = kept.select("doc_id", (F.size("kept") - 1).alias("n"))
+    return extract.restore(kept, "doc_id", extract.MARKUP_PLACEHOLDER).join(known, "doc_id")
+
+
+_MARKDOWN = "text || ' `a_b` see [x](http://a.b/c) and https://d.e/f. Ask me@x.org, @you #tag1'"
+
+
+@query(f"SELECT doc_id, {_MARKDOWN} AS text, 'a_b' AS masked FROM documents".replace("'a_b' AS masked", r"right(text || ' __ see __ and __. Ask __, __ __', 33) AS masked"))
+def p12_markdown_regions(spark, sf_dir):
+    """Masking and restoring regions of Markdown gives the text; the ends of the masked texts, without numbers."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" `a_b` see [x](http://a.b/c) and https://d.e/f. Ask me@x.org, @you #tag1")).alias("text"))
+    kept = extract.protect(rows, extract.MARKDOWN_REGIONS, "text", "doc_id", extract.MARKDOWN_PLACEHOLDER)
+    masked = kept.select("doc_id", F.right(F.regexp_replace("masked", r"__PROTECT_\d+__", "__"), F.lit(33)).alias("masked"))
+    return extract.restore(kept, "doc_id", extract.MARKDOWN_PLACEHOLDER).join(masked, "doc_id")
+
+
+def _chain_sql(steps) -> str:
+    text = "source"
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+_PLAIN_STEPS = (
+    (r"(^|[^\\])%[^\n]*", r"\1"), (r"\\(?:begin|end)\{[^}]*\}", " "), (r"\\(?:textbf|textit|emph|underline|text)\{([^}]*)\}", r"\1"), (extract.CITE, "[CITATION]"), (extract.REF, "[REF]"), (extract.LABEL, ""), (r"\$[^$]*\$", "[MATH]"),
+    (r"\\([%&_#$])", r"\1"), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])*(?:\{([^}]*)\})?", r"\1"), (r"[{}~]", " "), (r"[ \t\n\r\f]+", " "),
+)
+
+
+@query(f"SELECT doc_id, trim({_chain_sql(_PLAIN_STEPS)}) AS text FROM ({MARKUP_SQL})")
 def p8_plain(spark, sf_dir):
     return markup(spark, sf_dir).select("doc_id", extract.plain(F.col("source")).alias("text"))
 
 
+_COMPARABLE_STEPS = (
+    (r"(?s)\\begin\{equation\*?\}.*?\\end\{equation\*?\}", "[EQUATION]"), (r"\$[^$\n]+\$", "[MATH]"), (r"\\cite\*?\{[^}]+\}", "[CITATION]"), (r"\\ref\{[^}]+\}", "[REF]"), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", ""), (r"[{}]", ""),
+    (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"[ \t]+", " "),
+)
+
+
+@query(f"SELECT doc_id, {strip(_chain_sql(_COMPARABLE_STEPS))} AS text FROM ({MARKUP_SQL})")
+def p9_comparable(spark, sf_dir):
+    return markup(spark, sf_dir).select("doc_id", extract.comparable(F.col("source")).alias("text"))
+
+
 RULES = (("the", "this"), ("and", "as well as"), ("with", "by"), ("that", "which"))
 
 
@@ -452,11 +583,6 @@ def r4_r5_rewritten(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(edit.rewritten(s, 12, ("and", "the")), " ").alias("text"))
 
 
-@query()
-def e21_grammar(spark, sf_dir):
-    return edit.grammar(table(spark, sf_dir, "documents"), "text", "doc_id")
-
-
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '­', '', 'g'), '([A-Za-z])-\\r?\\n([A-Za-z])', '\\1\\2', 'g'), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '\\t', ' ', 'g'), ' {2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
 
 
@@ -466,10 +592,31 @@ def x1_x6_normalized(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalized(text), 256).alias("normalized"), F.sha2(text, 256).alias("digest"), F.md5(X.normal_title(text)).alias("title"))
 
 
-@query()
-def x3_x5_fingerprints(spark, sf_dir):
+def _fold_sql(start: int | None, step: str) -> str:
+    """A text's characters folded into 32 bits."""
+    codes = "list_transform(string_split(text, ''), lambda c: CAST(ord(c) AS BIGINT))"
+    return f"CASE WHEN text = '' THEN {start or 0} ELSE list_reduce(list_prepend(CAST({start or 0} AS BIGINT), {codes}), lambda h, c: ({step}) % 4294967296) END"
+
+
+@query(f"SELECT doc_id, CAST({_fold_sql(2166136261, 'xor(h, c) * 16777619')} AS BIGINT) AS fnv1a, printf('%08x', CAST({_fold_sql(None, 'h * 31 + c')} AS BIGINT)) AS hash31 FROM documents")
+def x3_x4_hashes(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.fnv1a(text).alias("fnv1a"), X.hash31(text).alias("hash31"), X.trigram_fingerprint(text).alias("fingerprint"), F.md5(X.nfkc(text)).alias("nfkc"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fnv1a(text).alias("fnv1a"), X.hash31(text).alias("hash31"))
+
+
+@query(
+    "WITH c AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda c: CAST(ord(c) AS BIGINT)) AS c FROM documents), t AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: ((c[i] * 31 + c[i+1]) * 31 + c[i+2]) % 4294967296 % 64)) AS bin FROM c), "
+    "n AS (SELECT doc_id, bin, count(*) AS n FROM t GROUP BY doc_id, bin) SELECT doc_id, CAST(bin AS INTEGER) AS bin, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS value FROM n"
+)
+def x5_fingerprints(spark, sf_dir):
+    """The bins of each fingerprint that have anything."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.trigram_fingerprint(F.col("text"))).alias("bin", "v"))
+    return rows.filter("v > 0").select("doc_id", "bin", F.round("v", 9).alias("value"))
+
+
+@query()
+def x1_nfkc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("nfkc"))
 
 
 _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"

@@ -46,6 +46,22 @@ def a13_daily(spark, sf_dir):
     return E.daily(table(spark, sf_dir, "events"), by=("event_type",))
 
 
+@query("WITH e AS (SELECT *, CAST(ts AS DATE) AS day, max(CAST(ts AS DATE)) OVER () AS last FROM events) SELECT day, event_type, count(*) AS runs, round(sum(value), 5) AS total, round(avg(value), 5) AS mean FROM e WHERE day > last - 7 GROUP BY 1, 2")
+def a13_last_week(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    last = rows.agg(F.max(F.to_date("ts"))).first()[0]
+    return E.daily(rows, by=("event_type",), days=7, today=F.lit(last))
+
+
+@query(
+    """WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) AS stored, count(*) AS entries FROM events GROUP BY user_id) SELECT user_id, epoch_us(stored) AS stored, entries FROM l, n WHERE epoch_us(now) - epoch_us(stored) < 172800000000 ORDER BY l.stored DESC, user_id LIMIT 25"""
+)
+def z3_cached(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts")
+    now = rows.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return E.cached(rows, "user_id", "ts", F.lit(now), 172_800, 25).select("user_id", F.unix_micros("stored").alias("stored"), "entries")
+
+
 @query("SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
 def w8_recent(spark, sf_dir):
     return E.recent(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), 3, "user_id", [F.desc("ts"), F.desc("event_id")])
@@ -59,7 +75,12 @@ def sessions(spark, sf_dir):
     return E.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 86400)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, ts, n, ms + 86400000 AS ends, 1 AS used, true AS allowed FROM e WHERE n = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.ts, e.n, CASE WHEN e.ms >= r.ends THEN e.ms + 86400000 ELSE r.ends END, CASE WHEN e.ms >= r.ends THEN 1 WHEN r.used < 3 THEN r.used + 1 ELSE r.used END, e.ms >= r.ends OR r.used < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, user_id, ts, allowed, CAST(3 - used AS INTEGER) AS remaining FROM r"""
+)
 def z1_rate_limit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return E.limited(rows, "user_id", "ts", "event_id", 3, 86_400_000)

@@ -32,15 +32,6 @@ def _r(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0.0 END"
 
 
-@query(
-    f"""WITH p AS (SELECT source, text, {WORDS.format('text')} AS w, {SENT1} AS s FROM documents), l AS (SELECT *, len(w) AS n, list_transform(s, lambda x: len({WORDS.format('x')})) AS l FROM p),
-o AS (SELECT source, coalesce(list_avg(l), 0.0) AS length, coalesce(list_stddev_pop(l), 0.0) AS spread, {_r('len(list_distinct(w))', 'n')} AS variety, {_r("1000.0 * len(regexp_extract_all(text, ','))", 'n')} AS commas, {_r("1000.0 * len(regexp_extract_all(text, '[?]'))", 'n')} AS questions FROM l)
-SELECT source, count(*) AS samples, round(avg(length), 6) AS length, round(avg(spread), 6) AS spread, round(avg(variety), 6) AS variety, round(avg(commas), 6) AS commas, round(avg(questions), 6) AS questions FROM o GROUP BY source HAVING count(*) >= 3"""
-)
-def d22_voice_profiles(spark, sf_dir):
-    return P.voice_profiles(table(spark, sf_dir, "documents"), "source")
-
-
 _SYL = "CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(regexp_replace(x, '(?:[^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{1,2}')), 1) END"
 _CONSISTENCY = rf"""WITH p AS (SELECT doc_id, unnest(ps) AS p FROM (SELECT doc_id, list_filter({stripped("regexp_split_to_array(text, '\n{2,}')")}, lambda x: len(list_filter(regexp_split_to_array(x, '{B}+'), lambda w: w <> '')) >= 10) AS ps FROM documents)),
 c AS (SELECT doc_id, regexp_extract_all(lower(p), '[a-z]+') AS w, greatest(len({stripped("regexp_split_to_array(p, '[.!?]+')")}), 1) AS s FROM p),
@@ -71,14 +62,25 @@ def d28_attribution(spark, sf_dir):
     return P.attribution(D.document_features(spark, sf_dir), FINGERPRINTS)
 
 
-SLOP = ("the", "and", "with")
-_SLOP_N = f"len(list_filter(regexp_split_to_array(text, '{B}+'), lambda w: w <> ''))"
-_SLOP = f"round(least(greatest(100.0::DOUBLE - 15.0 * CASE WHEN {_SLOP_N} > 0 THEN len(regexp_extract_all(lower(text), '\\b(?:{'|'.join(SLOP)})\\b')) * 100.0::DOUBLE / {_SLOP_N} ELSE 0 END, 0.0), 100.0), 6)"
+SLOP = (("the", "a", "low"), ("with", "by", "high"), ("and", "or", "medium"))
+_SLOP_N = f"len(regexp_split_to_array(text, '{B}+'))"
+_SLOP_HITS = rf"len(regexp_extract_all(lower(text), '\b(?:{'|'.join(w for w, _, _ in SLOP)})\b'))"
+_SLOP = f"CAST(floor(least(greatest(100.0::DOUBLE - 15.0 * ({_SLOP_HITS} * 1000.0::DOUBLE / {_SLOP_N}), 0.0), 100.0) + 0.5) AS BIGINT)"
 
 
-@query(f"SELECT doc_id, {_SLOP} AS slop FROM documents")
+@query(f"SELECT doc_id, CAST({_SLOP_HITS} AS BIGINT) AS n, round({_SLOP_HITS} * 1000.0::DOUBLE / {_SLOP_N}, 2) AS density, {_SLOP} AS slop FROM documents")
 def f5_slop(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(P.slop_score(F.col("text"), SLOP), 6).alias("slop"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in P.slop_score(F.col("text"), [w for w, _, _ in SLOP]).items()))
+
+
+@query(
+    " UNION ALL ".join(
+        rf"SELECT doc_id, '{w}' AS word, '{by}' AS replacement, '{severity}' AS severity, CAST(list_sum(list_transform(ps[1:k], lambda x: length(x))) + (k - 1) * {len(w)} AS INTEGER) AS position FROM (SELECT doc_id, ps, unnest(range(1, len(ps))) AS k FROM (SELECT doc_id, string_split(regexp_replace(lower(text), '\b{w}\b', chr(1), 'g'), chr(1)) AS ps FROM documents))"
+        for w, by, severity in SLOP
+    )
+)
+def f5_slop_hits(spark, sf_dir):
+    return P.slop_hits(table(spark, sf_dir, "documents"), SLOP, "text", "doc_id")
 
 
 @query(
@@ -87,11 +89,15 @@ s AS (SELECT doc_id, floor(round(human_score * 0.5::DOUBLE + slop * 0.25::DOUBLE
 SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 55 THEN 'human' WHEN score >= 35 THEN 'mixed' ELSE 'ai' END AS verdict FROM s"""
 )
 def d29_ensemble(spark, sf_dir):
-    """Four scores per document, joined by id and weighted."""
+    return P.ensemble(ensemble_parts(spark, sf_dir))
+
+
+def ensemble_parts(spark, sf_dir) -> DataFrame:
+    """Four scores per document, joined by id."""
     a = D.d12_d16_composite(spark, sf_dir).select("doc_id", F.col("human_score").alias("built_in"))
     c = d27_consistency(spark, sf_dir).select("doc_id", F.col("score").alias("consistency"))
     d = d28_attribution(spark, sf_dir).select("doc_id", F.round((1 - F.col("confidence")) * 100).alias("attribution"))
-    return P.ensemble(a.join(f5_slop(spark, sf_dir), "doc_id").join(c, "doc_id").join(d, "doc_id"))
+    return a.join(f5_slop(spark, sf_dir).select("doc_id", "slop"), "doc_id").join(c, "doc_id").join(d, "doc_id")
 
 
 @query(
@@ -135,7 +141,18 @@ def e19_verified(spark, sf_dir):
     return P.verified_ratio(claims, known, "doc_id")
 
 
-@query()
+_T2 = f"list_filter({D.split_at('source', rf'([.!?]){B}+', chr(39) + chr(92) + '1' + chr(39) + ' || chr(1)')}, lambda s: s <> '')"
+_LIKE = f"{WORDS.format('claim')}, {WORDS.format('abstract')}"
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, {spread('x')} FROM (SELECT doc_id, {_T2} AS x FROM ({D.MARKUP_SQL}))),
+k AS (SELECT doc_id, pos, part AS claim, unnest(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(part, '{extract.CITE}', 1), lambda x: string_split(x, ','))), lambda x: trim(x)), lambda x: x <> ''))) AS cite_key FROM s),
+a AS (SELECT source AS cite_key, arg_min(text, doc_id) AS abstract FROM documents GROUP BY source),
+w AS (SELECT k.*, abstract, list_distinct({WORDS.format('claim')}) AS p, list_distinct({WORDS.format('abstract')}) AS q FROM k LEFT JOIN a USING (cite_key)),
+j AS (SELECT *, CASE WHEN abstract IS NOT NULL THEN round(CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END, 9) END AS similarity FROM w)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, claim, cite_key, similarity, similarity >= 0.25 AS supported FROM j"""
+)
 def e8_claims(spark, sf_dir):
     claims = P.claims(D.markup(spark, sf_dir), "source", "doc_id", extract.CITE)
     abstracts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("cite_key")).agg(F.min_by("text", "doc_id").alias("abstract"))
@@ -161,21 +178,41 @@ def d35_version_report(spark, sf_dir):
     return P.version_report(rows)
 
 
-@query()
+@query("SELECT event_id, props AS json, CAST(4 AS INTEGER) AS items, 7.5::DOUBLE AS clarity, 10.0::DOUBLE AS novelty, 5.0::DOUBLE AS rigour FROM events")
 def p15_p17_parsers(spark, sf_dir):
     props = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Reply: "), F.col("props"), F.lit("\n- one\n2) two\nclarity: 7.5 novelty 12")).alias("t"))
     scores = P.review_scores(F.col("t"), ("clarity", "novelty", "rigour"))
     return props.select("event_id", P.first_json(F.col("t")).alias("json"), F.size(P.listed(F.col("t"))).alias("items"), *(v.alias(k) for k, v in scores.items()))
 
 
-_EDGE = r"($|[^\p{L}\p{N}_])"
-_V2 = (
-    f"least(greatest(35.0::DOUBLE - 22.0 * {_contained('lower(part)', LEXICON.phrases)} - 12.0 * len(list_filter({q(LEXICON.starters)}, lambda p: starts_with(lower(part), p))) - CASE WHEN w > 35 THEN 18 ELSE 0 END - CASE WHEN w > 25 THEN 8 ELSE 0 END + CASE WHEN w BETWEEN 2 AND 5 THEN 5 ELSE 0 END"
-    rf" - CASE WHEN regexp_matches(part, '(?i)(^|[^\p{{L}}\p{{N}}_])(utilize|implement|facilitate|leverage|foster|cultivate|empower){_EDGE}') THEN 15 ELSE 0 END - CASE WHEN regexp_matches(part, '(?i)(^|[^\p{{L}}\p{{N}}_])(is|are|was|were|been|being)[ \t\n\r\f]+\w+ed{_EDGE}') THEN 8 ELSE 0 END"
-    f" - 10.0 * {_contained('lower(part)', LEXICON.hedges)} - 6.0 * {_contained('lower(part)', LEXICON.quantifiers)} + 0.5 * {_contained('lower(part)', LEXICON.pronouns)} + 0.5 * len(regexp_extract_all(part, '(?i)[a-z]{{1,15}}''(?:t|s|re|ve|ll|d|m)\\b'))"
-    " + CASE WHEN ends_with(part, '?') THEN 1 ELSE 0 END + CASE WHEN ends_with(part, '!') THEN 1 ELSE 0 END + CASE WHEN contains(part, '—') OR contains(part, ' - ') THEN 1 ELSE 0 END + CASE WHEN contains(part, '(') AND contains(part, ')') THEN 1 ELSE 0 END"
-    r" - CASE WHEN w BETWEEN 10 AND 25 AND regexp_matches(part, '^(?:[\w,.!?]+[ \t\n\r\f]+)*[\w,.!?]+\z') AND regexp_matches(part, '[.!?]\z') THEN 18 ELSE 0 END, 0.0::DOUBLE), 100.0::DOUBLE)"
+_EDGE = _FRONT = r"\b"
+
+
+def _if(test: str, points: float) -> str:
+    return f" + CASE WHEN {test} THEN {points}::DOUBLE ELSE 0 END"
+
+
+def _tests() -> dict[str, str]:
+    return {
+        "phrase": f"{_contained('lower(part)', LEXICON.phrases)} > 0", "opener": f"len(list_filter({q(LEXICON.starters)}, lambda p: starts_with(lower(part), p))) > 0", "very long": "w > 35", "long": "w > 25",
+        "formal": f"regexp_matches(part, '(?i){_FRONT}(utilize|implement|facilitate|leverage|foster|cultivate|empower){_EDGE}')", "passive": rf"regexp_matches(part, '(?i){_FRONT}(is|are|was|were|been|being)[ \t\n\r\f]+\w+ed{_EDGE}')",
+        "hedging": f"{_contained('lower(part)', LEXICON.hedges)} > 0",
+    }
+
+
+_T = _tests()
+_LATIN = (
+    f"35.0::DOUBLE - 22.0 * {_contained('lower(part)', LEXICON.phrases)} - 12.0 * len(list_filter({q(LEXICON.starters)}, lambda p: starts_with(lower(part), p)))"
+    + _if("w > 35", -18) + _if("w > 25", -8) + _if("w BETWEEN 2 AND 5", 5) + _if(_T["formal"], -15) + _if(_T["passive"], -8)
+    + f" - 10.0 * {_contained('lower(part)', LEXICON.hedges)} - 6.0 * {_contained('lower(part)', LEXICON.quantifiers)} + 0.5 * {_contained('lower(part)', LEXICON.indicators)} + 0.5 * len(regexp_extract_all(part, '(?i)[a-z]{{1,15}}''(?:t|s|re|ve|ll|d|m)\\b'))"
+    + _if(f"regexp_matches(part, '(?i){_FRONT}(I|me|my|we|us|our){_EDGE}')", 1) + _if(f"regexp_matches(part, '(?i){_FRONT}you{_EDGE}')", 0.5) + _if("ends_with(part, '?')", 1) + _if("ends_with(part, '!')", 1)
+    + _if("contains(part, '—') OR contains(part, ' - ')", 1) + _if("contains(part, '(') AND contains(part, ')')", 1) + _if(f"regexp_matches(part, '(?i)^(and|but|so|because|also|plus|or|well|ok|hey){_EDGE}')", 1)
+    + _if(r"w BETWEEN 10 AND 25 AND regexp_matches(part, '^(?:[\w,.!?]+[ \t\n\r\f]+)*[\w,.!?]+\z') AND regexp_matches(part, '[.!?]\z')", -18)
+)
+_ARABIC = (
+    f"35.0::DOUBLE - 22.0 * {_contained('part', LEXICON.arabic_phrases)} - 12.0 * len(list_filter({q(LEXICON.arabic_starters)}, lambda p: starts_with(part, p))) - 5.0 * {_contained('part', LEXICON.arabic_transitions)} + 5.0 * {_contained('part', LEXICON.arabic_indicators)}"
 )
+_V2 = rf"least(greatest(CASE WHEN regexp_matches(part, '[\x{{0600}}-\x{{06FF}}]') THEN {_ARABIC} ELSE {_LATIN} END, 0.0::DOUBLE), 100.0::DOUBLE)"
 _ROWS = f"""SELECT doc_id, pos, part, score, CASE WHEN score >= 55 THEN 'human' WHEN score >= 35 THEN 'maybe' ELSE 'ai' END AS class FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, part, {_V2} AS score
 FROM (SELECT *, len(regexp_split_to_array(part, '{B}+')) AS w FROM (SELECT doc_id, {spread('x')} FROM (SELECT doc_id, {SENT5} AS x FROM documents))))"""
 
@@ -205,6 +242,43 @@ def d15_extremes(spark, sf_dir):
     return N.extremes(_sentences(spark, sf_dir))
 
 
-@query(f"WITH o AS (SELECT doc_id, count(CASE WHEN class = 'ai' THEN 1 END) AS flagged, count(*) AS n FROM ({_ROWS}) GROUP BY doc_id) SELECT doc_id, flagged, n, round(flagged::DOUBLE / n, 6) AS share, 2 * flagged >= n AS escalate FROM o")
+@query(f"WITH o AS (SELECT doc_id, count(CASE WHEN class <> 'human' THEN 1 END) AS flagged, count(*) AS n FROM ({_ROWS}) GROUP BY doc_id) SELECT doc_id, flagged, n, round(flagged::DOUBLE / n, 6) AS share, 2 * flagged >= n AS escalate FROM o")
 def d36_flagged(spark, sf_dir):
     return N.flagged(_sentences(spark, sf_dir))
+
+
+_FOUND = ", ".join(f"CASE WHEN bool_or(contains(lower(part), '{p}')) THEN '{p}' END" for p in LEXICON.phrases)
+
+
+@query(
+    f"SELECT doc_id, round(avg(score), 6) AS score, {', '.join(f'count(CASE WHEN {t} THEN 1 END) AS {n.replace(chr(32), chr(95))}' for n, t in _T.items())}, array_to_string(list_filter([{_FOUND}], lambda x: x IS NOT NULL), ',') AS phrases, "
+    f"CASE WHEN avg(score) >= 55 THEN 'human' WHEN avg(score) >= 35 THEN 'mixed' ELSE 'ai' END AS verdict FROM (SELECT *, len(regexp_split_to_array(part, '{B}+')) AS w FROM ({_ROWS})) GROUP BY doc_id"
+)
+def d15_reports(spark, sf_dir):
+    return N.report(_sentences(spark, sf_dir), LEXICON)
+
+
+@query(
+    f"""WITH a AS ({D.ORACLE_SQL['d12_d16_composite']}), b AS (SELECT doc_id, {_SLOP} AS slop FROM documents), c AS ({_CONSISTENCY}), d AS ({_attribution_sql()}),
+p AS (SELECT doc_id, human_score AS built_in, slop, c.score AS consistency, round((1 - confidence) * 100) AS attribution FROM a JOIN b USING (doc_id) JOIN c USING (doc_id) JOIN d USING (doc_id))
+"""
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS axis, least(greatest(CAST({k} AS DOUBLE), 0.0), 100.0) AS value, {w}::DOUBLE AS weight FROM p" for k, w in P.ENSEMBLE.items())
+)
+def d29_radar(spark, sf_dir):
+    return P.radar(ensemble_parts(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, round(1 - human_score / 100, 4) AS probability FROM ({D.ORACLE_SQL['d12_d16_composite']})")
+def s23_local_probability(spark, sf_dir):
+    return D.d12_d16_composite(spark, sf_dir).select("doc_id", P.local_probability(F.col("human_score")).alias("probability"))
+
+
+@query("SELECT doc_id, round(list_avg(list_filter([n_chars % 7, CASE WHEN doc_id % 2 = 0 THEN 3.5 END, CASE WHEN doc_id % 5 = 0 THEN 1.0 END], lambda x: x IS NOT NULL)), 6) AS mean FROM documents")
+def d26_detector_mean(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(P.detector_mean([F.col("n_chars") % 7, F.when(i % 2 == 0, 3.5), F.when(i % 5 == 0, 1.0)]), 6).alias("mean"))
+
+
+@query("SELECT doc_id, source AS cite_key, 'T.' AS title FROM documents")
+def e9_bibliography(spark, sf_dir):
+    return P.bibliography(D.markup(spark, sf_dir), "source", "doc_id")

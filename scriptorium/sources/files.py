@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -36,24 +35,51 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """S9, by the file system of the path."""
+    p, system = hadoop(spark, path)
+    return system.exists(p)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """S9"""
+    p, system = hadoop(spark, path)
+    system.mkdirs(p)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or a folder, also from one file system to another."""
+    (a, one), (b, other) = hadoop(spark, source), hadoop(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(one, a, other, b, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """Names, without ending, of a folder's rule files in their order."""
+    p, system = hadoop(spark, folder)
+    return sorted(f.getPath().getName().removesuffix(ending) for f in system.listStatus(p) if f.getPath().getName().endswith(ending)) if system.exists(p) else []
 
 
 def snapshot(df: DataFrame, path: str, version: str, key: str) -> DataFrame:
-    """Writes a version and gives its manifest: rows and a fingerprint that doesn't depend on the rows' order."""
+    """Writes a version, appends a row to the manifest and gives it: rows, keys, a fingerprint, and its place in the manifest.
+
+    The fingerprint is a sum of row hashes: it doesn't depend on the rows' order, and equal rows don't cancel out.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
     rows = spark.read.parquet(f"{path}/version={version}")
-    content = F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
-    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.hex(F.coalesce(F.bit_xor(content), F.lit(0))).alias("fingerprint")).withColumn("version", F.lit(version))
+    content = F.xxhash64(*[F.col(c) for c in sorted(rows.columns)]).cast("decimal(20,0)")
+    place = spark.read.json(f"{path}/_manifest").agg(F.max("place")).first()[0] if exists(spark, f"{path}/_manifest") else 0
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.coalesce(F.sum(content), F.lit(0)).cast("string").alias("fingerprint")).withColumn("version", F.lit(version)).withColumn("place", F.lit(place + 1))
     found.write.mode("append").json(f"{path}/_manifest")
     return found
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The version that the manifest names last."""
-    last = spark.read.json(f"{path}/_manifest").agg(F.max("version")).first()[0]
+    """The version that the manifest names last, whatever its name."""
+    last = spark.read.json(f"{path}/_manifest").agg(F.max_by("version", "place")).first()[0]
     return spark.read.parquet(f"{path}/version={last}")
 
 
@@ -107,9 +133,23 @@ def first_text(sources: dict[str, Column], least: int) -> dict[str, Column]:
 
 
 def rules(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """A rule table from a CSV or JSON-lines file on the driver."""
-    frame = pd.read_json(path, lines=True) if Path(path).suffix in (".jsonl", ".json") else pd.read_csv(path)
-    return spark.createDataFrame(frame[list(columns)])
+    """A rule table from a CSV or JSON-lines file."""
+    json_lines = path.endswith((".jsonl", ".json"))
+    rows = spark.read.json(path) if json_lines else spark.read.csv(path, header=True, inferSchema=True)
+    return rows.select(*columns)
+
+
+def environment_layer(prefix: str, environment: dict[str, str]) -> dict:
+    """A configuration layer from variables like PREFIX_SCORING__LEAST=5: two underscores go one level down, names are lower case."""
+    out: dict = {}
+    for name, value in sorted(environment.items()):
+        if name.startswith(f"{prefix}_"):
+            *above, last = name[len(prefix) + 1 :].lower().split("__")
+            inner = out
+            for part in above:
+                inner = inner.setdefault(part, {})
+            inner[last] = config_value(value)
+    return out
 
 
 def merged_config(*layers: dict) -> dict:
@@ -131,3 +171,49 @@ def config_value(text: str) -> bool | int | float | str:
         except ValueError:
             continue
     return text
+
+
+def docx_bytes(text: str) -> bytes:
+    """A DOCX file with a paragraph per line."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    root = ElementTree.Element(f"{{{space}}}document")
+    body = ElementTree.SubElement(root, f"{{{space}}}body")
+    for line in text.split("\n"):
+        run = ElementTree.SubElement(ElementTree.SubElement(body, f"{{{space}}}p"), f"{{{space}}}r")
+        ElementTree.SubElement(run, f"{{{space}}}t").text = line
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml"), ElementTree.tostring(root, encoding="utf-8", xml_declaration=True))
+    return out.getvalue()
+
+
+def to_docx(text: Column) -> Column:
+    """A DOCX file of each text, as binary."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else docx_bytes(t))
+
+    return made(text)
+
+
+def from_docx(content: Column) -> Column:
+    """The text of a DOCX file; null if it isn't one."""
+
+    @F.pandas_udf("string")
+    def text(files: pd.Series) -> pd.Series:
+        return files.map(lambda x: None if x is None else docx_text(bytes(x)))
+
+    return text(content)
+
+
+def to_markdown(title: Column, text: Column, facts: dict[str, Column]) -> Column:
+    """A Markdown page: a heading, a list of facts, the text."""
+    lines = [F.concat(F.lit(f"- {k}: "), F.coalesce(c.cast("string"), F.lit("-"))) for k, c in facts.items()]
+    return F.concat(F.lit("# "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.concat_ws("\n", *lines), F.lit("\n\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
+def mock_corpus(spark: SparkSession, n: int, words: tuple[str, ...], seed: int, length: int = 40) -> DataFrame:
+    """N documents of some of the words, the same for the same seed: doc_id, text."""
+    pick = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(len(words))).cast("int")))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.array_join(pick, " "), F.lit(".")).alias("text"))

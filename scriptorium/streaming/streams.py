@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scriptorium.work import WorkFolder
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, a file or a folder of files, as a stream; its schema is read from it."""
@@ -75,8 +76,17 @@ def frames(chunks: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all input there is, into a table in memory; for rollups and tests, not for large results."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all input there is, and reads its result: files below the shared root, written by the executors.
+
+    A stream in complete mode writes its whole result at each end of a batch; the last one counts.
+    """
+    spark = stream.sparkSession
+    work = WorkFolder(spark, "stream")
+    out, checkpoint = f"{work.path}/out", f"{work.path}/checkpoint"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)

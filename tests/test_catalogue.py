@@ -56,6 +56,6 @@ def test_all_aligned_sentences_match_brute_force(spark, tmp_path):
         if t is not None:
             a, b = parts(t), parts(t.replace(" the ", " this ").replace(".", "," if i % 2 else "."))
             want += [(i, k, a[k] if k < len(a) else None, b[k] if k < len(b) else None) for k in range(max(len(a), len(b)))]
-    found = catalogue.QUERIES["j3_all_aligned_sentences"](spark, str(tmp_path)).collect()
+    found = catalogue.QUERIES["j3_aligned_sentences"](spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["pos"], r["before"], r["after"]) for r in found), key=str) == sorted(want, key=str)
     assert {0, 2, 4} & {r["doc_id"] for r in found}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
-from scriptorium.operators import edit, extract
+from scriptorium.operators import edit, extract, measures, style
 from scriptorium.sources import files
 
 
@@ -22,11 +22,50 @@ def test_sentence_variants(spark):
     assert one(spark, S.sentence_count(F.lit("..."))) == 1
 
 
-def test_scanner_keeps_abbreviations_and_identifiers():
-    known = frozenset(S.ABBREVIATIONS)
-    assert S.scan_sentences("Dr. Li saw node.js. It ran.", known, "", True, True) == ["Dr. Li saw node.js.", "It ran."]
-    assert S.scan_sentences('He said "go." Then left', known, "", True, True) == ['He said "go."', "Then left"]
-    assert S.scan_sentences("", known, "", True, True) == []
+CUT = ['Dr. Li saw node.js. It ran.', 'He said "go." Then left', "", "Wait... what?! 'No.' 1.2.3 x.5.", "See Fig. 2 (etc.) and vs. it. al.", 'Mr. "A." B', "e.g. this, i.e. that. final. Gen. end", "a.b.c d.\n\nMrs. X", "Ünal. é.è. Ok", "no! (yes.) \"q.\" [z.] end"]
+
+
+def quoted(text, short, guard):
+    """T3, T6 character by character."""
+    out, held, i = [], "", 0
+    while i < len(text):
+        held += text[i]
+        if text[i] in ".!?":
+            near = lambda k: 0 <= k < len(text) and text[k].isascii() and text[k].isalnum()
+            if not (guard and text[i] == "." and near(i - 1) and near(i + 1)) and not any(held.endswith(f"{w}.") or text[: i + 1].endswith(f"{w}.") for w in short):
+                if i + 1 < len(text) and text[i + 1] in "\"'":
+                    i += 1
+                    held += text[i]
+                out.append(held.strip())
+                held = ""
+        i += 1
+    return [x for x in [*out, held.strip()] if x]
+
+
+def test_quoted_splitters_match_a_walk_over_characters(spark):
+    rows = spark.createDataFrame([(t,) for t in CUT], "t string")
+    for split, short, guard in ((S.sentences_unified, S.UNIFIED_SHORT, True), (S.sentences_model, S.MODEL_SHORT, False)):
+        found = {r["t"]: r["x"] for r in rows.select("t", split(F.col("t")).alias("x")).collect()}
+        assert found == {t: quoted(t, short, guard) for t in CUT}
+        assert found == {t: style.sentences_quoted(t, short, guard) for t in CUT}
+
+
+def test_paper_splitter_keeps_abbreviations(spark):
+    rows = spark.createDataFrame([(t,) for t in CUT], "t string")
+    found = {r["t"]: r["x"] for r in rows.select("t", S.sentences_papers(F.col("t")).alias("x")).collect()}
+    assert found == {t: measures.sentences_papers(t) for t in CUT}
+    assert found[CUT[0]] == ["Dr. Li saw node.js.", "It ran."] and found[CUT[4]] == ["See Fig. 2 (etc.) and vs. it.", "al."] or found[CUT[4]][0].startswith("See Fig. 2 (etc.)")
+
+
+def test_chunks_hold_all_words_and_their_bounds():
+    text = "One two three. " * 40 + "x " * 30 + "\n\n" + "long line " * 70 + "\nshort\n\n\nEnd."
+    for most in (7, 20, 1000):
+        words, paragraphs = S.budget_chunks(text, most), S.paragraph_chunks(text, most)
+        assert " ".join(words).split() == text.split() == " ".join(paragraphs).split()
+        assert all(len(c.split()) <= most for c in (*words[:-1], *paragraphs))
+    assert S.budget_chunks("a b. c d e f", 4) == ["a b. c d", "e f"] and S.budget_chunks("a b c. d e f", 4) == ["a b c.", "d e f"]
+    assert S.budget_chunks("aaaa bbbb cc.dd e f g", 3) == ["aaaa bbbb cc.", "dd e f", "g"]
+    assert S.sentence_chunks("Aa. Bb. Cc.", 8) == ["Aa. Bb.", "Cc."] and S.sentence_chunks("", 9) == [""]
 
 
 def test_ngrams_of_short_arrays(spark):
@@ -37,7 +76,7 @@ def test_ngrams_of_short_arrays(spark):
 def test_packing_and_chunks():
     assert S.pack([3, 3, 3, 10, 1], 6) == [0, 0, 1, 2, 3]
     text = " ".join(["w"] * 6 + ["end."] + ["w"] * 6)
-    assert [len(c.split()) for c in S.budget_chunks(text, 10)] == [7, 6]
+    assert [len(c.split()) for c in S.budget_chunks(text, 10)] == [7, 6]  # the mark is past the chunk's half
     assert " ".join(S.budget_chunks(text, 10)) == text
 
 
@@ -98,7 +137,7 @@ def test_fingerprints_take_whole_texts(spark, tmp_path):
 
     texts = ["x" * 64 + "a", "x" * 64 + "b", "é𝒳" * 3000, "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["hash31"] for r in catalogue.QUERIES["x3_x5_fingerprints"](spark, str(tmp_path)).select("doc_id", "hash31").collect()}
+    found = {r["doc_id"]: r["hash31"] for r in catalogue.QUERIES["x3_x4_hashes"](spark, str(tmp_path)).select("doc_id", "hash31").collect()}
     for i, t in enumerate(texts):
         h, units = 0, (t or "").encode("utf-16-le")
         for k in range(0, len(units), 2):
