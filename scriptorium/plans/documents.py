@@ -11,6 +11,7 @@ from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
 from scriptorium.operators import compare, corpus, edit, extract, scoring
+from scriptorium.work import evenly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +32,8 @@ B = r"[ \t\n\r\f]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return evenly(rows) if name == "documents" else rows
 
 
 def query(sql: str | None = None):

@@ -11,6 +11,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an input per core up to which its rows are dealt out evenly.
+SMALL_BYTES = 8 << 20
+
+
+def evenly(rows: DataFrame) -> DataFrame:
+    """Deals out the rows of a small input evenly: a file of one row group is one task, however many cores there are.
+
+    Larger inputs have row groups enough, and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= cores * SMALL_BYTES else rows
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
