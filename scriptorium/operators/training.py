@@ -30,6 +30,12 @@ def fit_and_score(rows: DataFrame, id_col: str = "doc_id", label: str = "label",
     return parts.select(id_col, "split", label, F.round(p, 6).alias("probability"), (p >= 0.5).cast("int").alias("prediction"))
 
 
+def losses(rows: DataFrame, label: str = "label", **settings) -> DataFrame:
+    """M6: iteration, loss of a training run over the rows; as many rows as iterations."""
+    history = fit(rows, label, **settings).summary.objectiveHistory
+    return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "iteration int, loss double")
+
+
 def append_lineage(rows: DataFrame, path: str, model: dict, metrics: dict, at: str) -> None:
     """M9: one JSON line per training run, with a digest of the model."""
     spark = rows.sparkSession

@@ -228,6 +228,16 @@ def m5_logistic_training(spark, sf_dir):
     return training.fit_and_score(rows)
 
 
+@query()
+def m6_losses(spark, sf_dir):
+    """M6: the loss of each training step on the labelled documents."""
+    from scriptorium.operators import training
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    known = table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return training.losses(D.features_of(known).join(labels, "doc_id"))
+
+
 # Pairs and versions
 
 _EDIT = "regexp_replace(regexp_replace(text, ' the ', ' this ', 'g'), '\\.', CASE WHEN doc_id % 2 = 0 THEN '.' ELSE ',' END, 'g')"

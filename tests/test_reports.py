@@ -157,3 +157,25 @@ def test_attribution_of_empty_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "It was used. Perhaps (as said) so!")], "doc_id int, text string")
     found = {r["doc_id"]: r for r in style.attribution_features(rows, ("so",)).collect()}
     assert found[1]["sentence_length"] == 0 and found[3]["passive"] == 0.5 and found[3]["hedging"] > 0 and found[3]["phrases"] > 0
+
+
+def test_losses_fall(spark):
+    from scriptorium.operators import training
+    from scriptorium.operators.scoring import VECTOR
+
+    rows = spark.createDataFrame([(i, float(i % 2), *[float((i * k + i % 2 * 3) % 5) for k in range(len(VECTOR))]) for i in range(60)], ["doc_id", "label", *VECTOR])
+    found = [r["loss"] for r in training.losses(rows).orderBy("iteration").collect()]
+    assert len(found) > 1 and found[-1] < found[0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from scriptorium.__main__ import main
+
+    (tmp_path / "l.json").write_text('{"phrases": ["a myriad of"]}')
+    assert main(["--text", " ".join(HUMAN), "--json", "--lexicon", str(tmp_path / "l.json")]) == 0
+    found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert found["n_sentences"] > 5 and 0 <= found["human_score"] <= 106
+    (tmp_path / "t.txt").write_text("One. Two.")
+    assert main(["--file", str(tmp_path / "t.txt")]) == 0 and "human_score: " in capsys.readouterr().out
