@@ -9,7 +9,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +29,14 @@ DATE = "2000-01-01T00:00:00Z"
 # Records
 
 
-def clean(value: object) -> str:
-    return quote(str(value), safe="/:?#[]@!$&'()*+,;=%~-._")
+def clean(url: object) -> str:
+    """A URL as header fields and index keys have it; the index entry keeps it as it was."""
+    return quote(str(url), safe="/:?#[]@!$&'()*+,;=%~-._")
+
+
+def name_of(page_id: object) -> str:
+    """A record's name; a page without an id has the empty name."""
+    return "<urn:page:>" if page_id is None else f"<urn:page:id={quote(str(page_id), safe='')}>"
 
 
 def record(kind: str, page_id: object, url: str | None, payload: bytes, refers_to: object = None) -> bytes:
@@ -39,11 +45,11 @@ def record(kind: str, page_id: object, url: str | None, payload: bytes, refers_t
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     fields = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{clean(page_id)}>", "WARC-Date": DATE, "WARC-Target-URI": None if url is None else clean(url),
+        "WARC-Type": kind, "WARC-Record-ID": name_of(page_id), "WARC-Date": DATE, "WARC-Target-URI": None if url is None else clean(url),
         "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response",
     }
     if kind == "revisit":
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{clean(refers_to)}>"}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name_of(refers_to)}
     fields["Content-Length"] = str(len(block))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None) + "\r\n"
     engine = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -58,7 +64,7 @@ class Record:
 
     def page(self, field: str) -> str | None:
         value = self.fields.get(field, "")
-        return value[len("<urn:page:") : -1] if value.startswith("<urn:page:") and value != "<urn:page:None>" else None
+        return unquote(value[len("<urn:page:id=") : -1]) if value.startswith("<urn:page:id=") else None
 
 
 def headers(text: bytes) -> dict[str, str]:
@@ -172,24 +178,23 @@ def directory(reader: BlobReader) -> dict[str, Member]:
     return members
 
 
-def blocks(reader: BlobReader) -> Iterator[tuple[int, list[int]]]:
-    """Ranges of about BLOCK_BYTES of the stored archive: where each starts, and its records' lengths, by the index."""
+def blocks(reader: BlobReader) -> Iterator[tuple[int, list[dict]]]:
+    """Ranges of about BLOCK_BYTES of the stored archive: where each starts, and its records' index entries."""
     members = directory(reader)
     for name in (ARCHIVE, INDEX):
         if name not in members or members[name].method:
             raise ValueError(f"{name} isn't stored in {reader.uri}")
     index, at = members[INDEX], members[ARCHIVE].start
-    entries = sorted((e["offset"], e["length"]) for e in (json.loads(x.split(" ", 2)[2]) for x in reader.read(index.start, index.size).decode().splitlines()))
-    start, lengths = 0, []
-    for offset, length in entries:
-        if lengths and (offset != start + sum(lengths) or sum(lengths) + length > BLOCK_BYTES):
-            yield at + start, lengths
-            lengths = []
-        if not lengths:
-            start = offset
-        lengths.append(length)
-    if lengths:
-        yield at + start, lengths
+    entries = sorted((json.loads(x.split(" ", 2)[2]) for x in reader.read(index.start, index.size).decode("utf-8", "surrogatepass").splitlines()), key=lambda e: e["offset"])
+    held: list[dict] = []
+    for entry in entries:
+        end = held[-1]["offset"] + held[-1]["length"] if held else 0
+        if held and (entry["offset"] != end or end + entry["length"] - held[0]["offset"] > BLOCK_BYTES):
+            yield at + held[0]["offset"], held
+            held = []
+        held.append(entry)
+    if held:
+        yield at + held[0]["offset"], held
 
 
 # Tables
@@ -218,8 +223,11 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
     return pages.select("page_id", "url", "html", "revisit", "refers_to").mapInArrow(lean(write), "path string, records bigint")
 
 
+RANGES = {"path": pa.string(), "start": pa.int64(), "lengths": pa.list_(pa.int64()), "pages": pa.list_(pa.string()), "urls": pa.list_(pa.string())}
+
+
 def locate(packages: DataFrame) -> DataFrame:
-    """path, start, lengths of each block of records, from the packages' directories and indexes."""
+    """path, start, and per record length, page and url, of each block of records, from the packages' directories and indexes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,26 +235,32 @@ def locate(packages: DataFrame) -> DataFrame:
                 reader = BlobReader(path)
                 found = list(blocks(reader))
                 reader.close()
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["path", "start", "lengths"])
+                rows = [(path, start, *([e[k] for e in entries] for k in ("length", "page", "url"))) for start, entries in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(RANGES.values())], list(RANGES))
 
-    return packages.select("path").mapInArrow(lean(find), "path string, start bigint, lengths array<bigint>")
+    return packages.select("path").mapInArrow(lean(find), "path string, start bigint, lengths array<bigint>, pages array<string>, urls array<string>")
 
 
 def read_records(ranges: DataFrame, with_html: bool = False) -> DataFrame:
-    """A row per record, read by range: page, url, record_type, refers_to, payload_bytes, payload_digest (and html)."""
+    """A row per record, read by range: page, url (as the index has them), record_type, refers_to, payload_bytes, payload_digest (and html).
+
+    A response's payload is held against its digest; a revisit has none, and gives what its header says.
+    """
     names = {"page": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string()} | ({"html": pa.string()} if with_html else {})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, lengths in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "lengths")), strict=True):
+            for path, start, lengths, pages, urls in zip(*(batch.column(c).to_pylist() for c in RANGES), strict=True):
                 reader = BlobReader(path)
                 data, at, rows = reader.read(start, sum(lengths)), 0, []
                 reader.close()
-                for n in lengths:
+                for n, page, url in zip(lengths, pages, urls, strict=True):
                     r = parse_record(data[at : at + n])
                     at += n
+                    if r.page("WARC-Record-ID") != page:
+                        raise ValueError(f"a record isn't the one that the index of {path} tells")
                     digest = base64.b32decode(r.fields["WARC-Payload-Digest"].partition(":")[2]).hex()
-                    row = (r.page("WARC-Record-ID"), r.fields.get("WARC-Target-URI"), r.fields["WARC-Type"], r.page("WARC-Refers-To"), int(r.http["Content-Length"]), digest)
+                    row = (page, url, r.fields["WARC-Type"], r.page("WARC-Refers-To"), int(r.http["Content-Length"]), digest)
                     rows.append((*row, r.payload.decode("utf-8", "surrogatepass")) if with_html else row)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(names.values())], list(names))
 
@@ -271,7 +285,7 @@ def revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page, read back from packages: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    Null html is an empty payload, a null url is left out. A null id never becomes the response of a group that
+    Ids and URLs come back as they were, whatever characters they have. Null html is an empty payload, a null url is left out. A null id never becomes the response of a group that
     has others. Rows that repeat an id each get a record; those with the id that stays are all responses. An
     empty table gives no package and an empty result. Other columns are ignored, whatever their names.
     """

@@ -21,6 +21,17 @@ def test_round_trip(spark):
         revisit = len(data) >= 1000 and i != max(same)
         assert (r["record_type"], r["refers_to"]) == (("revisit", max(same)) if revisit else ("response", None))
     assert len(found) == len(PAGES)
+    assert {i: found[i]["url"] for i, *_ in PAGES} == {i: url for i, url, _ in PAGES}
+
+
+def test_ids_and_urls_come_back_as_they_were(spark):
+    odd = ["a b", "a%20b", "None", "", "ü>\r\n<", None, "x/y?z#é", "id="]
+    rows = spark.createDataFrame([(x, x, BIG if k % 2 else f"small {k}") for k, x in enumerate(odd)], "page_id string, url string, html string")
+    found = warc.archive_round_trip(rows).collect()
+    assert sorted(map(str, (r["page_id"] for r in found))) == sorted(map(str, odd)) and sum(r["page_id"] is None for r in found) == 1
+    assert all(r["page_id"] == r["url"] for r in found)
+    big = max(x for k, x in enumerate(odd) if k % 2 and x is not None)
+    assert all(r["refers_to"] == big for r in found if r["record_type"] == "revisit") and sum(r["record_type"] == "revisit" for r in found) == 3
 
 
 def test_empty_table_and_odd_rows(spark):
@@ -45,10 +56,10 @@ def test_packages_are_zip_files(spark, tmp_path, zip64):
         assert z.testzip() is None
         assert {i.filename: (i.compress_type, i.file_size) for i in z.infolist()} == {k: (m.method, m.size) for k, m in members.items()}
     payloads = []
-    for start, lengths in warc.blocks(reader):
-        for n in lengths:
-            payloads.append(warc.parse_record(reader.read(start, n)).payload.decode())
-            start += n
+    for start, entries in warc.blocks(reader):
+        for e in entries:
+            payloads.append(warc.parse_record(reader.read(start, e["length"])).payload.decode())
+            start += e["length"]
     assert payloads == [h or "" for _, _, h in PAGES]
 
 
