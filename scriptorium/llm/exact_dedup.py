@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_lower, salted_lookup
+from scriptorium.llm.common import WorkFolder, ascii_lower, salted_lookup
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
@@ -29,18 +29,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     )
     winners = merged.groupBy("_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
-    # Texts that share a SHA-256 digest would need the text in the key; the check makes that visible.
+    # Texts that share a SHA-256 digest would need the text in the key; the check, of all digests, makes that visible.
+    clash = F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint")
     groups = (
-        winners.filter("_size > 1")
-        .groupBy("_digest")
+        winners.groupBy("_digest")
         .agg(F.max("_keep").alias("_keep"), F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_texts"))
-        .select(
-            "_digest",
-            "_keep",
-            F.when(F.col("_texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint")).otherwise(F.col("_size")).alias("_size"),
-        )
+        .select("_digest", "_keep", F.when(F.col("_texts") > 1, clash).otherwise(F.col("_size")).alias("_size"))
+        .filter("_size > 1")
     )
-    matched = salted_lookup(rows.select("_id", "_digest"), groups, ["_digest"], F.col("_id"), salts)
+    narrow = WorkFolder(docs.sparkSession, "exact-dedup").table(rows.select("_id", "_digest"), "digests")
+    matched = salted_lookup(narrow, groups, ["_digest"], F.col("_id"), salts, used_only=True)
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return matched.select(
         F.col("_id").alias("doc_id"),
