@@ -190,8 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).filter((remainder(F.col("_id"), 5) != 0) & F.col("_label").isNotNull())
     chosen = one.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
-    found = document_features(sample, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "x", "_label").limit(most).toPandas()
-    found = found.sort_values("doc_id")
+    # An id that several rows have counts once, by its least features: at most ``most`` rows, whatever the order.
+    one = document_features(sample, "doc_id", "text").groupBy("doc_id").agg(F.min("x").alias("x"))
+    found = one.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "x", "_label").toPandas().sort_values("doc_id")
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit(x, found["_label"].to_numpy(float))
 
