@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import WORD, WorkFolder, partitions
+from scriptorium.operators.ranking import ranked
 
 #: Local row numbers take the low bits of monotonically_increasing_id(), the partition the rest.
 LOCAL_BITS = 33
@@ -29,6 +30,29 @@ def targets(sizes: Sequence[int], weights: Sequence[int], most: int) -> list[flo
         capped |= over
 
 
+def target_table(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """_source, source_size, target of a table of sources and sizes, as :func:`targets` has them, without a list of all sources.
+
+    Weights go by a source's place among all. In rounds, sums over all sources tell what a unit of weight gets; those that
+    would have more than they may are capped, which raises it for the rest, until none is.
+    """
+    rows = ranked(sources, [F.col("_source").asc_nulls_last()], "_place")
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("_place") % len(weights)).cast("int"))
+    rows = WorkFolder(sources.sparkSession, "targets").table(rows.select("_source", F.col("size").alias("source_size"), weight.cast("bigint").alias("_w")), "sources")
+    capped, held = F.lit(False), -1
+    while True:
+        found = rows.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(capped, most * F.col("source_size"))), F.lit(0)).alias("held"),
+            F.coalesce(F.sum(F.when(~capped, F.col("_w"))), F.lit(0)).alias("weight"), F.count_if(capped).alias("capped"),
+        ).first()
+        rest, weight_left = found["all"] - found["held"], max(found["weight"], 1)
+        share = (F.lit(rest) * F.col("_w")).cast("double") / F.lit(float(weight_left))
+        if found["capped"] == held:  # no more than in the round before
+            return rows.select("_source", "source_size", F.when(capped, (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
+        held = found["capped"]
+        capped = capped | (share > most * F.col("source_size"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -52,10 +76,11 @@ def mix_sources(
     spark = docs.sparkSession
     work = WorkFolder(spark, "mixing")
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("_size"))
-    order = [F.col("_source").asc_nulls_last(), F.col("_size"), F.col("_id").asc_nulls_last()]
+    # Rows that share source, size and id are told apart by where they stand, so that they too can be dealt out; which is which doesn't show.
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("_size"), F.monotonically_increasing_id().alias("_tie"))
+    order = [F.col("_source").asc_nulls_last(), F.col("_size"), F.col("_id").asc_nulls_last(), F.col("_tie")]
     ordered = work.table(
-        narrow.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()),
+        narrow.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("_tie").withColumn("_place", F.monotonically_increasing_id()),
         "ordered",
     )
     part = F.shiftright("_place", LOCAL_BITS).alias("_part")
@@ -63,17 +88,11 @@ def mix_sources(
         ordered.groupBy("_source", part).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"), F.sum("_size").alias("_words")),
         "runs",
     )
-    sources = sorted(
-        runs.groupBy("_source").agg(F.sum("_words").alias("size")).collect(), key=lambda r: (r["_source"] is None, r["_source"] or "")
-    )
-    share = targets([r["size"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], most) if sources else []
-    plan = spark.createDataFrame(
-        [(r["_source"], r["size"], x) for r, x in zip(sources, share, strict=True)],
-        f"_source {dict(narrow.dtypes)['_source']}, source_size bigint, target double",
-    )
+    sources = work.table(runs.groupBy("_source").agg(F.sum("_words").alias("size")), "sources")
+    plan = target_table(sources, weights, most)
     before = W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("r")
-    small = len(sources) <= BROADCAST_SOURCES  # then runs, too: at most one per source and partition boundary
+    small = sources.count() <= BROADCAST_SOURCES  # then runs, too: at most one per source and partition boundary
     starts = starts.join(F.broadcast(plan.alias("p")) if small else plan.alias("p"), F.col("r._source").eqNullSafe(F.col("p._source"))).select(
         F.col("r._source").alias("_s"), "_part", "_first", "_before", "source_size", "target"
     )
