@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import exact_dedup, language, media, mixing, ngram_join, pieces, quality, secrets, substrings, warc
+from scriptorium.work import evenly
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return evenly(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def piece_model() -> str:
