@@ -76,6 +76,27 @@ def test_one_odd_character_or_byte_hides_nothing(odd, wrap):
     assert {"assign", "access"} <= {k for k, s, e in spans if 2 <= s < e <= 2 + len(wrapped)}
 
 
+@pytest.mark.parametrize("wrap", [lambda x: b64(x.encode("utf-16")), lambda x: b64(x.encode("utf-16-be")), lambda x: "".join(f"%{c:02X}" for c in gzip.compress(x.encode())), lambda x: "".join(f"\\x{c:02x}" for c in gzip.compress(x.encode())), lambda x: "".join(f"%u{ord(c):04X}" for c in x), lambda x: urllib.parse.quote(x.encode("utf-16-le"))])
+def test_wide_characters_and_escaped_streams_hide_nothing(wrap):
+    wrapped = wrap(f"some words {SECRET} and more")
+    spans = secrets.scan(f"a {wrapped} b")[1]
+    assert {"assign", "access"} <= {k for k, s, e in spans if 2 <= s < e <= 2 + len(wrapped)}
+
+
+def test_places_of_layers_in_layers():
+    layer = secrets.Layer("ab%41cd\\u0042ef", None)
+    one = secrets.url_layer(layer)
+    two = secrets.unicode_layer(one)
+    assert two.text == "abAcdBef"
+    assert [two.root(i, i + 1) for i in range(8)] == [(0, 1), (1, 2), (2, 5), (5, 6), (6, 7), (7, 13), (13, 14), (14, 15)]
+    assert two.root(0, 8) == (0, 15) and two.root(3, 5) == (5, 7)
+
+
+def test_deep_nesting_ends_in_bounded_memory():
+    deep = "%" + "25" * 1500 + "41"
+    assert secrets.scan(deep)[2] >= 1500
+
+
 def test_spans_after_a_bad_byte_are_exact():
     assert ("assign", 3, 69) in secrets.scan("%FF" + "".join(f"%{ord(c):02X}" for c in "password=hunter2secret"))[1]
 
