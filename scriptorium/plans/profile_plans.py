@@ -282,3 +282,10 @@ def d26_detector_mean(spark, sf_dir):
 @query("SELECT doc_id, source AS cite_key, 'T.' AS title FROM documents")
 def e9_bibliography(spark, sf_dir):
     return P.bibliography(D.markup(spark, sf_dir), "source", "doc_id")
+
+
+@query(f"WITH r AS ({_ROWS}) SELECT doc_id, pos, part FROM r WHERE EXISTS (SELECT 1 FROM r f WHERE f.doc_id = r.doc_id AND f.pos = r.pos AND f.class <> 'human')")
+def j4_flagged_sentences(spark, sf_dir):
+    """The sentences of a text that a table of flagged ones has."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.sentences_linear(F.col("text"))).alias("pos", "part"))
+    return rows.join(_sentences(spark, sf_dir).filter("class != 'human'").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
-from scriptorium.operators import compare, corpus, ranking
+from scriptorium.operators import compare, corpus, edit, ranking, training
+from scriptorium.plans.corpora import _DOT, _NORM
 from scriptorium.plans.documents import table
 from scriptorium.sources import files
 from scriptorium.work import WorkFolder
@@ -167,3 +168,58 @@ def u1_union(spark, sf_dir):
     one = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("lang").alias("name"))
     two = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("name"))
     return one.unionByName(two).unionByName(items.select(F.lit("item").alias("kind"), F.col("item_id").alias("id")), allowMissingColumns=True)
+
+
+_TIDY = ((r"[ \t]*—[ \t]*", ", "), ("–", "-"), (r"[ \t]{2,}", " "), (r"[ \t]+([,.;:!?])", r"\1"), (r",\s*,", ","))
+
+
+def _tidy_sql(text: str) -> str:
+    for pattern, by in _TIDY:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"trim({text})"
+
+
+_DASHED = "text || ' a — b –  c , d,, e  . '"
+
+
+@query(f"SELECT doc_id, {_tidy_sql(_DASHED)} AS text FROM documents")
+def r2_tidied(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", edit.tidy(F.concat("text", F.lit(" a — b –  c , d,, e  . "))).alias("text"))
+
+
+_SHORT = (("can't", "cannot"), ("won't", "will not"), ("it's", "it is"))
+
+
+def _short_sql() -> str:
+    text, n = "text || ' It''s here, we can''t and won''t.'", "0"
+    for a, b in _SHORT:
+        p = f"(?i)\\b{a}\\b".replace("'", "''")
+        n, text = f"{n} + len(regexp_extract_all({text}, '{p}'))", f"regexp_replace({text}, '{p}', '{b}', 'g')"
+    return f"SELECT doc_id, {text} AS text, CAST({n} AS BIGINT) AS n_changes FROM documents"
+
+
+@query(_short_sql())
+def r6_expanded(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" It's here, we can't and won't.")).alias("text"))
+    return edit.replaced(rows, _SHORT, "text", "doc_id")
+
+
+@query(
+    f"WITH v AS (SELECT vec_id, embedding, label FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS entry, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 9) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 10 > 5) "
+    "SELECT query, entry, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, entry) AS n FROM p WHERE similarity >= 0.3) WHERE n = 1"
+)
+def j7_cached(spark, sf_dir):
+    """Every 20th vector against the unexpired ones with its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    entries = vectors.withColumn("expires", F.col("vec_id") % 10)
+    return compare.cached_answers(vectors.filter("vec_id % 20 = 0"), entries, "vec_id", "embedding", ["label"], F.lit(5), 0.3)
+
+
+@query("SELECT run, sha256('{\"bias\": ' || bias || '}') AS digest, '{\"f1\": ' || f1 || '}' AS metrics FROM (VALUES ('one', '0.5', '0.75'), ('two', '-1.25', '0.5')) t(run, bias, f1)")
+def m9_lineage(spark, sf_dir):
+    """Two runs appended to one log, and read again."""
+    path = f"{WorkFolder(spark, 'lineage').path}/runs"
+    none = spark.createDataFrame([], "x int")
+    for run, bias, f1 in (("one", 0.5, 0.75), ("two", -1.25, 0.5)):
+        training.append_lineage(none, path, {"bias": bias}, {"f1": f1}, run)
+    return spark.read.json(path).select(F.col("at").alias("run"), "digest", "metrics")
