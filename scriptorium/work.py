@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -11,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to remove a query's shuffle files at its end.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of an input per core up to which its rows are dealt out evenly.
 SMALL_BYTES = 8 << 20
 
@@ -66,15 +68,19 @@ class WorkFolder:
         return f"{self.path}/{part}"
 
     def table(self, df: DataFrame, part: str) -> DataFrame:
-        """Writes a table and reads it back: cuts the lineage, survives lost executors."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{part}")
+        """Writes a table and reads it back: cuts the lineage, survives lost executors.
+
+        The shuffle files of the write, which may be several times the result, go as soon as it is done.
+        """
+        conf = self.spark.conf
+        had = conf.get(FILES_GO, None)
+        conf.set(FILES_GO, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{part}")
+        finally:
+            conf.unset(FILES_GO) if had is None else conf.set(FILES_GO, had)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{part}")
 
     def drop(self, *parts: str) -> None:
         for part in parts:
             self.fs().delete(self.hadoop(part), True)
-
-    def release(self) -> None:
-        """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more: it waits for the driver's next collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
