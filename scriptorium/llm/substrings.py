@@ -129,7 +129,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = work.table(C.answer(asked, ["<u8"], C.repeated, work, deal.salts), "flags")
     asked = flags.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(windows, C.BLOCK_SCHEMA)
     least = work.table(C.answer(asked, ["<u8", "<u4", "<i8"], least_ids, work, deal.salts), "least")
-    work.release()
     told = (
         flags.withColumn("kind", F.lit(1))
         .unionByName(least.withColumn("kind", F.lit(2)))
