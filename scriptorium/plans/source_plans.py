@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
 from scriptorium.functions import text as X
-from scriptorium.operators import compare, corpus, edit, ranking, training
+from scriptorium.operators import compare, corpus, edit, profiles, ranking, training
 from scriptorium.plans.corpora import _DOT, _NORM
 from scriptorium.plans.documents import table
 from scriptorium.sources import files
+from scriptorium.streaming import streams
 from scriptorium.work import WorkFolder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +224,87 @@ def m9_lineage(spark, sf_dir):
     for run, bias, f1 in (("one", 0.5, 0.75), ("two", -1.25, 0.5)):
         training.append_lineage(none, path, {"bias": bias}, {"f1": f1}, run)
     return spark.read.json(path).select(F.col("at").alias("run"), "digest", "metrics")
+
+
+# Single functions
+
+
+_FOUR = "regexp_extract_all({}, '[A-Za-z]{{4,}}')"
+_WANTED, _FOUND = _FOUR.format("substr(text, 1, 150)"), _FOUR.format("right(text, 400)")
+
+
+@query(f"SELECT doc_id, round(CASE WHEN len({_WANTED}) = 0 THEN 1.0 ELSE len(list_filter({_WANTED}, lambda x: list_contains(list_transform({_FOUND}, lambda y: lower(y)), lower(x))))::DOUBLE / len({_WANTED}) END, 9) AS recall FROM documents")
+def x12_recall(spark, sf_dir):
+    words = lambda t: F.regexp_extract_all(t, F.lit("[A-Za-z]{4,}"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.recall(words(F.substring("text", 1, 150)), words(F.right("text", F.lit(400)))), 9).alias("recall"))
+
+
+_FIRST = "regexp_extract(text, '[A-Za-z]+', 0)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_FIRST} = upper({_FIRST}) AND length({_FIRST}) > 1 THEN 'WORD' WHEN substr({_FIRST}, 1, 1) = upper(substr({_FIRST}, 1, 1)) THEN 'Word' ELSE 'word' END AS word FROM documents WHERE regexp_matches(text, '[A-Za-z]')")
+def x22_case(spark, sf_dir):
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("[A-Za-z]")).select("doc_id", X.preserve_case(word, F.lit("word")).alias("word"))
+
+
+_MARK = "regexp_extract(trim(text), '([.!?]+)$', 1)"
+
+
+@query(f"SELECT doc_id, upper(lang[1]) || lang[2:] || CASE WHEN {_MARK} = '' THEN '.' ELSE {_MARK} END AS text FROM documents WHERE lang IS NOT NULL")
+def x27_endings(spark, sf_dir):
+    """A word with the capital and the mark of a sentence."""
+    rows = table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
+    return rows.select("doc_id", X.with_ending(X.capitalized(F.concat("lang", F.lit("?!"))), F.col("text")).alias("text"))
+
+
+_PROFILE = "SELECT round(avg(n_chars), 6) AS length, CAST(count(*) AS DOUBLE) AS documents, CAST(min(n_chars) AS DOUBLE) AS shortest FROM documents WHERE lang = '{}'"
+
+
+@query(f"WITH a AS ({_PROFILE.format('en')}), b AS ({_PROFILE.format('de')}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, a.{c} AS first, b.{c} AS second, round(abs(a.{c} - b.{c}), 6) AS distance FROM a, b" for c in ("length", "documents", "shortest")))
+def d23_d38_differences(spark, sf_dir):
+    """Two languages' profiles side by side."""
+    docs = table(spark, sf_dir, "documents")
+    one, two = (docs.filter(F.col("lang") == x).agg(F.round(F.avg("n_chars"), 6).alias("length"), F.count(F.lit(1)).cast("double").alias("documents"), F.min("n_chars").cast("double").alias("shortest")) for x in ("en", "de"))
+    return profiles.profile_differences(one, two, ["length", "documents", "shortest"]).withColumn("distance", F.round("distance", 6))
+
+
+_PATH = "'f' || doc_id || ['.pdf', '.docx', '.txt', '.exe'][doc_id % 4 + 1]"
+
+
+@query(
+    f"WITH f AS (SELECT {_PATH} AS path, doc_id, n_chars AS length FROM documents) SELECT path, length, array_to_string(list_filter([CASE WHEN length > 3000 THEN 'too_large' END, CASE WHEN length = 0 THEN 'empty' END, CASE WHEN doc_id % 4 = 3 THEN 'unknown_type' END, "
+    "CASE WHEN doc_id % 4 = 0 AND doc_id % 3 > 0 OR doc_id % 4 = 1 THEN 'wrong_content' END], lambda x: x IS NOT NULL), ',') AS errors FROM f"
+)
+def s17_uploads(spark, sf_dir):
+    """Files of four kinds: every third PDF has a PDF's start, no DOCX has a ZIP's."""
+    i = F.col("doc_id")
+    ending = F.get(F.array(*map(F.lit, (".pdf", ".docx", ".txt", ".exe"))), (i % 4).cast("int"))
+    content = F.when((i % 4 == 0) & (i % 3 == 0), F.lit("%PDF-1.7")).otherwise(F.lit("plain"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), i.cast("string"), ending).alias("path"), F.col("n_chars").alias("length"), content.cast("binary").alias("content"))
+    return files.upload_errors(rows, 3000).withColumn("errors", F.array_join("errors", ","))
+
+
+@query(
+    "SELECT 'w' || doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN '10.1/x' || doc_id END AS doi, source AS title, 'one two one' AS abstract, CAST(least(doc_id % 14, 10) AS INTEGER) AS n_authors, CASE WHEN doc_id % 14 > 0 THEN 'a0' END AS first_author, "
+    "CASE WHEN doc_id % 2 = 0 THEN 'cc-by' ELSE 'gold' END AS license, true AS is_open_access, lang AS journal, CAST(2000 + doc_id % 9 AS INTEGER) AS year, CAST(0 AS INTEGER) AS cited_by FROM documents"
+)
+def s19_work_records(spark, sf_dir):
+    i = F.col("doc_id")
+    author = lambda k: F.struct(F.struct(F.concat(F.lit("a"), k.cast("string")).alias("display_name")).alias("author"))
+    authors = F.when(i % 14 > 0, F.transform(F.sequence(F.lit(0), (i % 14).cast("int") - 1), author)).otherwise(F.array().cast("array<struct<author:struct<display_name:string>>>"))
+    works = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("w"), i.cast("string")).alias("id"), F.when(i % 3 > 0, F.concat(F.lit("https://doi.org/10.1/X"), i.cast("string"))).alias("doi"), F.col("source").alias("title"),
+        F.create_map(F.lit("two"), F.array(F.lit(1)), F.lit("one"), F.array(F.lit(2), F.lit(0))).alias("abstract_inverted_index"), authors.alias("authorships"),
+        F.struct(F.lit(True).alias("is_oa"), F.lit("gold").alias("oa_status"), F.when(i % 2 == 0, "cc-by").alias("license")).alias("open_access"), F.struct(F.struct(F.col("lang").alias("display_name")).alias("source")).alias("primary_location"),
+        (2000 + i % 9).cast("int").alias("publication_year"), F.lit(None).cast("int").alias("cited_by_count"),
+    )
+    return profiles.work_records(works).withColumn("n_authors", F.size("authors")).drop("authors")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, unnest(string_split(text, chr(10))[:-2]) AS frame FROM (SELECT doc_id, regexp_replace(text, '\\n+', chr(10), 'g') AS text FROM documents)")
+def z6_frames(spark, sf_dir):
+    """Texts as a stream of pieces whose lines are frames: all but what no mark ends."""
+    path = f"{WorkFolder(spark, 'pieces').path}/rows"
+    table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\n+", "\n\n").alias("text")).write.parquet(path)
+    return streams.run_to_end(streams.frames(streams.read_table(spark, path), "doc_id", "text"), "append")
