@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import language, mixing, ngram_join, pieces, queries
+from scriptorium.llm import language, mixing, ngram_join, queries
 from tests.conftest import DATA
 from tests.test_catalogue import duck, plain  # noqa: F401
 
@@ -29,14 +29,20 @@ def test_query_matches_its_oracle(spark, duck, name):  # noqa: F811
     assert mine == sorted(tuple(plain(r[i]) for i in places) for r in relation.fetchall())
 
 
-def test_run_matches_brute_force(spark):
+@pytest.fixture(scope="module")
+def result(spark):
+    return corpus_pipeline.run(spark, DATA).collect()
+
+
+def test_run_matches_brute_force(spark, result):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     train = [r for r in rows if language.crc(r["doc_id"]) % 3 != 1 and r["lang"] and r["text"] is not None]
     import numpy as np
+    import sentencepiece
 
     langs = sorted({r["lang"] for r in train})
     sums = language.bundle([r["text"] for r in train], np.array([langs.index(r["lang"]) for r in train]), len(langs), language.DIMENSIONS).astype(float)
-    profiles = language.Profiles(langs, (sums / np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32))
+    profiles = language.Profiles.of(dict(zip(langs, sums, strict=True)), language.DIMENSIONS)
     predicted, scores = profiles.predict([r["text"] or "" for r in rows])
     docs = [r for r, p, s in zip(rows, predicted, scores, strict=True) if p != "und" and s >= corpus_pipeline.LEAST_LIKENESS]
     last = {}
@@ -65,25 +71,18 @@ def test_run_matches_brute_force(spark):
                 root[y] = x
     docs = [r for r in docs if find(r["doc_id"]) == r["doc_id"]]
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(spark.createDataFrame(docs, rows_schema(spark))).collect()}
-    table = pieces.ChunkTable(queries.piece_model())
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
     want = []
     for r in docs:
-        ids_, n, back = next(table.encode_all([r["text"] or ""]))
-        want += [(r["doc_id"], n, hashlib.sha256(ids_.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())] * copies[r["doc_id"]]
-    found = corpus_pipeline.run(spark, DATA).collect()
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found) == sorted(want)
+        own = model.encode(r["text"] or "", add_eos=True)
+        want += [(r["doc_id"], len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(model.decode(own).encode()).hexdigest())] * copies[r["doc_id"]]
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in result) == sorted(want)
 
 
 def rows_schema(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet").schema
 
 
-def test_stages_keep_the_columns(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, DATA).dtypes == docs.dtypes, name
-
-
 def test_language_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.language_id(spark, docs, DATA).count()
@@ -115,10 +114,10 @@ def outcome(rows):
     return sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows)
 
 
-def test_a_shard_loaded_twice_changes_nothing(spark, tmp_path):
+def test_a_shard_loaded_twice_changes_nothing(spark, result, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
-    assert outcome(corpus_pipeline.run(spark, str(tmp_path)).collect()) == outcome(corpus_pipeline.run(spark, DATA).collect())
+    assert outcome(corpus_pipeline.run(spark, str(tmp_path)).collect()) == outcome(result)
 
 
 def test_rows_without_ids_are_told_apart(spark, tmp_path):
@@ -136,3 +135,30 @@ def test_rows_without_ids_are_told_apart(spark, tmp_path):
     assert corpus_pipeline.source_mix(spark, given, DATA).count() == copies
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and max(Counter(r["ids_sha256"] for r in rows).values()) <= 3  # the most copies of a row
+
+
+def clashing(docs):
+    """Columns with names that the stages use inside."""
+    return docs.withColumns({c: F.lit("clash") for c in ("_row", "row", "_times", "id", "key", "group", "best", "_kept", "_id", "_copy", "copies", "keep_id")})
+
+
+def test_stages_take_clashing_names_nulls_and_repeats(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (7, " \t ", None, "s", 3), (7, "word " * 30_000, "en", None, 0), (7, "word " * 30_000, "en", None, 0)], docs.schema)
+    rows = clashing(docs.unionByName(docs).unionByName(odd)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, rows, DATA)
+        assert found.dtypes == rows.dtypes, name
+        kept = found.collect()
+        assert kept and all(r["_row"] == "clash" for r in kept), name
+    last = corpus_pipeline.piece_ids(spark, rows, DATA)
+    assert last.count() == rows.count()
+    exact = corpus_pipeline.exact_duplicates(spark, rows, DATA).collect()
+    texts = [(r["text"] or "").translate(LOWER) for r in exact]
+    assert len(texts) == len(set(texts))
+
+
+def test_stages_take_an_empty_table(spark):
+    none = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
