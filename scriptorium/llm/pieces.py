@@ -21,7 +21,7 @@ from scriptorium.llm.common import WorkFolder, lean, partitions, relax
 WORD = re.compile("▁+[^▁]*")
 MARK, LINE_BYTE = "▁", "<0x0A>"
 #: Bytes of text that send their distinct words together; bytes of words per byte of text at most.
-CHUNK_BYTES, WORD_SHARE = 16 << 20, 1.0
+CHUNK_BYTES, WORD_SHARE = 8 << 20, 1.0
 #: Words that a task segments at a time; bytes of text of a chunk that it puts together at a time.
 BATCH, PART_BYTES = 20_000, 2 << 20
 CODEC = "zstd"
