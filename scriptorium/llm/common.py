@@ -144,11 +144,12 @@ def salted_lookup(rows: DataFrame, entries: DataFrame, key: list[str], spread: C
     ``spread`` (a stable column of ``rows``) deals each key's rows over ``salts`` sub-keys, and each entry is
     repeated once per salt: keep entries to those that several rows need. With ``used_only``, for entries that are
     as many as the rows, an entry is repeated only for the salts that its rows have, so that there never are more
-    than rows.
+    than rows. Otherwise entries are shuffled whatever their files' size: the planner does not count the repeats, and
+    would send 32 times what it takes for small through the driver.
     """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     if used_only:
         right = left.select(*key, "_salt").distinct().join(entries, key)
     else:
-        right = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        right = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [*key, "_salt"], "left").drop("_salt")

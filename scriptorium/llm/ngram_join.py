@@ -193,7 +193,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(within(n[i], m[i], int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(bound, "a bigint, b bigint")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").mapInArrow(bound, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +205,7 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             sets = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets], pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(test, "a bigint, b bigint")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").mapInArrow(test, "a bigint, b bigint")
 
 
 def across(n: np.ndarray, comp: np.ndarray, rep: np.ndarray, mine: np.ndarray, maps: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -259,6 +259,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        bounded size, in which all pairs of different components are bounded by bitmaps; those that may link are
        verified. So no link between components is lost, and no tile is ever in one task as a whole.
 
+    All joins are by shuffle, as all tables grow with the documents: the planner goes by the size of files, of which the
+    rows in memory may be ten times, and would broadcast them through the driver.
+
     Ids are whole numbers below 2^63 - 1; a null id stands behind all others and rows that repeat an id are one node. Null texts
     and texts without words have an empty set and link with nothing. An empty table gives an empty result. Other
     columns are ignored, whatever their names.
@@ -326,7 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Bounds by bitmaps, then fetches the sets of what is left alone, then intersects them."""
         left = work.table(pairs, f"{name}-pairs")
         ids = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
-        places = sets.select("rep", "chunk", "row").join(ids, "rep", "left_semi").repartition(tasks, "chunk")
+        places = sets.select("rep", "chunk", "row").join(ids.hint("merge"), "rep", "left_semi").repartition(tasks, "chunk")
         full = work.table(places.groupBy("chunk").applyInArrow(fetch, "rep bigint, shingles binary"), f"{name}-sets")
         links = work.table(verify(left, full, percent), name)
         work.drop(f"{name}-pairs", f"{name}-sets")
@@ -336,8 +339,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # copy least changed, has the most; as leader it links with the most others.
     every = sets.select("rep", F.explode("tiles").alias("tile"))
     sizes = every.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    weights = work.table(every.join(sizes, "tile").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    tiles = work.table(sets.join(weights, "rep").select("rep", "n", "weight", F.explode("tiles").alias("tile")), "tiles")
+    weights = work.table(every.join(sizes.hint("merge"), "tile").groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    tiles = work.table(sets.join(weights.hint("merge"), "rep").select("rep", "n", "weight", F.explode("tiles").alias("tile")), "tiles")
     placed, links = tiles.withColumn("comp", F.col("rep")), None
     for k in range(ROUNDS):
         members_of = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("rep", "weight").alias("first"), F.min_by("rep", "comp").alias("one"), F.max_by("rep", "comp").alias("two")).filter("low != high")
@@ -345,25 +348,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             leaders = members_of.select("tile", F.inline(F.array(F.struct(F.col("one").alias("b"), F.col("low").alias("own")), F.struct(F.col("two").alias("b"), F.col("high").alias("own")))))
         else:
             leaders = members_of.select("tile", F.col("first").alias("b"), F.col("first").alias("own"))
-        pairs = placed.join(leaders, "tile").filter("comp != own").select(F.col("rep").alias("a"), "b").distinct()
+        pairs = placed.join(leaders.hint("merge"), "tile").filter("comp != own").select(F.col("rep").alias("a"), "b").distinct()
         new = links_of(possible(pairs, sets, percent), f"links-{k}")
         links = new if links is None else links.unionByName(new)
         roots = components(links, work, f"roots-{k}")
-        placed = work.table(tiles.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", "weight", F.coalesce("root", "rep").alias("comp")), f"placed-{k}")
+        placed = work.table(tiles.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("tile", "rep", "n", "weight", F.coalesce("root", "rep").alias("comp")), f"placed-{k}")
     open_ = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
-    left = placed.join(open_.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "tile").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    left = placed.join(open_.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).hint("merge"), "tile").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "tile", "rep", "n", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("mine")
     )
     # Most blocks are small: a task's call takes some thousand rows, as many blocks as that may be.
     rows = open_.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     batch = F.pmod(F.xxhash64("tile", "i", "j"), F.lit(max(tasks, -(-rows // BATCH_ROWS))))
-    dealt = dealt.join(sets.select("rep", "bits"), "rep").withColumn("batch", batch)
+    dealt = dealt.join(sets.select("rep", "bits").hint("merge"), "rep").withColumn("batch", batch)
     more = dealt.groupBy("batch").applyInArrow(lambda t: all_across(t, percent), "a bigint, b bigint").distinct()
     links = links.unionByName(links_of(more, "more-links"))
     final = work.table(components(links, work, "final"), "components")
 
-    joined = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("size > 1 OR root IS NOT NULL")
+    joined = classes.join(final.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").filter("size > 1 OR root IS NOT NULL")
     named = work.table(joined.select(*keys, F.coalesce("root", "rep").alias("component")), "named")
     found = salted_lookup(members.select("doc_id", *keys), named, keys, F.col("doc_id"))
     result = work.table(found.select(F.nullif("doc_id", F.lit(int(C.LAST))).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(int(C.LAST))).alias("component_id")), "result")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chunks, exact_dedup, language, media, mixing, ngram_join, pieces, quality, secrets, substrings
+from scriptorium.llm import chunks, common, exact_dedup, language, media, mixing, ngram_join, pieces, quality, secrets, substrings
 from scriptorium.llm.queries import piece_model
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -515,3 +515,16 @@ def test_pairs_learn_what_single_features_cannot():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x, y)
     assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_lookups_and_components_do_not_go_through_the_driver(spark, tmp_path):
+    """Files of some kilobytes, whose rows a lookup repeats 32 times: joined by shuffle, whatever the planner makes of them."""
+    spark.range(2000).selectExpr("id % 500 AS k", "id").write.parquet(f"{tmp_path}/rows")
+    spark.range(500).selectExpr("id AS k", "id * 3 AS x").write.parquet(f"{tmp_path}/entries")
+    rows, entries = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("rows", "entries"))
+    found = common.salted_lookup(rows, entries, ["k"], F.col("id"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.select("id", "x").collect()) == [(i, i % 500 * 3) for i in range(2000)]
+    sets = spark.createDataFrame([(1, 2, b"\0" * 32), (2, 2, b"\0" * 32)], "rep bigint, n bigint, bits binary")
+    pairs = ngram_join.possible(spark.createDataFrame([(1, 2)], "a bigint, b bigint"), sets, 90)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
