@@ -58,3 +58,8 @@ def members(values: Column, known: Column) -> Column:
 
 def literal(values) -> Column:
     return F.array(*[F.lit(x) for x in values]) if values else F.array().cast("array<string>")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Of the product with a power of ten, halves away from zero, as DuckDB and C round; round() goes by the shortest decimal form, so that 100 - 73.95 has 26.0 there."""
+    return F.round(x.cast("double") * float(10**digits)) / float(10**digits)

@@ -61,6 +61,15 @@ def deviation(values: Sequence[float]) -> float:
     return max(sum(x * x for x in values) / len(values) - middle * middle, 0.0) ** 0.5
 
 
+def stepwise_deviation(values: Sequence[float]) -> float:
+    """Of the population, by Welford's steps, as DuckDB has it: at a half of the last digit the last bit counts."""
+    middle = squares = 0.0
+    for k, x in enumerate(values, 1):
+        before, middle = middle, middle + (x - middle) / k
+        squares += (x - middle) * (x - before)
+    return (squares / len(values)) ** 0.5 if values else 0.0
+
+
 def ratio(part: float, whole: float) -> float:
     return part / whole if whole > 0 else 0.0
 

@@ -243,9 +243,14 @@ TRIPLET = r"(?i)\b\w+[ \t\n\r\f]*,[ \t\n\r\f]*\w+[ \t\n\r\f]*,?[ \t\n\r\f]*and[
 PASSIVE_KINDS = r"(?i)\b(?:is|are|was|were|been|being)[ \t\n\r\f]+\w+ed\b|(?i)\b(?:is|are|was|were)[ \t\n\r\f]+\w+en\b|\bIt[ \t\n\r\f]+(?:is|was)[ \t\n\r\f]+(?:shown|demonstrated|observed|noted|found)\b"
 
 
+#: TRIPLET for Java, whose \b takes all letters for a word's where \w takes ASCII ones; the long s and the Kelvin sign count as s and k without case.
+_EDGE, _LETTER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"[\wſ\u212A]"
+TRIPLET_JAVA = TRIPLET.replace(r"\w", _LETTER).replace(r"\b", _EDGE)
+
+
 def triplets(text: Column) -> Column:
-    """How many runs of the form ``a, b, and c`` there are."""
-    return F.regexp_count(text, F.lit(TRIPLET))
+    """How many runs of the form ``a, b, and c`` there are. Words are of ASCII letters, and end at any other."""
+    return F.regexp_count(text, F.lit(TRIPLET_JAVA))
 
 
 def style_issues(docs: DataFrame, rules: Sequence[tuple[str, str, str]], text_col: str = "text", id_col: str = "doc_id", run: int = 3, share: float = 0.6) -> DataFrame:
