@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyarrow import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import arrays as A
 from scriptorium.functions import segment as S
@@ -177,12 +180,96 @@ def nearest(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str,
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def cached_answers(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str, options: Sequence[str], now: Column, least: float = 0.95) -> DataFrame:
+def stepwise_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added from left to right as SQL adds, so that the last digit is the same."""
+    return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def best_answers(asked: np.ndarray, asked_ids: np.ndarray, known: np.ndarray, known_ids: np.ndarray, least: float, pairs: int = 16384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of ``asked`` the row of ``known`` with another id that is most like it, ties by id: places of both, similarities of 9 digits.
+
+    A matrix product finds the rows that come within 1e-8 of the best; these alone are compared exactly.
+    """
+    norms, others = np.sqrt(stepwise_dot(asked, asked)), np.sqrt(stepwise_dot(known, known))
+    like = (asked / np.where(norms > 0, norms, 1.0)[:, None]) @ (known / np.where(others > 0, others, 1.0)[:, None]).T
+    like[np.isnan(like) | (asked_ids[:, None] == known_ids[None, :])] = -np.inf
+    i, j = np.nonzero(like >= np.maximum(like.max(axis=1), least)[:, None] - 1e-8)
+    del like
+    whole = norms[i] * others[j]
+    dots = np.concatenate([np.zeros(0), *(stepwise_dot(asked[i[k : k + pairs]], known[j[k : k + pairs]]) for k in range(0, len(i), pairs))])
+    scaled = np.where(whole > 0, dots / np.where(whole > 0, whole, 1.0), 0.0) * 1e9
+    part = np.trunc(scaled)
+    exact = (part + np.copysign(np.abs(scaled - part) >= 0.5, scaled)) / 1e9
+    i, j, exact = (x[exact >= least] for x in (i, j, exact))
+    order = np.lexsort((np.unique(known_ids, return_inverse=True)[1][j], -exact, i))
+    first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+    return i[first], j[first], exact[first]
+
+
+def two_of_each(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the two least ids of each distinct row: a query's answer is among them, whatever its own id."""
+    same = np.unique(rows.view(np.uint64), axis=0, return_inverse=True)[1].ravel() if rows.shape[1] else np.zeros(len(rows), np.int64)
+    rank = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((rank, same))
+    order = order[(np.diff(same[order], prepend=-1) != 0) | (np.diff(rank[order], prepend=-1) != 0)]
+    group = same[order]
+    return order[(np.arange(len(order)) < 2) | (group != np.roll(group, 2))]
+
+
+def next_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The next batches, until there are ``rows`` rows."""
+    got = 0
+    while got < rows and (batch := next(batches, None)) is not None:
+        got += batch.num_rows
+        yield batch
+
+
+def cached_answers(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str, options: Sequence[str], now: Column, least: float = 0.95, block: int = 256, chunk: int = 8192) -> DataFrame:
     """Of the unexpired entries with the query's options, the most alike one, if it is ``least`` or more; ties by id.
 
-    ``entries`` has an ``expires`` column. Options are an equi-join key; pairs within a key are compared as they meet.
+    ``entries`` has an ``expires`` column. Entries are dealt out by range of options and id, queries written in order of
+    options to the shared folder: each chunk of entries reads the queries of its range, and blocks of queries meet the
+    entries of their options as a matrix product. A row per query and chunk is shuffled. Vectors that are null or have
+    nulls, and null options, answer nothing.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"), *options)
-    e = entries.filter(F.col("expires") > now).select(F.col(id_col).alias("entry"), F.col(vector_col).alias("_e"), *options)
-    pairs = q.join(e, list(options)).withColumn("similarity", F.round(X.cosine(F.col("_q"), F.col("_e")), 9)).filter((F.col("similarity") >= least) & (F.col("query") != F.col("entry")))
+    spark = entries.sparkSession
+    v = F.col(vector_col)
+    usable = [F.col(c).isNotNull() for c in (id_col, vector_col, *options)]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        for c in (*usable, ~F.exists(v, lambda x: x.isNull())):
+            rows = rows.filter(c)
+        return rows.select(F.to_json(F.array(*(F.col(o).cast("string") for o in options), F.size(v).cast("string"))).alias("key"), F.col(id_col).alias("id"), v.cast("array<double>").alias("v"))
+
+    q, e = keyed(queries), keyed(entries.filter(F.col("expires") > now))
+    folder = WorkFolder(spark, "cached")
+    folder.table(q.sort("key", "id"), "queries")
+    path = f"{folder.path}/queries"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    schema = T.StructType([T.StructField("query", q.schema["id"].dataType), T.StructField("entry", e.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def by_key(rows: pa.Table) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+        """The rows of each key: their ids, once for Arrow and once for NumPy, and vectors."""
+        rows = rows.combine_chunks()
+        for key in pc.unique(rows["key"]).to_pylist():
+            own = rows.filter(pc.equal(rows["key"], key))
+            ids = own["id"].combine_chunks()
+            yield key, ids, ids.to_numpy(zero_copy_only=False), pc.list_flatten(own["v"]).to_numpy().reshape(len(own), -1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(path)
+        asked = dataset.dataset(root, filesystem=system, format="parquet")
+        while held := list(next_batches(batches, chunk)):
+            known = {}
+            for key, ids, names, rows in by_key(pa.Table.from_batches(held)):
+                some = two_of_each(rows, names)
+                known[key] = ids.take(pa.array(some)), names[some], rows[some]
+            within = (dataset.field("key") >= min(known)) & (dataset.field("key") <= max(known)) if known else None
+            for batch in asked.to_batches(batch_size=block, filter=within) if known else ():
+                for key, ids, names, rows in by_key(pa.Table.from_batches([batch])) if batch.num_rows else ():
+                    if key in known:
+                        i, j, like = best_answers(rows, names, known[key][2], known[key][1], least)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), known[key][0].take(pa.array(j)), pa.array(like)], names=["query", "entry", "similarity"])
+
+    pairs = e.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(scan, schema)
     return pairs.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("entry").alias("entry"))).alias("_b")).select("query", "_b.entry", (-F.col("_b.s")).alias("similarity"))

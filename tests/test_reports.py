@@ -147,6 +147,27 @@ def test_cached_answers(spark):
     assert [tuple(r) for r in compare.cached_answers(asked, entries, "id", "v", ["o"], F.lit(5)).collect()] == [(9, 1, 1.0)]
 
 
+def test_cached_answers_of_copies_and_ties_without_a_join_of_pairs(spark):
+    rows = [(i, [[1.0, 0.0, 0.5], [1.0, 0.25, 0.5], [-1.0, 3.0, 0.0], [0.0, 0.0, 0.0]][i // 3 % 4], i % 2, 10 - i % 7) for i in range(60)]
+    rows += [(60, None, 0, 9), (61, [1.0, None, 0.5], 1, 9), (62, [1.0, 0.0], 0, 9), (63, [2.0, 0.0, 1.0], None, 9), (64, [float("nan"), 0.0, 1.0], 0, 9)]
+    vectors = spark.createDataFrame(rows, "id bigint, v array<float>, o int, expires int")
+    found = compare.cached_answers(vectors.drop("expires"), vectors, "id", "v", ["o"], F.lit(5), 0.9, block=7, chunk=16)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def like(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        norms = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return round(dot(a, b) / norms, 9) if norms else 0.0
+
+    sound = [r for r in rows if r[1] and None not in r[1] and r[1][0] == r[1][0] and r[2] is not None]
+    want = {}
+    for i, a, o, _ in sound:
+        near = [(-s, j) for j, b, p, expires in sound if j != i and p == o and len(a) == len(b) and expires > 5 and (s := like(a, b)) >= 0.9]
+        if near:
+            want[i] = (min(near)[1], -min(near)[0])
+    assert {r["query"]: (r["entry"], r["similarity"]) for r in found.collect()} == want and len(want) > 40
+
+
 def test_taken_records_skip_what_was_seen(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (3, 1), (4, 9)], "id int, n int")
     seen = spark.createDataFrame([(2,)], "id int")
