@@ -203,22 +203,42 @@ def rebuilt(block_rows: DataFrame, id_col: str, rewritten: str | None = None) ->
     return block_rows.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("text"))
 
 
+def lead(form: str) -> str:
+    """What a placeholder has before its number."""
+    return form.partition("{}")[0]
+
+
+def marks(form: str) -> re.Pattern:
+    """Placeholders of the form, with their number as group."""
+    return re.compile(re.escape(form).replace(r"\{\}", "([0-9]+)"))
+
+
 def masked(text: str, patterns: Sequence[str], form: str = PLACEHOLDER) -> tuple[str, list[str]]:
-    """Protected spans by numbered placeholders, patterns in order; and what they stand for."""
-    kept: list[str] = []
+    """Protected spans by numbered placeholders, patterns in order; and what they stand for.
+
+    Where the text itself has what could be taken for one of these, starts of placeholders are spans, too.
+    """
+
+    def hidden(patterns: Sequence[str]) -> tuple[str, list[str]]:
+        out, kept = text, []
+
+        def hide(m: re.Match) -> str:
+            kept.append(m[0])
+            return form.format(len(kept) - 1)
 
-    def hide(m: re.Match) -> str:
-        kept.append(m[0])
-        return form.format(len(kept) - 1)
+        for p in patterns:
+            out = re.sub(p, hide, out, flags=re.DOTALL)
+        return out, kept
 
-    for p in patterns:
-        text = re.sub(p, hide, text, flags=re.DOTALL)
-    return text, kept
+    out, kept = hidden(patterns)
+    if lead(form) in text and lead(form) in marks(form).sub(lambda m: "\n" if len(m[1]) < 19 and int(m[1]) >= len(kept) else m[0], text):
+        out, kept = hidden([re.escape(lead(form)), *patterns])
+    return out, kept
 
 
 def unmasked(text: str, kept: Sequence[str], form: str = PLACEHOLDER) -> str:
     """Puts spans back, also those inside of others; linear in the text. A placeholder without a span stays."""
-    mark = re.compile(re.escape(form).replace(r"\{\}", r"(\d+)"))
+    mark = marks(form)
 
     def back(m: re.Match) -> str:
         return mark.sub(back, kept[int(m[1])]) if int(m[1]) < len(kept) else m[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as X
 from scriptorium.operators import compare, corpus, edit, extract, ranking, reports, sentences, style
 from scriptorium.operators.scoring import Lexicon
+from scriptorium.plans import catalogue
 from scriptorium.sources import files
 
 HUMAN = [
@@ -141,6 +142,22 @@ def test_configuration_layers():
     assert X.stage_range("1-3, 7,2") == [1, 2, 3, 7] and X.stage_range("") == []
 
 
+@pytest.mark.parametrize(("patterns", "form"), [(list(compare.PROTECTED.values()), extract.PLACEHOLDER), (extract.MARKUP_REGIONS, extract.MARKUP_PLACEHOLDER), (extract.MARKDOWN_REGIONS, extract.MARKDOWN_PLACEHOLDER)])
+def test_texts_with_placeholders_of_their_own_come_back(patterns, form):
+    own, start = form.format(0), form.partition("{}")[0]
+    for text in (own, f"{own} `x` {form.format(1)}", f"`{own}`", f"{start}1`x`", f"{start}{start}0 $y$ {own}", f"{own[:-1]}\\cite{{a}}{own}", f"`x`{own[2:]} me@x.org{own}", f"@{own} #{own} {own}@x.org", f"{start}{'9' * 5000}{own} `{start}`"):
+        hidden, kept = extract.masked(text, patterns, form)
+        assert extract.unmasked(hidden, kept, form) == text
+
+
+def test_markdown_regions_at_ends_of_texts_and_with_placeholders(spark, tmp_path):
+    texts = ["write to me@x.org", "`a", "x __PROTECT_0__ `b`", "`__PROTECT_0__`", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["text"], r["masked"]) for r in catalogue.QUERIES["p12_markdown_regions"](spark, str(tmp_path)).collect()}
+    sentence, hidden = " `a_b` see [x](http://a.b/c) and https://d.e/f. Ask me@x.org, @you #tag1", " __ see __ and __. Ask __, __ __"
+    assert found == {i: (None, None) if t is None else (t + sentence, (t + hidden)[-33:]) for i, t in enumerate(texts)}
+
+
 def test_cached_answers(spark):
     entries = spark.createDataFrame([(1, [1.0, 0.0], "a", 10), (2, [1.0, 0.01], "a", 10), (3, [1.0, 0.0], "b", 10), (4, [1.0, 0.0], "a", 1)], "id int, v array<double>, o string, expires int")
     asked = spark.createDataFrame([(9, [1.0, 0.0], "a"), (8, [0.0, 1.0], "a")], "id int, v array<double>, o string")
