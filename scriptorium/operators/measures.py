@@ -20,6 +20,9 @@ from scriptorium.functions import segment as S
 BLANKS = " \t\n\r\f"
 TOKEN = regex.compile(r"\p{L}+(?:['’-]\p{L}+)?")
 WORD = regex.compile(r"[\p{L}\p{N}_]+")
+#: Letters, digits and underscores of Unicode 15.0, whose tables SQL's patterns have: without CJK extension I.
+LETTER_150 = r"[^\W\U0002EBF0-\U0002EE5D]"
+WORD_150 = re.compile(LETTER_150 + "+")
 CAPITAL_END = re.compile(r"(?<=[.!?])[ \t\n\r\f]+(?=[A-Z])")
 PAPERS_END = re.compile(r"[.!?](?=\Z|[ \t\n\r\f\"')\]])")
 PAPERS_SHORT = re.compile(rf"(?:\A|[ \t\n\r\f()\[\]\"])(?:{S.either(S.PAPERS_SHORT)})[.!?]{{1,9}}\Z", re.IGNORECASE | re.ASCII)
@@ -27,6 +30,11 @@ PAPERS_SHORT = re.compile(rf"(?:\A|[ \t\n\r\f()\[\]\"])(?:{S.either(S.PAPERS_SHO
 LOOK_BACK = max(map(len, S.PAPERS_SHORT)) + 10
 
 
+def lower(text: str) -> str:
+    """Lower case letter by letter, as SQL has it: Python makes two of a dotted capital I, and another sigma at ends of words."""
+    return text.replace("\u0130", "i").replace("Σ", "σ").lower()
+
+
 def sentences_papers(text: str) -> list[str]:
     """T4 of one text."""
     out, start = [], 0
