@@ -30,7 +30,7 @@ def differing(spark, folder, name, texts):
     return mine - theirs, theirs - mine
 
 
-@pytest.mark.parametrize("name", ["d12_d16_composite", "d29_ensemble", "d2_d11_dimensions", "d32_triplets", "f12_dimension_rows"])
+@pytest.mark.parametrize("name", ["d12_d16_composite", "d29_ensemble", "d29_radar", "d2_d11_dimensions", "d32_triplets", "f12_dimension_rows", "p12_markdown_regions"])
 def test_odd_texts_give_what_sql_gives(spark, tmp_path, name):
     assert differing(spark, tmp_path, name, TEXTS) == (set(), set())
 
