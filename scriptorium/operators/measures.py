@@ -23,7 +23,8 @@ WORD = regex.compile(r"[\p{L}\p{N}_]+")
 #: Letters, digits and underscores of Unicode 15.0, whose tables SQL's patterns have: without CJK extension I.
 LETTER_150 = r"[^\W\U0002EBF0-\U0002EE5D]"
 WORD_150 = re.compile(LETTER_150 + "+")
-CAPITAL_END = re.compile(r"(?<=[.!?])[ \t\n\r\f]+(?=[A-Z])")
+#: U+0001 cuts too, as SQL marks its cuts by it.
+CAPITAL_END = re.compile(r"(?<=[.!?])[ \t\n\r\f]+(?=[A-Z])|\x01")
 PAPERS_END = re.compile(r"[.!?](?=\Z|[ \t\n\r\f\"')\]])")
 PAPERS_SHORT = re.compile(rf"(?:\A|[ \t\n\r\f()\[\]\"])(?:{S.either(S.PAPERS_SHORT)})[.!?]{{1,9}}\Z", re.IGNORECASE | re.ASCII)
 #: Characters that an abbreviation with its marks and what stands before take.
