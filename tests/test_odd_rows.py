@@ -30,3 +30,8 @@ def test_marks_and_control_characters_give_what_sql_gives(spark, tmp_path, name)
 @pytest.mark.parametrize("name", ["d12_d16_composite", "d2_d11_dimensions", "f12_dimension_rows"])
 def test_null_texts_give_what_sql_gives(spark, tmp_path, name):
     assert differing(spark, tmp_path, name, [None, "", "The a. The b", None]) == (set(), set())
+
+
+@pytest.mark.parametrize("name", ["d29_radar", "d29_ensemble", "f5_slop"])
+def test_slop_of_null_texts_and_dotted_capitals_gives_what_sql_gives(spark, tmp_path, name):
+    assert differing(spark, tmp_path, name, ["wİth the wİth. And İt", None, "\n\n".join(["Onomatopoeia İİ ionia area idea oasis. A e i o u a e İ"] * 2)]) == (set(), set())
