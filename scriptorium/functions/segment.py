@@ -22,7 +22,7 @@ STARTS, ENDS = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 def strip(c: Column) -> Column:
     """Without blanks and line breaks at either end."""
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
 
 
 def stripped_parts(parts: Column) -> Column:

@@ -7,8 +7,11 @@ and sentences once, tokens are counted once, and all measures come from those co
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -18,15 +21,19 @@ from pyspark.sql import functions as F
 from scriptorium.functions import segment as S
 
 BLANKS = " \t\n\r\f"
-TOKEN = regex.compile(r"\p{L}+(?:['’-]\p{L}+)?")
+LETTER_TOKEN = r"\p{L}+(?:['’-]\p{L}+)?"
+TOKEN = regex.compile(LETTER_TOKEN)
 WORD = regex.compile(r"[\p{L}\p{N}_]+")
 #: Letters, digits and underscores of Unicode 15.0, whose tables SQL's patterns have: without CJK extension I.
 LETTER_150 = r"[^\W\U0002EBF0-\U0002EE5D]"
 WORD_150 = re.compile(LETTER_150 + "+")
+#: From the first place of a letter that came after Unicode 15.0.
+LATE = re.compile("[\u0558-\U0010FFFF]")
 #: U+0001 cuts too, as SQL marks its cuts by it.
 CAPITAL_END = re.compile(r"(?<=[.!?])[ \t\n\r\f]+(?=[A-Z])|\x01")
 PAPERS_END = re.compile(r"[.!?](?=\Z|[ \t\n\r\f\"')\]])")
-PAPERS_SHORT = re.compile(rf"(?:\A|[ \t\n\r\f()\[\]\"])(?:{S.either(S.PAPERS_SHORT)})[.!?]{{1,9}}\Z", re.IGNORECASE | re.ASCII)
+#: The long s counts as s without case.
+PAPERS_SHORT = re.compile(rf"(?:\A|[ \t\n\r\f()\[\]\"])(?:{S.either(S.PAPERS_SHORT).replace('s', '[sſ]')})[.!?]{{1,9}}\Z", re.IGNORECASE | re.ASCII)
 #: Characters that an abbreviation with its marks and what stands before take.
 LOOK_BACK = max(map(len, S.PAPERS_SHORT)) + 10
 
@@ -36,16 +43,35 @@ def lower(text: str) -> str:
     return text.replace("\u0130", "i").replace("Σ", "σ").lower()
 
 
+@cache
+def token_150() -> tuple[re.Pattern, regex.Pattern]:
+    """Letters that came after Unicode 15.0, and tokens without them."""
+    letters = regex.findall(r"\p{L}", "".join(map(chr, range(0x558, 0x40000))))
+    newer = [ord(c) for c in letters if unicodedata.category(c)[0] != "L" or "\U0002EBF0" <= c <= "\U0002EE5D"]
+    runs = [[x for _, x in run] for _, run in groupby(enumerate(newer), lambda e: e[1] - e[0])]
+    known = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) or "\U0002EBF0-\U0002EE5D"
+    return re.compile(f"[{known}]"), regex.compile(LETTER_TOKEN.replace(r"\p{L}", rf"(?:(?![{known}])\p{{L}})"))
+
+
+def letter_tokens(*texts: str) -> list[list[str]]:
+    """T12 of parts of one text in lower case, the whole first, by the letters of Unicode 15.0."""
+    found = TOKEN
+    if LATE.search(texts[0]):
+        newer, known = token_150()
+        found = known if newer.search(texts[0]) else TOKEN
+    return [found.findall(x) for x in texts]
+
+
 def sentences_papers(text: str) -> list[str]:
-    """T4 of one text."""
+    """T4 of one text; U+0001 cuts too and U+0002 goes, as SQL marks by them."""
     out, start = [], 0
     for m in PAPERS_END.finditer(text):
         end = m.end()
         if not PAPERS_SHORT.search(text[max(0, end - LOOK_BACK) : end]):
-            out.append(text[start:end].strip(BLANKS))
+            out.append(text[start:end])
             start = end
-    out.append(text[start:].strip(BLANKS))
-    return [x for x in out if x]
+    out.append(text[start:])
+    return [x for x in (p.replace("\x02", "").strip(BLANKS) for o in out for p in o.split("\x01")) if x]
 
 
 def sentences_before_capital(text: str) -> list[str]:

@@ -35,3 +35,15 @@ def test_null_texts_give_what_sql_gives(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["d29_radar", "d29_ensemble", "f5_slop"])
 def test_slop_of_null_texts_and_dotted_capitals_gives_what_sql_gives(spark, tmp_path, name):
     assert differing(spark, tmp_path, name, ["wİth the wİth. And İt", None, "\n\n".join(["Onomatopoeia İİ ionia area idea oasis. A e i o u a e İ"] * 2)]) == (set(), set())
+
+
+#: Letters newer than Unicode 15.0, a long s in an abbreviation, marks of SQL's cuts, a dotted capital I, a blank before a line separator.
+ENSEMBLE = [
+    *MARKED, "a՘b the c. d՘ e f", "mrſ. A b. vſ. c d. e", "A b.\x02 c. D\x01e\x02f. g h", "wİth the wİth. And İt", None,
+    "\n\n".join(["abc def İf ghi jkl mnop qrs tu vw xy z. A b c", "a b c d e f g h i  ", "Onomatopoeia İİ ionia area idea oasis. A e i o u a e İ"]),
+]
+
+
+@pytest.mark.parametrize("name", ["d29_ensemble", "d29_radar"])
+def test_odd_rows_of_the_ensemble_give_what_sql_gives(spark, tmp_path, name):
+    assert differing(spark, tmp_path, name, ENSEMBLE) == (set(), set())
