@@ -245,7 +245,9 @@ PASSIVE_KINDS = r"(?i)\b(?:is|are|was|were|been|being)[ \t\n\r\f]+\w+ed\b|(?i)\b
 
 #: TRIPLET for Java, whose \b takes all letters for a word's where \w takes ASCII ones; the long s and the Kelvin sign count as s and k without case.
 _EDGE, _LETTER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"[\wſ\u212A]"
-TRIPLET_JAVA = TRIPLET.replace(r"\w", _LETTER).replace(r"\b", _EDGE)
+#: Blanks before "and" are taken in one way only, as Java tries them all: a long run took time with its square.
+_BEFORE_AND = r"[ \t\n\r\f]*,?[ \t\n\r\f]*and"
+TRIPLET_JAVA = TRIPLET.replace(_BEFORE_AND, r"[ \t\n\r\f]*(?:,[ \t\n\r\f]*)?and").replace(r"\w", _LETTER).replace(r"\b", _EDGE)
 
 
 def triplets(text: Column) -> Column:

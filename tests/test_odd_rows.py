@@ -1,5 +1,7 @@
 """Queries with an oracle against DuckDB on rows without text, on control characters and on letters of odd rules."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -47,3 +49,9 @@ ENSEMBLE = [
 @pytest.mark.parametrize("name", ["d29_ensemble", "d29_radar"])
 def test_odd_rows_of_the_ensemble_give_what_sql_gives(spark, tmp_path, name):
     assert differing(spark, tmp_path, name, ENSEMBLE) == (set(), set())
+
+
+def test_long_blanks_between_triplets_take_little_time(spark, tmp_path):
+    start = time.monotonic()
+    assert differing(spark, tmp_path, "d32_triplets", ["a, b" + " " * 60_000 + x for x in ("c", "and c", ", and c", ",, and c")]) == (set(), set())
+    assert time.monotonic() - start < 25
